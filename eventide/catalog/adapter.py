@@ -5,11 +5,11 @@
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.functions.clock import MINUTE_US, hour_of, isodow_of, micros, seconds_between, whole
-from eventide.functions.expr import MICROS, clip, missing_flag
+from eventide.functions.clock import hour_of, isodow_of, seconds_between
+from eventide.functions.expr import clip, missing_flag
 from eventide.session import prepare
 
 SUMMER = ("S1", "S2", "S3")
@@ -23,38 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The movement log; ``MOVES`` is the same projection in SQL."""
-    us = micros("ts")
-    k, u = F.col("k"), F.col("user_id")
-    hours = (F.dayofmonth("ts") - 1) * 24 + F.hour("ts")
-    raw = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), "user_id", "event_type",
-        F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"),
-        F.floor(F.col("value") * 20).cast("long").alias("duration_s"),
-        (whole(us, MINUTE_US) * MINUTE_US).alias("move_us"), hours.alias("hours"))
-    dep = F.col("event_type").isin("click", "purchase")
-    d = F.col("duration_s") * MICROS
-    sched = F.col("move_us") - d - (k - 50) * MINUTE_US
-
-    def text(prefix: str, c: Column) -> Column:
-        return F.concat(F.lit(prefix), c.cast("string"))
-
-    return raw.select(
-        "id", F.when(dep, "DEP").otherwise("ARR").alias("phase"),
-        text("S", u % 10).alias("entity"), text("L", F.col("id") % 3).alias("lane"),
-        F.when(k % 2 == 0, text("A", k)).otherwise(text("B", k)).alias("stand"),
-        F.when(k % 2 == 0, "A").otherwise("B").alias("area"),
-        text("K", k % 7).alias("kind"), text("U", whole("user_id", 10)).alias("operator"),
-        text("M", u % 4).alias("segment"), text("W", k % 3).alias("weight_class"),
-        text("T", u % 3).alias("flight_type"), text("R", k % 2).alias("rule"), text("D", whole("k", 5)).alias("dest"),
+    raw = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type in ('click', 'purchase') as dep",
+        "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k", "cast(floor(value * 20) as bigint) as duration_s",
+        "unix_micros(cast(ts as timestamp)) div 60000000 * 60000000 as move_us", "(day(ts) - 1) * 24 + hour(ts) as hours")
+    timed = raw.selectExpr("*", "move_us - duration_s * 1000000 - (k - 50) * 60000000 as sched_us")
+    return timed.selectExpr(
+        "event_id as id", "if(dep, 'DEP', 'ARR') as phase", "'S' || user_id % 10 as entity", "'L' || event_id % 3 as lane",
+        "if(k % 2 = 0, 'A', 'B') || k as stand", "if(k % 2 = 0, 'A', 'B') as area", "'K' || k % 7 as kind",
+        "'U' || user_id div 10 as operator", "'M' || user_id % 4 as segment", "'W' || k % 3 as weight_class",
+        "'T' || user_id % 3 as flight_type", "'R' || k % 2 as rule", "'D' || k div 5 as dest",
         "k", "duration_s", "move_us",
-        F.when(dep, F.col("move_us") - d).otherwise(F.col("move_us") + d).alias("block_us"),
-        sched.alias("sched_us"),
-        F.when(k < 88, F.col("move_us") - d + (k - 50) * MICROS).alias("offblock_us"),
-        (sched + (k % 11 - 5) * MINUTE_US).alias("filed_us"), (sched - (k % 5) * MINUTE_US).alias("initial_us"),
-        (sched + (k % 7) * MINUTE_US).alias("last_us"),
-        (sched + (k % 11 - 5) * MINUTE_US + (3600 + k * 60) * MICROS).alias("arrive_us"),
-        F.least(whole(F.col("hours"), 60) + 1, F.lit(12)).cast("int").alias("period"),
-        (whole(F.col("hours") % 60, 2) + 1).cast("int").alias("pday"))
+        "move_us + if(dep, -duration_s, duration_s) * 1000000 as block_us", "sched_us",
+        "if(k < 88, move_us - duration_s * 1000000 + (k - 50) * 1000000, null) as offblock_us",
+        "sched_us + (k % 11 - 5) * 60000000 as filed_us", "sched_us - (k % 5) * 60000000 as initial_us",
+        "sched_us + (k % 7) * 60000000 as last_us",
+        "sched_us + (k % 11 - 5) * 60000000 + (3600 + k * 60) * 1000000 as arrive_us",
+        "cast(least(hours div 60 + 1, 12) as int) as period", "cast(hours % 60 div 2 + 1 as int) as pday")
 
 
 MOVES = """

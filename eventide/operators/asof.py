@@ -3,11 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.clock import HOUR_US, whole
-from eventide.functions.expr import all_present
+from eventide.functions.clock import HOUR_US
 
 TOLERANCE_US = 3 * HOUR_US
 
@@ -33,34 +32,28 @@ def asof_attach(queries: DataFrame, obs: DataFrame, by: Sequence[str], at: str,
     (by, at). Observations at the same instant are resolved by ``prefer``, then by their fields.
     """
     by = list(by)
-    width_us = width_us or tolerance_us
+    keys, width_us = ", ".join(by), width_us or tolerance_us
     payload = [c for c in obs.columns if c not in by]
-    seen = latest_per_instant(obs.filter(all_present([*by, obs_at])), by, obs_at, prefer).select(
-        *by, F.col(obs_at).alias("_t"), F.struct(*payload).alias("_obs"))
-    asked = queries.filter(all_present([*by, at])).select(*by, F.col(at).alias("_t")).distinct()
-    cells = seen.withColumn("_bucket", whole("_t", width_us))
-
-    along = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        cells.select(*by, "_bucket", "_t", "_obs")
-        .unionByName(asked.select(*by, whole("_t", width_us).alias("_bucket")), allowMissingColumns=True)
-        .groupBy(*by, "_bucket").agg(F.max_by("_obs", "_t").alias("_obs"))
+    bucket = f"_t div {width_us} as _bucket"
+    seen = (
+        latest_per_instant(obs.dropna(subset=[*by, obs_at]), by, obs_at, prefer)
+        .selectExpr(*by, f"{obs_at} as _t", f"struct({', '.join(payload)}) as _obs")
     )
-    carry = buckets.select(*by, "_bucket", F.last("_obs", ignorenulls=True).over(along).alias("_obs"))
-
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(F.col("_t").asc_nulls_first(), F.col("_asks"))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stream = (
-        cells.withColumn("_asks", F.lit(0))
-        .unionByName(asked.withColumn("_bucket", whole("_t", width_us)).withColumn("_asks", F.lit(1)),
-                     allowMissingColumns=True)
-        .unionByName(carry.withColumn("_asks", F.lit(0)), allowMissingColumns=True)
+    asked = queries.dropna(subset=[*by, at]).selectExpr(*by, f"{at} as _t").distinct()
+    cells = (
+        seen.selectExpr("*", bucket, "0 as _asks")
+        .unionByName(asked.selectExpr("*", bucket, "1 as _asks"), allowMissingColumns=True)
+    )
+    along = f"(partition by {keys} order by _bucket rows between unbounded preceding and 1 preceding)"
+    carry = (
+        cells.groupBy(*by, "_bucket").agg(F.expr("max_by(_obs, _t) filter (where _asks = 0) as _obs"))
+        .selectExpr(*by, "_bucket", f"last(_obs, true) over {along} as _obs", "0 as _asks")
     )
-    found = F.last("_obs", ignorenulls=True).over(inside)
+    inside = f"(partition by {keys}, _bucket order by _t, _asks rows between unbounded preceding and current row)"
     answers = (
-        stream.select(*by, "_t", "_asks", found.alias("_obs"))
-        .filter(F.col("_asks") == 1)
-        .filter(F.col("_t") - F.col(f"_obs.{obs_at}") <= tolerance_us)
-        .select(*by, F.col("_t").alias(at), *[F.col(f"_obs.{c}").alias(c) for c in payload])
+        cells.unionByName(carry, allowMissingColumns=True)
+        .selectExpr(*by, "_t", "_asks", f"last(_obs, true) over {inside} as _obs")
+        .filter(f"_asks = 1 and _t - _obs.{obs_at} <= {tolerance_us}")
+        .selectExpr(*by, f"_t as {at}", *[f"_obs.{c} as {c}" for c in payload])
     )
     return queries.join(answers, [*by, at], "left")

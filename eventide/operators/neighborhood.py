@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.clock import MINUTE_US
 from eventide.functions.expr import ratio
-from eventide.operators.prefix import BUCKET_US, state_at
+from eventide.operators.prefix import BUCKET_US, running_totals, state_at
 
 
 @dataclass(frozen=True)
@@ -36,30 +36,34 @@ def following(name: str, minutes: int) -> Frame:
     return Frame(name, 0, minutes * MINUTE_US)
 
 
-def frame_sums(events: DataFrame, keys: Sequence[str], at: str, measures: Mapping[str, Column],
-               frames: Sequence[Frame], probe: Column, width_us: int = BUCKET_US) -> DataFrame:
-    """``<measure>_<frame>`` for each distinct probed (keys, at).
+def frame_sums(events: DataFrame, keys: Sequence[str], at: str, measures: Mapping[str, str],
+               frames: Sequence[Frame], probe: str = "true", width_us: int = BUCKET_US) -> DataFrame:
+    """``<measure>_<frame>`` for each distinct probed (keys, at); measures and probe are SQL text.
 
-    An event at s lies in the frame of t exactly while ``s - until <= t < s - after``. So each
-    event adds its measure at the first instant and takes it back at the second, and the frame
-    sum at t is the running total there: linear in the events, however dense they are.
+    A frame sum is the running total at the frame's end less the one before its start. Events are
+    added up per instant, each probed instant asks for the totals at its frame edges, and the
+    answers meet again under the instant: linear in the events, however dense they are.
     """
-    shifts = sorted({0} | {-f.until_us for f in frames} | {-f.after_us for f in frames})
-    names = [f"{m}_{f.name}" for f in frames for m in measures]
-    staged = events.select(*keys, F.col(at).alias("_at"), probe.alias("_probe"),
-                           *[c.cast("long").alias(f"_m_{m}") for m, c in measures.items()])
+    values = [f"_{m}" for m in measures]
+    edges = sorted({e for f in frames for e in (f.after_us, f.until_us)})
+    points = (
+        events.dropna(subset=[*keys, at])
+        .selectExpr(*keys, f"{at} as _at", f"{probe} as _probe", *[f"cast({c} as bigint) as _{m}" for m, c in measures.items()])
+        .groupBy(*keys, "_at").agg(*[F.sum(v).alias(v) for v in values], F.max("_probe").alias("_probe"))
+    )
+    zeros = [f"0L as {v}" for v in values]
+    asked = points.filter("_probe").selectExpr(*keys, f"explode(array({', '.join(map(str, edges))})) as _edge", "_at as _of")
+    stream = (
+        points.selectExpr(*keys, "_at", *values, "0 as _asks", "cast(null as bigint) as _edge", "cast(null as bigint) as _of")
+        .unionByName(asked.selectExpr(*keys, "_of + _edge as _at", *zeros, "1 as _asks", "_edge", "_of"))
+    )
+    totals = running_totals(stream, keys, ["_at", "_asks"], values, f"_at div {width_us}").filter("_asks = 1")
 
-    def change(shift: int) -> Column:
-        cols = [(F.col("_at") + F.lit(shift)).alias(at),
-                (F.col("_probe") if shift == 0 else F.lit(False)).alias("_probe")]
-        for f in frames:
-            sign = (-f.until_us == shift) - (-f.after_us == shift)
-            cols += [(F.col(f"_m_{m}") * sign if sign else F.lit(0).cast("long")).alias(f"{m}_{f.name}")
-                     for m in measures]
-        return F.struct(*cols)
+    def frame_sum(m: str, f: Frame) -> Column:
+        signed = f"case _edge when {f.until_us} then _{m} when {f.after_us} then -_{m} end"
+        return F.expr(f"sum({signed}) as {m}_{f.name}")
 
-    changes = staged.select(*keys, F.inline(F.array(*[change(s) for s in shifts])))
-    return state_at(changes, keys, at, names, "_probe", width_us)
+    return totals.groupBy(*keys, F.col("_of").alias(at)).agg(*[frame_sum(m, f) for f in frames for m in measures])
 
 
 TRAFFIC_FRAMES = (prior("prev_15", 15), prior("prev_30", 30), prior("prev_60", 60),
@@ -71,25 +75,21 @@ PLAN_FRAMES = (prior("prev_30", 30), following("next_30", 30))
 def traffic_counts(moves: DataFrame, scope: Sequence[str] = (), entity: str = "entity",
                    at: str = "move_us", width_us: int = BUCKET_US) -> DataFrame:
     """Departures and arrivals around each departure instant, over the combined stream."""
-    dep, arr = F.col("phase") == "DEP", F.col("phase") == "ARR"
     return frame_sums(moves, [*scope, entity], at,
-                      {"dep": F.coalesce(dep.cast("int"), F.lit(0)),
-                       "arr": F.coalesce(arr.cast("int"), F.lit(0))},
-                      TRAFFIC_FRAMES, F.coalesce(dep, F.lit(False)), width_us)
+                      {"dep": "if(phase = 'DEP', 1, 0)", "arr": "if(phase = 'ARR', 1, 0)"},
+                      TRAFFIC_FRAMES, "coalesce(phase = 'DEP', false)", width_us)
 
 
 def lane_counts(departures: DataFrame, scope: Sequence[str] = (), entity: str = "entity",
                 lane: str = "lane", at: str = "move_us", width_us: int = BUCKET_US) -> DataFrame:
     """Departures on the same lane shortly before each departure."""
-    return frame_sums(departures, [*scope, entity, lane], at, {"lane": F.lit(1)},
-                      LANE_FRAMES, F.lit(True), width_us)
+    return frame_sums(departures, [*scope, entity, lane], at, {"lane": "1"}, LANE_FRAMES, width_us=width_us)
 
 
 def plan_counts(departures: DataFrame, scope: Sequence[str] = (), entity: str = "entity",
                 at: str = "sched_us", width_us: int = BUCKET_US) -> DataFrame:
     """Departures planned around each departure's own planned time."""
-    return frame_sums(departures, [*scope, entity], at, {"plan_dep": F.lit(1)},
-                      PLAN_FRAMES, F.lit(True), width_us)
+    return frame_sums(departures, [*scope, entity], at, {"plan_dep": "1"}, PLAN_FRAMES, width_us=width_us)
 
 
 CONGESTION = tuple(
@@ -123,21 +123,16 @@ def completed_state(moves: DataFrame, scope: Sequence[str] = (), minutes: int =
     arrival (counted when it completes) or a departure (a question), so one projection of one
     scan serves as change stream and probe.
     """
-    is_dep = F.col("phase") == "DEP"
-    done = (F.col("phase") == "ARR") & F.col("block_us").isNotNull() & F.col("duration_s").isNotNull()
-    events = moves.filter(is_dep | done).select(
-        *scope, "entity",
-        F.when(is_dep, F.col("move_us")).otherwise(F.col("block_us")).alias("at_us"),
-        F.when(done, F.col("duration_s")).otherwise(0).alias("seconds"),
-        done.cast("int").alias("n"), is_dep.alias("asks"))
-    state = frame_sums(events, [*scope, "entity"], "at_us", {"seconds": F.col("seconds"), "n": F.col("n")},
-                       [prior_closed("recent", minutes)], F.col("asks"), width_us)
-    dep = moves.filter(is_dep).select(*scope, "id", "entity", F.col("move_us").alias("at_us"))
-    some = F.col("n_recent") > 0
-    return dep.join(state, [*scope, "entity", "at_us"], "left").select(
-        "id",
-        F.when(some, F.col("seconds_recent") / F.col("n_recent")).alias("done_mean_60"),
-        F.when(some, F.col("n_recent")).alias("done_n_60"))
+    done = "phase = 'ARR' and block_us is not null and duration_s is not null"
+    events = moves.filter(f"phase = 'DEP' or ({done})").selectExpr(
+        *scope, "entity", "if(phase = 'DEP', move_us, block_us) as at_us",
+        "if(phase = 'ARR', duration_s, 0) as seconds", "if(phase = 'ARR', 1, 0) as n", "phase = 'DEP' as asks")
+    state = frame_sums(events, [*scope, "entity"], "at_us", {"seconds": "seconds", "n": "n"},
+                       [prior_closed("recent", minutes)], "asks", width_us)
+    dep = moves.filter("phase = 'DEP'").selectExpr(*scope, "id", "entity", "move_us as at_us")
+    return dep.join(state, [*scope, "entity", "at_us"], "left").selectExpr(
+        "id", "if(n_recent > 0, seconds_recent / n_recent, null) as done_mean_60",
+        "if(n_recent > 0, n_recent, null) as done_n_60")
 
 
 def overlapping_intervals(rows: DataFrame, scope: Sequence[str] = (), entity: str = "entity",
@@ -148,15 +143,12 @@ def overlapping_intervals(rows: DataFrame, scope: Sequence[str] = (), entity: st
     An interval opens at its start and closes at its end; the running balance at a start, less
     the row's own interval, is the answer. Empty, reversed or half-null intervals never count.
     """
-    valid = F.coalesce(F.col(end) > F.col(start), F.lit(False))
-    one = valid.cast("long")
-    changes = rows.select(*scope, entity, F.inline(F.array(
-        F.struct(F.col(start).alias("at_us"), one.alias("balance"), F.lit(True).alias("_probe")),
-        F.struct(F.when(valid, F.col(end)).alias("at_us"), (-one).alias("balance"),
-                 F.lit(False).alias("_probe")))))
+    valid = f"coalesce({end} > {start}, false)"
+    changes = rows.selectExpr(*scope, entity, f"""inline(array(
+        struct({start} as at_us, cast({valid} as bigint) as balance, true as _probe),
+        struct(if({valid}, {end}, null) as at_us, -cast({valid} as bigint) as balance, false as _probe)))""")
     state = state_at(changes, [*scope, entity], "at_us", ["balance"], "_probe", width_us)
     return (
-        rows.select(*scope, "id", entity, F.col(start).alias("at_us"), one.alias("_own"))
-        .join(state, [*scope, entity, "at_us"], "left")
-        .select("id", (F.col("balance") - F.col("_own")).alias(name))
+        rows.selectExpr(*scope, "id", entity, f"{start} as at_us", f"cast({valid} as bigint) as _own")
+        .join(state, [*scope, entity, "at_us"], "left").selectExpr("id", f"balance - _own as {name}")
     )

@@ -9,42 +9,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.clock import MINUTE_US, whole
-from eventide.functions.expr import all_present
+from eventide.functions.clock import MINUTE_US
 
 BUCKET_US = 10 * MINUTE_US
-_BUCKET = "_bucket"
 
 
-def running_totals(points: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
-                   bucket: Column) -> DataFrame:
-    """Replace ``values`` by their running totals; one input row per (keys, order).
+def running_totals(points: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str],
+                   bucket: str) -> DataFrame:
+    """Replace ``values`` by their running totals in the given order, inside each key.
 
-    ``bucket`` must not decrease as ``order`` grows.
+    ``bucket`` is a SQL expression that never falls as the first order column grows. Rows that
+    tie in ``order`` should not both carry values.
     """
-    keys, values = list(keys), list(values)
-    extra = [c for c in points.columns if c not in {*keys, order, *values}]
-    cells = points.withColumn(_BUCKET, bucket)
-    along = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    by = ", ".join([*keys, "_bucket"])
+    cells = points.selectExpr("*", f"{bucket} as _bucket")
+    along = f"(partition by {', '.join(keys)} order by _bucket rows between unbounded preceding and 1 preceding)"
     carry = (
-        cells.groupBy(*keys, _BUCKET).agg(*[F.sum(v).alias(v) for v in values])
-        .select(*keys, _BUCKET, *[F.coalesce(F.sum(v).over(along), F.lit(0)).alias(v) for v in values])
+        cells.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(v) for v in values])
+        .selectExpr(*keys, "_bucket", *[f"coalesce(sum({v}) over {along}, 0) as {v}" for v in values])
     )
-    # The carry row has no position of its own and sorts first in its bucket.
-    inside = (Window.partitionBy(*keys, _BUCKET).orderBy(F.col(order).asc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A carry row has no position of its own: null sorts first in its bucket.
+    inside = f"(partition by {by} order by {', '.join(order)} rows between unbounded preceding and current row)"
+    kept = [c for c in points.columns if c not in values]
     return (
         cells.unionByName(carry, allowMissingColumns=True)
-        .select(*keys, order, *extra, *[F.sum(v).over(inside).alias(v) for v in values])
-        .filter(F.col(order).isNotNull())
+        .selectExpr(*kept, *[f"sum({v}) over {inside} as {v}" for v in values])
+        .filter(F.col(order[0]).isNotNull())
     )
 
 
-def state_at(changes: DataFrame, keys: Sequence[str], at: str, values: Sequence[str],
-             probe: str, width_us: int = BUCKET_US) -> DataFrame:
+def state_at(changes: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], probe: str,
+             width_us: int = BUCKET_US) -> DataFrame:
     """Sum of all changes up to and including each probed instant.
 
     ``changes`` holds signed amounts at ``at`` (micros). Changes at one instant are added up
@@ -52,9 +50,7 @@ def state_at(changes: DataFrame, keys: Sequence[str], at: str, values: Sequence[
     result has one row per probed (keys, at). Rows with a null key or time take no part.
     """
     points = (
-        changes.filter(all_present([*keys, at]))
-        .groupBy(*keys, at)
+        changes.dropna(subset=[*keys, at]).groupBy(*keys, at)
         .agg(*[F.sum(v).alias(v) for v in values], F.max(probe).alias(probe))
     )
-    totals = running_totals(points, keys, at, values, whole(at, width_us))
-    return totals.filter(F.col(probe)).drop(probe)
+    return running_totals(points, keys, [at], values, f"{at} div {width_us}").filter(probe).drop(probe)
