@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.clock import MINUTE_US
 from eventide.functions.expr import ratio
-from eventide.operators.prefix import BUCKET_US, running_totals, state_at
+from eventide.operators.prefix import BUCKET_US, state_at, totals_asked
 
 
 @dataclass(frozen=True)
@@ -51,13 +51,7 @@ def frame_sums(events: DataFrame, keys: Sequence[str], at: str, measures: Mappin
         .selectExpr(*keys, f"{at} as _at", f"{probe} as _probe", *[f"cast({c} as bigint) as _{m}" for m, c in measures.items()])
         .groupBy(*keys, "_at").agg(*[F.sum(v).alias(v) for v in values], F.max("_probe").alias("_probe"))
     )
-    zeros = [f"0L as {v}" for v in values]
-    asked = points.filter("_probe").selectExpr(*keys, f"explode(array({', '.join(map(str, edges))})) as _edge", "_at as _of")
-    stream = (
-        points.selectExpr(*keys, "_at", *values, "0 as _asks", "cast(null as bigint) as _edge", "cast(null as bigint) as _of")
-        .unionByName(asked.selectExpr(*keys, "_of + _edge as _at", *zeros, "1 as _asks", "_edge", "_of"))
-    )
-    totals = running_totals(stream, keys, ["_at", "_asks"], values, f"_at div {width_us}").filter("_asks = 1")
+    totals = totals_asked(points, keys, values, edges, width_us)
 
     def frame_sum(m: str, f: Frame) -> Column:
         signed = f"case _edge when {f.until_us} then _{m} when {f.after_us} then -_{m} end"

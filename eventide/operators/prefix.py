@@ -41,6 +41,22 @@ def running_totals(points: DataFrame, keys: Sequence[str], order: Sequence[str],
     )
 
 
+def totals_asked(points: DataFrame, keys: Sequence[str], values: Sequence[str], edges: Sequence[int],
+                 width_us: int = BUCKET_US) -> DataFrame:
+    """Running totals at ``_at + edge`` for every point that asks.
+
+    ``points`` has one row per (keys, _at) with amounts and the flag ``_probe``. Amounts and
+    questions leave it in one pass, so both uses below share one shuffle of the points. Gives
+    (keys, _of, _edge, values) with ``_of`` the asking instant.
+    """
+    zeros = ", ".join(f"0L as {v}" for v in values)
+    own = f"struct(_at, 0 as _asks, 0L as _edge, {', '.join(values)})"
+    asks = ", ".join(f"struct(_at + {e}L as _at, 1 as _asks, {e}L as _edge, {zeros})" for e in edges)
+    stream = points.selectExpr(*keys, f"inline(concat(array({own}), if(_probe, array({asks}), array())))")
+    totals = running_totals(stream, keys, ["_at", "_asks", "_edge"], values, f"_at div {width_us}")
+    return totals.filter("_asks = 1").selectExpr(*keys, "_at - _edge as _of", "_edge", *values)
+
+
 def state_at(changes: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], probe: str,
              width_us: int = BUCKET_US) -> DataFrame:
     """Sum of all changes up to and including each probed instant.
@@ -50,7 +66,7 @@ def state_at(changes: DataFrame, keys: Sequence[str], at: str, values: Sequence[
     result has one row per probed (keys, at). Rows with a null key or time take no part.
     """
     points = (
-        changes.dropna(subset=[*keys, at]).groupBy(*keys, at)
-        .agg(*[F.sum(v).alias(v) for v in values], F.max(probe).alias(probe))
+        changes.dropna(subset=[*keys, at]).groupBy(*keys, F.col(at).alias("_at"))
+        .agg(*[F.sum(v).alias(v) for v in values], F.max(probe).alias("_probe"))
     )
-    return running_totals(points, keys, [at], values, f"{at} div {width_us}").filter(probe).drop(probe)
+    return totals_asked(points, keys, values, [0], width_us).selectExpr(*keys, f"_of as {at}", *values)
