@@ -5,7 +5,7 @@ from importlib import import_module
 
 from eventide.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("neighborhoods",)
+MODULES = ("neighborhoods", "encodings", "evaluation")
 
 
 def load() -> tuple[dict, dict]:

@@ -61,7 +61,7 @@ def fit_backoff(train: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, targ
         _at_levels(hist, every, [*by, "_y", "_n"])
         .groupBy(*by, "level", *[f"k_{c}" for c in cols], "_y").agg(F.sum("_n").alias("_n"))
         .groupBy(*by, "level", *[f"k_{c}" for c in cols])
-        .agg(F.percentile("_y", F.lit(0.5), "_n").alias("median"), F.sum("_n").alias("support"))
+        .agg(F.percentile("_y", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("support"))
         .filter((F.col("support") >= min_support) | (F.col("level") == len(levels)))
     )
 
