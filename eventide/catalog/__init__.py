@@ -5,7 +5,7 @@ from importlib import import_module
 
 from eventide.catalog.registry import ORACLES, QUERIES
 
-MODULES = ("neighborhoods", "encodings", "evaluation", "tables")
+MODULES = ("neighborhoods", "encodings", "evaluation", "tables", "modelling")
 
 
 def load() -> tuple[dict, dict]:
