@@ -98,15 +98,14 @@ def cross_fit_maps(train: DataFrame, block: str, specs: Sequence[Spec] = DEFAULT
 
     Sums over the other blocks are the total less the own block, at group, entity and grand
     level, so one aggregation replaces one refit per block. A group has at most one row per
-    block here, which bounds each window. A single block has nothing to learn from and fails.
+    block here, which bounds each window.
     """
     out: dict[Spec, DataFrame] = {}
     for spec in specs:
         cells = _moments(train, [*spec.keys, block], target, cap)
         parents = _roll(cells, [spec.parent, block])
         grand = _others(_roll(parents, [block]), [], ["s", "c"]).select(
-            block, F.when(F.col("c_out") > 0, F.col("s_out") / F.col("c_out"))
-            .otherwise(F.raise_error(F.lit("a block has no other rows to encode from"))).alias("grand"))
+            block, F.try_divide(F.col("s_out"), F.col("c_out")).alias("grand"))
         prior = _others(parents, [spec.parent], ["s", "n"]).join(grand, block).select(
             spec.parent, block,
             F.when(F.col("n_out") > 0, _pulled(F.col("s_out"), F.col("n_out"), F.col("grand"), smoothing))
@@ -128,8 +127,11 @@ def _others(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFr
 
 
 def cross_fit(train: DataFrame, block: str, specs: Sequence[Spec] = DEFAULT_SPECS, **how) -> DataFrame:
-    """Training rows with leave-one-block-out encodings."""
-    out = train
+    """Training rows with leave-one-block-out encodings; fails when there is only one block."""
+    several = train.groupBy(block).agg(F.lit(1).alias("b")).agg(
+        F.when(F.count("*") < 2, F.raise_error(F.lit("a block has no other rows to encode from")).cast("boolean"))
+        .otherwise(True)).scalar()
+    out = train.filter(several)
     for spec, table in cross_fit_maps(train, block, specs, **how).items():
         out = out.join(table, [*spec.keys, block], "left")
     return out
