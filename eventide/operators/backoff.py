@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.expr import all_present, clip
+from eventide.functions.expr import clip
 
 # Most specific first, the support a group needs, and the output range.
 LEVELS = (
@@ -30,16 +30,15 @@ def _at_levels(df: DataFrame, levels: Sequence[Sequence[str]], keep: Sequence[st
     """One row per level with the keys outside the level blanked; a null key drops its level."""
     cols = level_columns(levels)
     types = dict(df.select(*cols).dtypes)
-    variants = [
-        F.when(all_present(level), F.struct(
-            F.lit(i).alias("level"),
-            *[(F.col(c) if c in level else F.lit(None).cast(types[c])).alias(f"k_{c}") for c in cols]))
-        for i, level in enumerate(levels)
-    ]
-    return (
-        df.select(*keep, F.explode(F.array(*variants)).alias("_g"))
-        .filter(F.col("_g").isNotNull()).select(*keep, "_g.*")
-    )
+
+    def variant(i: int, level: Sequence[str]) -> str:
+        keys = [f"{c if c in level else f'cast(null as {types[c]})'} as k_{c}" for c in cols]
+        row = f"struct({', '.join([f'{i} as level', *keys])})"
+        known = " and ".join(f"{c} is not null" for c in level)
+        return f"if({known}, {row}, null)" if level else row
+
+    variants = ", ".join(variant(i, level) for i, level in enumerate(levels))
+    return df.selectExpr(*keep, f"inline(array_compact(array({variants})))")
 
 
 def fit_backoff(train: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, target: str = "duration_s",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REPLICATES = 2000
@@ -30,13 +30,11 @@ def poisson_steps() -> list[str]:
         p /= k
 
 
-def poisson_count(digits: Column) -> Column:
-    """Poisson(1) count of an eight-digit lower-case hex draw; hex text sorts like its value."""
+def poisson_count(digits: str) -> str:
+    """SQL text: Poisson(1) count of an eight-digit lower-case hex draw; hex text sorts like its value."""
     steps = poisson_steps()
-    out = F.when(digits < steps[0], 0)
-    for i, edge in enumerate(steps[1:], start=1):
-        out = out.when(digits < edge, i)
-    return out.otherwise(len(steps))
+    tests = " ".join(f"when {digits} < '{edge}' then {i}" for i, edge in enumerate(steps))
+    return f"case {tests} else {len(steps)} end"
 
 
 def replicate_sums(df: DataFrame, id_col: str, values: Sequence[str], replicates: int,
@@ -45,20 +43,16 @@ def replicate_sums(df: DataFrame, id_col: str, values: Sequence[str], replicates
     if replicates < 1:
         raise ValueError("replicates must be positive")
     groups = -(-replicates // _DRAWS)
-    hashed = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.col("_g").cast("string")))
-    draws = F.array(*[
-        F.struct((F.col("_g") * _DRAWS + j).cast("int").alias("rep"),
-                 poisson_count(F.substring("_h", 8 * j + 1, 8)).alias("_w")) for j in range(_DRAWS)])
+    draws = ", ".join(f"struct(cast(_g * {_DRAWS} + {j} as int) as rep, substr(_h, {8 * j + 1}, 8) as _d)" for j in range(_DRAWS))
     # Few narrow rows grow by the number of replicates here, so they are spread over all cores.
-    spread = df.select(*by, id_col, *values).repartition(
-        df.sparkSession.sparkContext.defaultParallelism, id_col)
+    spread = df.select(*by, id_col, *values).repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
     return (
-        spread.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        .withColumn("_h", hashed)
-        .select(*by, *values, F.inline(draws))
-        .filter((F.col("_w") > 0) & (F.col("rep") < replicates))
+        spread.selectExpr("*", f"explode(sequence(0, {groups - 1})) as _g")
+        .selectExpr(*by, *values, "_g", f"md5(concat_ws('-', cast({id_col} as string), cast(_g as string))) as _h")
+        .selectExpr(*by, *values, f"inline(array({draws}))")
+        .selectExpr(*by, *values, "rep", f"{poisson_count('_d')} as _w").filter(f"_w > 0 and rep < {replicates}")
         .groupBy(*by, "rep")
-        .agg(F.sum("_w").alias("drawn"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values])
+        .agg(F.sum("_w").alias("drawn"), *[F.expr(f"sum(_w * {v}) as {v}") for v in values])
     )
 
 
@@ -71,13 +65,9 @@ def paired_bootstrap(df: DataFrame, id_col: str, pairs: Mapping[str, tuple[str,
     """
     values = sorted({c for pair in pairs.values() for c in pair})
     sums = replicate_sums(df, id_col, values, replicates, by)
-    changes = sums.select(*by, *[
-        (F.sqrt(F.col(b) / F.col("drawn")) - F.sqrt(F.col(c) / F.col("drawn"))).alias(f"_d_{n}")
-        for n, (b, c) in pairs.items()])
     aggs = []
-    for n in pairs:
-        d = F.col(f"_d_{n}")
-        aggs += [F.avg((d > 0).cast("double")).alias(f"win_{n}"),
-                 F.percentile(d, F.lit(0.05)).alias(f"low_{n}"),
-                 F.percentile(d, F.lit(0.95)).alias(f"high_{n}")]
-    return changes.groupBy(*by).agg(*aggs)
+    for n, (b, c) in pairs.items():
+        d = f"(sqrt({b} / drawn) - sqrt({c} / drawn))"
+        aggs += [F.expr(f"avg(if({d} > 0, 1D, 0D)) as win_{n}"), F.expr(f"percentile({d}, 0.05D) as low_{n}"),
+                 F.expr(f"percentile({d}, 0.95D) as high_{n}")]
+    return sums.groupBy(*by).agg(*aggs)

@@ -12,6 +12,7 @@ def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
          .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
