@@ -10,6 +10,7 @@ from eventide.operators.backoff import (CEILING, FLOOR, LEVELS, MIN_SUPPORT, con
                                         level_columns, predict_backoff)
 from eventide.operators.encoding import (CAP, DEFAULT_SPECS, SMOOTHING, Spec, cross_fit, encode_split, fit_map, fit_maps,
                                          parent_prior, transform)
+from eventide.plans.settle import settle
 from eventide.operators.splits import FOLDS, SPLITS, Calendar, split_roles, with_folds, with_roles
 
 CAL = Calendar(SUMMER)
@@ -79,7 +80,7 @@ def lookups(spark, sf):
        "select r.id, cast({1} as double) as pred from {0}".format(*backoff_pick("test")))
 def backoff(spark, sf):
     fit, test = _parts(spark, sf)
-    return predict_backoff(test, fit_backoff(fit)).select("id", "pred")
+    return predict_backoff(test, settle(fit_backoff(fit), "medians")).select("id", "pred")
 
 
 @query("bas2_control_prediction", f"with {DEPS}, {FIT}, {backoff_sql('fit')} "
@@ -87,7 +88,7 @@ def backoff(spark, sf):
            *backoff_pick("test"), FLOOR, CEILING))
 def control(spark, sf):
     fit, test = _parts(spark, sf)
-    return control_prediction(test, fit_backoff(fit)).select("id", "pred")
+    return control_prediction(test, settle(fit_backoff(fit), "medians")).select("id", "pred")
 
 
 @query("fil6_supported_groups", f"with {DEPS} select entity, lane, count(*) as n from deps group by all having count(*) >= {MIN_SUPPORT}")
@@ -106,9 +107,9 @@ def folds_sql(source: str) -> str:
 def _fold_report(df):
     """RMSE of the global, the entity and the hierarchical median for each fold, in one pass."""
     keys = ["month", *KEYS, "duration_s"]
-    counted = with_folds(df.groupBy(*keys).agg(F.count("*").alias("w")))
+    counted = with_folds(settle(df.groupBy(*keys).agg(F.count("*").alias("w")), "counts"))
     train, test = counted.filter("role = 'train'"), counted.filter("role = 'test'")
-    table = fit_backoff(train, by=["fold"], weight="w")
+    table = settle(fit_backoff(train, by=["fold"], weight="w"), "medians")
     entity_only = fit_backoff(train, [("entity",)], by=["fold"], weight="w", min_support=1)
     scored = predict_backoff(test, table, by=["fold"], name="hier")
     scored = predict_backoff(scored, entity_only, [("entity",)], by=["fold"], name="ent")

@@ -445,7 +445,22 @@ def capacity(spark, sf):
     return rounded(out, "raw_rmse", "overlaid_rmse", "win_rate", "largest_share")
 
 
-@query("sel2_capacity_choice")
+def _choice_sql() -> str:
+    head = _configs_sql()
+    head = head[:head.rindex("select config, round(raw")]
+    names = list(_MIX)
+    grid = ", ".join(f"('{n}', {c['leaves']}, {c['min_data']})" for n, c in CONFIGS.items())
+    return head + f""", elig as (select config, ovl from u where coalesce(raw < r0 and ovl < o0 and win_rate >= 0.9875, false)),
+best as (select config from elig order by ovl, config limit 1),
+long as (select rep, drawn, unnest({names}) as config, unnest([{', '.join('o_' + n for n in names)}]) as v from boot_sums),
+wins as (select l.config, avg(case when sqrt(l.v / l.drawn) - sqrt(b.v / b.drawn) > 0 then 1.0::double else 0 end) as win
+  from long l join long b on b.rep = l.rep and b.config in (select config from best) where l.config in (select config from elig) group by l.config),
+grid(config, leaves, min_data) as (values {grid})
+select config, leaves, min_data from wins join grid using (config) where config in (select config from best) or win < 0.9875
+order by leaves, min_data desc, config limit 1"""
+
+
+@query("sel2_capacity_choice", _choice_sql())
 def capacity_choice(spark, sf):
     arms = _config_arms(spark, sf)
     compared = settle(compare_configs(arms, list(_MIX), "duration_s"), "compared")

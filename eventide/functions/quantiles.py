@@ -40,10 +40,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
             holds = holds | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_nb")))
     inside = (Window.partitionBy(*by, "_b").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = (
-        hist.join(located.filter(holds), [*by, "_b"])
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
-    )
+    # Null-safe: a null key is a group too, and both sides keep reading one shuffled histogram.
+    chosen = located.filter(holds).withColumnsRenamed({c: f"_in_{c}" for c in (*by, "_b")})
+    same = [hist[c].eqNullSafe(chosen[f"_in_{c}"]) for c in (*by, "_b")]
+    ranked = hist.join(chosen, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
 
     def at_rank(r: Column) -> Column:
         return F.min(F.when(F.col("_upto") > r, F.col("_v")))
@@ -69,3 +69,11 @@ def _ranks(total: Column, q: float, method: str) -> tuple[Column, Column, Column
 
 def medians(df: DataFrame, keys: Sequence[str], value: str, name: str, width: float = 16.0) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: (0.5, LINEAR)}, width)
+
+
+def with_quantiles(groups: DataFrame, rows: DataFrame, keys: Sequence[str], value: str,
+                   wanted: Mapping[str, tuple[float, str]], width: float = 16.0) -> DataFrame:
+    """Add the quantiles of ``rows`` to a table that has one row per group; null is a group too."""
+    q = exact_quantiles(rows, keys, value, wanted, width).withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    same = [groups[k].eqNullSafe(q[f"_q_{k}"]) for k in keys]
+    return groups.join(q, same, "left").drop(*[f"_q_{k}" for k in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.clock import seconds_between
 from eventide.functions.expr import banded, mapped
-from eventide.functions.quantiles import LINEAR, NEAREST, exact_quantiles, medians
+from eventide.functions.quantiles import LINEAR, NEAREST, medians, with_quantiles
 from eventide.operators.metrics import error_concentration, error_metrics, percent_true, squared_error
 
 # Fixed values.
@@ -75,7 +75,7 @@ def target_summary(df: DataFrame, target: str, by: Sequence[str] = (),
         F.count_if(t > 3600).alias("over_60min"))
     wanted = {f"p{q * 100:g}".replace(".", "_"): (q, NEAREST) for q in quantiles}
     wanted["median"] = (0.5, LINEAR)
-    return flat.join(exact_quantiles(df, keys, target, wanted), keys, "left").drop("_all")
+    return with_quantiles(flat, df, keys, target, wanted).drop("_all")
 
 
 def target_by_entity(df: DataFrame, target: str, entity: str = "entity",
@@ -85,8 +85,7 @@ def target_by_entity(df: DataFrame, target: str, entity: str = "entity",
     flat = df.groupBy(entity).agg(
         F.count("*").alias("rows"), F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"),
         *[distinct_with_null(c).alias(n) for n, c in (distinct or {}).items()])
-    q = exact_quantiles(df, [entity], target, {"median": (0.5, LINEAR), "p90": (0.9, NEAREST)})
-    return flat.join(q, entity, "left")
+    return with_quantiles(flat, df, [entity], target, {"median": (0.5, LINEAR), "p90": (0.9, NEAREST)})
 
 
 def integrity(df: DataFrame, id_col: str, mismatches: Mapping[str, tuple[str, str]],
@@ -168,9 +167,9 @@ def residual_audit(df: DataFrame, pred: str, truth: str, flag: str, entity: str,
                            for c in tail_features])))
     return {
         "concentration": error_concentration(df, pred, truth, [flag]),
-        "entities": of_all(by_entity).join(medians(missing, [entity], truth, "median_target"), entity, "left"),
+        "entities": with_quantiles(of_all(by_entity), missing, [entity], truth, {"median_target": (0.5, LINEAR)}),
         "bands": of_all(by_band),
-        "rebuild": rebuild.join(medians(ae, [entity], "_ae", "median_ae"), entity, "left"),
+        "rebuild": with_quantiles(rebuild, ae, [entity], "_ae", {"median_ae": (0.5, LINEAR)}),
         "tail": medians(tail, ["feature", "is_tail"], "_v", "median"),
         "exposure": missing.groupBy(entity, month).agg(F.count("*").alias("n")),
     }

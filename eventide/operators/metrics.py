@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import as_col, finite
-from eventide.functions.quantiles import LINEAR, exact_quantiles
+from eventide.functions.quantiles import LINEAR, exact_quantiles, with_quantiles
 
 
 def squared_error(pred: str | Column, truth: str | Column) -> Column:
@@ -27,7 +27,7 @@ def error_metrics(df: DataFrame, pred: str, truth: str, by: Sequence[str], withi
     flat = errors.groupBy(*by).agg(
         F.count("*").alias("n"), F.sqrt(F.avg(F.col("_abs") * F.col("_abs"))).alias("rmse"),
         F.avg("_abs").alias("mae"), *[percent_true(F.col("_abs") <= s).alias(f"within_{s}s") for s in within])
-    return flat.join(exact_quantiles(errors, by, "_abs", {"median_abs": (0.5, LINEAR)}), list(by))
+    return with_quantiles(flat, errors, by, "_abs", {"median_abs": (0.5, LINEAR)})
 
 
 def percent_true(condition: Column) -> Column:
@@ -54,14 +54,10 @@ def worst_slices(df: DataFrame, pred: str, truth: str, month: str = "month", ent
 
 def error_concentration(df: DataFrame, pred: str, truth: str, by: Sequence[str]) -> DataFrame:
     """Rows, RMSE and share of all squared error held by each slice."""
-    everything = Window.partitionBy(F.lit(0))
-    return (
-        df.withColumn("_se", squared_error(pred, truth)).groupBy(*by)
-        .agg(F.count("*").alias("n"), F.sum("_se").alias("se"))
-        .select(*by, "n", F.sqrt(F.col("se") / F.col("n")).alias("rmse"), "se",
-                (100 * F.col("n") / F.sum("n").over(everything)).alias("pct_rows"),
-                (100 * F.try_divide(F.col("se"), F.sum("se").over(everything))).alias("pct_error"))
-    )
+    per = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(squared_error(pred, truth)).alias("se"))
+    whole = per.agg(F.struct(F.sum("n").alias("n"), F.sum("se").alias("se"))).scalar()
+    return per.withColumn("_whole", whole).selectExpr(
+        *by, "n", "sqrt(se / n) as rmse", "se", "100D * n / _whole.n as pct_rows", "100 * try_divide(se, _whole.se) as pct_error")
 
 
 def largest_row_share(advantage: str | Column) -> Column:

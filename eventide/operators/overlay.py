@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import clip, nan_to_null
-from eventide.functions.quantiles import LINEAR, exact_quantiles
+from eventide.functions.quantiles import LINEAR, exact_quantiles, with_quantiles
 from eventide.operators.metrics import percent_true, squared_error
 
 # Fixed values.
@@ -192,7 +192,7 @@ def stability(df: DataFrame, trigger: Trigger, by: str) -> DataFrame:
     rows = df.filter(trigger.hit()).select(by, e.alias("_abs"))
     flat = rows.groupBy(by).agg(F.count("*").alias("triggered"), F.max("_abs").alias("worst_abs"),
                                 percent_true(F.col("_abs") <= 60).alias("within_60s"))
-    return flat.join(exact_quantiles(rows, [by], "_abs", {"median_abs": (0.5, LINEAR)}), by)
+    return with_quantiles(flat, rows, [by], "_abs", {"median_abs": (0.5, LINEAR)})
 
 
 def exposure(df: DataFrame, trigger: Trigger, thresholds: Sequence[int] = SWEEP) -> DataFrame:

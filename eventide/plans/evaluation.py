@@ -26,11 +26,11 @@ def closed_form_predictions(fit: DataFrame, rows: DataFrame, segment: str, scope
     """Two predictors that need no training loop: ``base`` (median backoff) and ``cand``.
 
     The candidate blends the base with a smoothed encoding inside ``scope`` and equals it
-    elsewhere. Medians are resolved on distinct key combinations; the encoding map is written
-    once, so that rows meet it in a join planned from its real size.
+    elsewhere. Both lookups are written once: the medians are read for groups and for the global
+    fallback, and rows meet the encoding in a join planned from its real size.
     """
-    medians = fit_backoff(fit, levels, target, min_support=min_support)
-    encoding = settle(fit_map(fit, spec, target), "encoding")
+    medians = settle(fit_backoff(fit, levels, target, min_support=min_support), "medians")
+    encoding = fit_map(fit, spec, target)
     out = control_prediction(rows, medians, levels, "base")
     return blend_segments(transform(out, {spec: encoding}), segment, scope, "base", spec.name, name="cand")
 

@@ -48,5 +48,5 @@ def run_split(frames: dict[str, DataFrame], features: Sequence[str], categorical
     Gives the model and the persisted test rows with ``pred`` and ``control``.
     """
     model = fit_trees(frames["fit"], features, categorical, target, params, frames["inner"], learner)
-    test = control_prediction(frames["test"], fit_backoff(frames["fit"], target=target), name="control")
+    test = control_prediction(frames["test"], settle(fit_backoff(frames["fit"], target=target), "medians"), name="control")
     return model, settle(test.join(model.predict(frames["test"]), "id"), "predictions")

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from eventide.functions.clock import micros, seconds_between, whole
 from eventide.functions.expr import lenient_double, mapped, missing_flag, null_tokens, strict_minute
-from eventide.functions.quantiles import medians
+from eventide.functions.quantiles import LINEAR, with_quantiles
 from eventide.operators.asof import asof_attach, latest_per_instant
 from eventide.operators.contracts import require_columns
 
@@ -116,7 +116,7 @@ def match_audit(attached: DataFrame, entity: str = "entity") -> DataFrame:
     flat = attached.groupBy(entity).agg(
         F.count("*").alias("rows"), F.count_if(F.col("wx_missing") == 0).alias("matched"),
         F.min("wx_age_minutes").alias("min_age"), F.max("wx_age_minutes").alias("max_age"))
-    return flat.join(medians(attached, [entity], "wx_age_minutes", "median_age", 1.0), entity, "left")
+    return with_quantiles(flat, attached, [entity], "wx_age_minutes", {"median_age": (0.5, LINEAR)}, 1.0)
 
 
 def enforce_age(attached: DataFrame, limit_minutes: float = 180.0) -> None:

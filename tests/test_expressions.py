@@ -62,6 +62,11 @@ def test_exact_quantiles(spark, n):
             assert got[g][f"n{i}"] == s[int((n - 1) * q + 0.5)]
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 9.0), ("a", 4.0)], "g string, v double")
+    assert {r["g"]: r["m"] for r in exact_quantiles(df, ["g"], "v", {"m": (0.5, LINEAR)}).collect()} == {None: 2.0, "a": 4.0}
+
+
 def test_quantiles_without_keys(spark):
     df = spark.range(1001).select(F.col("id").alias("v"))
     assert exact_quantiles(df, [], "v", {"m": (0.5, LINEAR), "p": (0.95, NEAREST)}).first().asDict() == {"m": 500.0, "p": 950}
