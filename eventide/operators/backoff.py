@@ -45,22 +45,18 @@ def fit_backoff(train: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, targ
                 by: Sequence[str] = (), min_support: int = MIN_SUPPORT, weight: str | None = None) -> DataFrame:
     """(by, level, keys, median, support) for every group, plus the global median as last level.
 
-    Rows are first collapsed to (all keys, target) with a count; the levels multiply only that.
-    The exact median then works on distinct targets per group, which whole seconds keep few.
+    Equal targets of a group are counted map-side, so coarse levels shuffle next to nothing; the
+    exact median then works on distinct targets per group, which whole seconds keep few.
     ``weight`` names a count column when ``train`` is collapsed already.
     """
     cols = level_columns(levels)
-    counted = F.sum(weight) if weight else F.count("*")
-    hist = (
-        train.filter(F.col(target).isNotNull())
-        .groupBy(*by, *cols, F.col(target).alias("_y")).agg(counted.alias("_n"))
-    )
-    every = [*levels, ()]
+    group = [*by, "level", *[f"k_{c}" for c in cols]]
+    rows = train.filter(F.col(target).isNotNull()).selectExpr(
+        *by, *cols, f"{target} as _y", f"{weight or '1L'} as _n")
     return (
-        _at_levels(hist, every, [*by, "_y", "_n"])
-        .groupBy(*by, "level", *[f"k_{c}" for c in cols], "_y").agg(F.sum("_n").alias("_n"))
-        .groupBy(*by, "level", *[f"k_{c}" for c in cols])
-        .agg(F.percentile("_y", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("support"))
+        _at_levels(rows, [*levels, ()], [*by, "_y", "_n"])
+        .groupBy(*group, "_y").agg(F.sum("_n").alias("_n"))
+        .groupBy(*group).agg(F.percentile("_y", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("support"))
         .filter((F.col("support") >= min_support) | (F.col("level") == len(levels)))
     )
 
