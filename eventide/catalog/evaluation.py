@@ -15,7 +15,7 @@ from eventide.operators.metrics import (error_concentration, error_metrics, larg
 from eventide.operators.overlay import (Trigger, apply_overlay, best_configuration, calibrate, calibration_lines, exposure,
                                         fit_line, fit_overlay, leave_one_month_out, stability, sweep)
 from eventide.operators.selection import (CONFIGS, adopt_members, choose_config, compare_configs, select_members)
-from eventide.plans.evaluation import closed_form_predictions, scored_split, split_frames
+from eventide.plans.evaluation import closed_form_predictions, scored_rows, scored_split, split_frames
 from eventide.plans.settle import settle
 
 TRIGGER = Trigger(SCOPE, threshold=3600)
@@ -89,6 +89,10 @@ def _scored(spark, sf, split="composition"):
     return scored_split(departures(spark, sf), split, CAL, TRIGGER, SPECIALISTS, spec=SPEC)
 
 
+def _rows(spark, sf, split="composition"):
+    return scored_rows(departures(spark, sf), split, CAL, SPECIALISTS, spec=SPEC)
+
+
 COMP = f"{DEPS}, {split_sql('composition')}"
 
 
@@ -97,7 +101,7 @@ select entity, count(*) as n, round(sqrt(avg(a * a)), 6) as rmse, round(avg(a),
   round(100 * avg(case when a <= 1 then 1.0::double else 0 end), 6) as within_1s, round(100 * avg(case when a <= 30 then 1.0::double else 0 end), 6) as within_30s,
   round(100 * avg(case when a <= 60 then 1.0::double else 0 end), 6) as within_60s from e group by entity""")
 def metrics(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     out = error_metrics(scored, "base", "duration_s", ["entity"])
     return rounded(out, "rmse", "mae", "median_abs", "within_1s", "within_30s", "within_60s")
 
@@ -106,13 +110,13 @@ def metrics(spark, sf):
 select case when grouping(entity) = 1 then 'month' else 'entity_month' end as slice, month, entity, count(*) as n,
   round(sqrt(avg(pow(base - duration_s, 2))), 6) as rmse from scored group by grouping sets ((month), (entity, month))""")
 def sliced(spark, sf):
-    return rounded(sliced_rmse(_scored(spark, sf)[0], "base", "duration_s"), "rmse")
+    return rounded(sliced_rmse(_rows(spark, sf), "base", "duration_s"), "rmse")
 
 
 @query("srt2_worst_slices", f"""with {COMP} select month, entity, count(*) as n,
   round(sqrt(avg(pow(base - duration_s, 2))), 6) as rmse from scored group by entity, month order by rmse desc""")
 def worst(spark, sf):
-    return rounded(worst_slices(_scored(spark, sf)[0], "base", "duration_s"), "rmse")
+    return rounded(worst_slices(_rows(spark, sf), "base", "duration_s"), "rmse")
 
 
 @query("agg15_tail_report", f"""with {COMP}, e as (select *, pow(base - duration_s, 2) as se from scored)
@@ -123,7 +127,7 @@ select count(*) as n, round(sqrt(avg(se)), 6) as rmse, round(avg(abs(base - dura
   count(*) filter (offblock_missing = 1) as n_flagged, round(sqrt(avg(se) filter (offblock_missing = 1)), 6) as rmse_flagged,
   round(sqrt(avg(se) filter (offblock_missing = 0)), 6) as rmse_unflagged, round(median(abs(base - duration_s)), 6) as median_abs from e""")
 def tails(spark, sf):
-    out = tail_report(_scored(spark, sf)[0], "base", "duration_s", "offblock_missing")
+    out = tail_report(_rows(spark, sf), "base", "duration_s", "offblock_missing")
     return rounded(out, "rmse", "mae", "rmse_normal", "rmse_tail", "pct_error_tail", "rmse_flagged", "rmse_unflagged", "median_abs")
 
 
@@ -131,14 +135,14 @@ def tails(spark, sf):
 select entity, count(*) as n, round(sqrt(sum(se) / count(*)), 6) as rmse, round(100.0 * count(*) / sum(count(*)) over (), 6) as pct_rows,
   round(100 * sum(se) / sum(sum(se)) over (), 6) as pct_error from e group by entity""")
 def concentration(spark, sf):
-    out = error_concentration(_scored(spark, sf)[0], "base", "duration_s", ["entity"]).drop("se")
+    out = error_concentration(_rows(spark, sf), "base", "duration_s", ["entity"]).drop("se")
     return rounded(out, "rmse", "pct_rows", "pct_error")
 
 
 @query("agg17_largest_row_share", f"""with {COMP}, e as (select entity, pow(base - duration_s, 2) as eb, pow(cand - duration_s, 2) as ec from scored)
 select entity, round({SHARE.format(b='eb', c='ec')}, 6) as largest_share from e group by entity""")
 def row_share(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     gain = squared_error("base", "duration_s") - squared_error("cand", "duration_s")
     return scored.groupBy("entity").agg(r6(largest_row_share(gain), "largest_share"))
 
@@ -154,7 +158,7 @@ def lines(spark, sf):
 {boot_sql('errs', 'entity', ['eb', 'ec'], 400)}, w as (select entity, {win_sql('eb', 'ec', 'raw')} from boot_sums group by entity)
 select entity, round(win_raw, 6) as win_raw, round(low_raw, 6) as low_raw, round(high_raw, 6) as high_raw from w""")
 def bootstrap(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     arms = scored.withColumn("b", squared_error("base", "duration_s")).withColumn("c", squared_error("cand", "duration_s"))
     return rounded(paired_bootstrap(arms, "id", {"raw": ("b", "c")}, ["entity"], 400), "win_raw", "low_raw", "high_raw")
 
@@ -195,7 +199,7 @@ swept as (select scope, threshold, form, count(*) as replaced,
 
 
 def _swept(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     pool = split_frames(departures(spark, sf), "composition", CAL)["pool"]
     return sweep(pool, scored, "base", {"some": SCOPE, "all": None}, LIMITS, WIDE)
 
@@ -333,14 +337,14 @@ select label, n, round(base_raw, 6) as base_raw, round(cand_raw, 6) as cand_raw,
   round(low_raw, 6) as low_raw, round(high_raw, 6) as high_raw, cand_raw < base_raw as improves_raw, win_raw >= 0.95 as confident_raw,
   cand_raw < base_raw and win_raw >= 0.95 as passed from pt join bt using (label)""")
 def plain(spark, sf):
-    return rounded(plain_gate(_scored(spark, sf)[0], "plain"), "base_raw", "cand_raw", "largest_share", "win_raw", "low_raw", "high_raw")
+    return rounded(plain_gate(_rows(spark, sf), "plain"), "base_raw", "cand_raw", "largest_share", "win_raw", "low_raw", "high_raw")
 
 
 @query("gat4_outside_invariance", f"""with {COMP} select count(*) filter (entity not in {SEGMENTS}) as rows_outside,
   count(*) filter (entity not in {SEGMENTS} and base <> cand) as changed_outside,
   coalesce(max(abs(cand - base)) filter (entity not in {SEGMENTS}), 0)::double as max_change_outside from scored""")
 def outside(spark, sf):
-    return _scored(spark, sf)[0].agg(*invariance(F.col("entity").isin(*SPECIALISTS)))
+    return _rows(spark, sf).agg(*invariance(F.col("entity").isin(*SPECIALISTS)))
 
 
 @query("gat5_keep_rule", f"""with {COMP}, {line_sql('composition')}, {arms_sql(60.0)}, sub as (select *, 'keep' as label from errs),
@@ -360,7 +364,7 @@ def keep(spark, sf):
 select c > m as permitted, round(c, 6) as control, round(m, 6) as model from e""")
 def persisted(spark, sf):
     """Persist the verdict, read it back, and let the check decide whether a final fit may run."""
-    verdict = settle(plain_gate(_scored(spark, sf)[0], "final", replicates=100), "verdict")
+    verdict = settle(plain_gate(_rows(spark, sf), "final", replicates=100), "verdict")
     try:
         require_better(verdict)
         permitted = True
@@ -386,7 +390,7 @@ ENC_ARM = "coalesce(0.5::double * base + 0.5::double * enc, base)"
 
 
 def _october(spark, sf):
-    scored, _ = _scored(spark, sf, "october")
+    scored = _rows(spark, sf, "october")
     return scored.withColumn("blend", F.coalesce(0.5 * F.col("base") + 0.5 * F.col(SPEC.name), F.col("base")))
 
 

@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from eventide.catalog.adapter import DEPS, MOVES, SPECIALISTS, departures, moves, table
-from eventide.catalog.evaluation import COMP, SEGMENTS, SPEC, TRIGGER, IN_SCOPE, line_sql, _scored
+from eventide.catalog.evaluation import COMP, SEGMENTS, SPEC, TRIGGER, IN_SCOPE, line_sql, _rows, _scored
 from eventide.catalog.registry import query, r6, rounded
 from eventide.functions.clock import calendar, micros, seconds_between
 from eventide.functions.expr import (clip, finite, half_even, lenient_double, mapped, prefix_group, strict_minute,
@@ -515,7 +515,7 @@ def available(spark, sf):
 
 
 def _residuals(spark, sf, part):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     return residual_audit(scored, "base", "duration_s", "offblock_missing", "entity", "move_minus_sched", ["move_minus_sched", "k", "hour"])[part]
 
 
@@ -562,14 +562,14 @@ def residual_exposure(spark, sf):
 
 @query("bld1_fixed_blend", f"with {COMP} select id, 0.3::double * base + 0.7::double * coalesce(enc, base) as pred from scored")
 def blended(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     other = scored.select("id", F.coalesce(F.col(SPEC.name), F.col("base")).alias("pred"))
     return blend(scored.select("id", F.col("base").alias("pred")), other, 0.3)
 
 
 @query("bld2_recombined", f"""with {COMP} select id, round(case when entity in {SEGMENTS} then 0.5::double * (base + 10) + 0.5::double * coalesce(enc, base) else base + 10 end, 6) as pred from scored""")
 def recombined(spark, sf):
-    scored, _ = _scored(spark, sf)
+    scored = _rows(spark, sf)
     s = F.coalesce(F.col(SPEC.name), F.col("base"))
     both = scored.withColumn("specialist", s).withColumn("fresh", F.col("base") + 10)
     both = both.withColumn("kept", F.when(F.col("entity").isin(*SPECIALISTS), 0.5 * F.col("base") + 0.5 * s).otherwise(F.col("base")))

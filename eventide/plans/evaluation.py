@@ -35,15 +35,16 @@ def closed_form_predictions(fit: DataFrame, rows: DataFrame, segment: str, scope
     return blend_segments(transform(out, {spec: encoding}), segment, scope, "base", spec.name, name="cand")
 
 
-def scored_split(df: DataFrame, split: str, cal: Calendar, trigger: Trigger, scope: Sequence, **how) -> tuple[DataFrame, DataFrame]:
-    """Persisted test predictions and the persisted overlay line of a split.
-
-    Both arms of a comparison, the bootstrap and the report read the written predictions, so
-    nothing upstream runs twice.
-    """
+def scored_rows(df: DataFrame, split: str, cal: Calendar, scope: Sequence, **how) -> DataFrame:
+    """Persisted test predictions of a split: what follows reads them instead of predicting again."""
     parts = split_frames(df, split, cal)
-    scored = closed_form_predictions(parts["fit"], parts["test"], cal.entity, scope, **how)
-    return settle(scored, "scored"), settle(fit_overlay(parts["pool"], trigger), "line")
+    return settle(closed_form_predictions(parts["fit"], parts["test"], cal.entity, scope, **how), "scored")
+
+
+def scored_split(df: DataFrame, split: str, cal: Calendar, trigger: Trigger, scope: Sequence, **how) -> tuple[DataFrame, DataFrame]:
+    """Persisted test predictions and the persisted overlay line, for both arms of a comparison."""
+    line = settle(fit_overlay(split_frames(df, split, cal)["pool"], trigger), "line")
+    return scored_rows(df, split, cal, scope, **how), line
 
 
 def global_median(df: DataFrame, target: str = "duration_s") -> DataFrame:
