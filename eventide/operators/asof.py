@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.clock import HOUR_US
+from eventide.operators.prefix import BUCKET_US
 
 TOLERANCE_US = 3 * HOUR_US
 
@@ -22,7 +23,7 @@ def latest_per_instant(obs: DataFrame, by: Sequence[str], on: str, prefer: Seque
 
 
 def asof_attach(queries: DataFrame, obs: DataFrame, by: Sequence[str], at: str, obs_at: str,
-                tolerance_us: int = TOLERANCE_US, width_us: int | None = None,
+                tolerance_us: int = TOLERANCE_US, width_us: int = BUCKET_US,
                 prefer: Sequence[str] = ()) -> DataFrame:
     """Attach the latest observation with ``at - tolerance <= obs_at <= at`` of the same ``by``.
 
@@ -32,7 +33,7 @@ def asof_attach(queries: DataFrame, obs: DataFrame, by: Sequence[str], at: str,
     (by, at). Observations at the same instant are resolved by ``prefer``, then by their fields.
     """
     by = list(by)
-    keys, width_us = ", ".join(by), width_us or tolerance_us
+    keys = ", ".join(by)
     payload = [c for c in obs.columns if c not in by]
     bucket = f"_t div {width_us} as _bucket"
     seen = (

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import clip, half_even
-from eventide.operators.contracts import enforce_same_ids
+from eventide.operators.contracts import join_same_ids
 from eventide.operators.overlay import Trigger, apply_overlay
 
 BLEND_WEIGHT = 0.5
@@ -18,9 +18,8 @@ def blend(left: DataFrame, right: DataFrame, left_weight: float = BLEND_WEIGHT,
     """Fixed-weight mean of two prediction tables that must hold the same ids."""
     if not 0.0 <= left_weight <= 1.0:
         raise ValueError("left_weight must be between 0 and 1")
-    enforce_same_ids(left, right, id_col, "prediction ids")
     r = right.select(id_col, F.col(pred).alias("_r"))
-    return left.join(r, id_col).select(
+    return join_same_ids(left.select(id_col, pred), r, id_col, "prediction ids").select(
         id_col, (left_weight * F.col(pred) + (1.0 - left_weight) * F.col("_r")).alias(pred))
 
 

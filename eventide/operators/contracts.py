@@ -68,6 +68,20 @@ def enforce_same_ids(left: DataFrame, right: DataFrame, id_col: str = "id", what
         raise ValueError(f"{what} differ: {row.asDict()}")
 
 
+def join_same_ids(base: DataFrame, additions: DataFrame, id_col: str = "id", what: str = "ids") -> DataFrame:
+    """Add columns by id; the job fails unless both sides hold exactly the same ids, each once.
+
+    The check rides on the join: both sides are already brought together by id for it, so
+    nothing is computed twice and no extra shuffle is needed.
+    """
+    values = [c for c in additions.columns if c != id_col]
+    right = additions.groupBy(id_col).agg(*[F.any_value(c).alias(c) for c in values], F.count("*").alias("_right"))
+    left = base.selectExpr("*", f"count(*) over (partition by {id_col}) as _left")
+    same = F.coalesce((F.col("_left") == 1) & (F.col("_right") == 1), F.lit(False))
+    checked = F.when(same, True).otherwise(F.raise_error(F.lit(f"{what} differ between the two tables")).cast("boolean"))
+    return left.join(right, id_col, "full").filter(checked).select(*base.columns, *values)
+
+
 def _unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
     if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"{what} is not unique on {', '.join(keys)}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventide.functions.clock import calendar, minute_of_day, seconds_between
 from eventide.functions.expr import clip, missing_flag, prefix_group, weekend_flag
 from eventide.operators.codes import attach_codes, code_dimension
-from eventide.operators.contracts import enforce_same_ids
+from eventide.operators.contracts import join_same_ids
 from eventide.operators.neighborhood import CONGESTION, congestion
 from eventide.operators.prefix import BUCKET_US
 from eventide.plans.settle import settle
@@ -70,14 +70,12 @@ def build_coded(train: DataFrame, rank: DataFrame, columns: Sequence[str] = CATE
     return attach_codes(train, dimension, columns), attach_codes(rank, dimension, columns), dimension
 
 
-def attach_by_id(base: DataFrame, additions: DataFrame, check: bool = True) -> DataFrame:
+def attach_by_id(base: DataFrame, additions: DataFrame) -> DataFrame:
     """Add columns by id; both sides must hold the same ids and no new name may exist already."""
     clash = sorted(set(additions.columns) & set(base.columns) - {"id"})
     if clash:
         raise ValueError(f"table already contains: {', '.join(clash)}")
-    if check:
-        enforce_same_ids(base, additions, what="feature ids")
-    return base.join(additions, "id", "left")
+    return join_same_ids(base, additions, what="feature ids")
 
 
 def coverage(df: DataFrame, value: str, support: str | None = None, enough: int = 5) -> DataFrame:

@@ -253,8 +253,9 @@ def test_blends(spark):
     assert out == {1: 2.5, 2: 35.0}
     with pytest.raises(ValueError):
         blend(ids(spark, [1]), ids(spark, [1]), 1.5)
-    with pytest.raises(ValueError):
-        blend(ids(spark, [1]), ids(spark, [2]))
+    for other in ([2], [1, 1], [1, 2], [None]):
+        with pytest.raises(Exception, match="prediction ids differ"):
+            blend(ids(spark, [1]), ids(spark, other)).collect()
     seg = spark.createDataFrame([("A", 10.0, 20.0), ("B", 10.0, 20.0), ("A", 10.0, None), (None, 10.0, 20.0)], "entity string, base double, s double")
     assert [r["pred"] for r in blend_segments(seg, "entity", ("A",), "base", "s").collect()] == [15.0, 10.0, 10.0, 10.0]
     assert sorted(tuple(r) for r in substitute(ids(spark, [1, 2], [1.0, 2.0]), ids(spark, [2], [9.0])).collect()) == [(1, 1.0), (2, 9.0)]

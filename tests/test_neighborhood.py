@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions.clock import HOUR_US, MINUTE_US
 from eventide.operators.asof import asof_attach
+from eventide.operators.prefix import suited_width
 from eventide.operators.neighborhood import (completed_state, congestion, frame_sums, overlapping_intervals, prior,
                                              prior_closed, following)
 
@@ -104,7 +105,7 @@ def test_overlaps_dense(spark):
     assert max(v for v in want.values() if v is not None) >= 5
 
 
-@pytest.mark.parametrize("width", [None, MINUTE_US, 48 * HOUR_US])
+@pytest.mark.parametrize("width", [10 * MINUTE_US, MINUTE_US, 48 * HOUR_US])
 def test_asof_edges(spark, width):
     tol = 3 * HOUR_US
     q = spark.createDataFrame([(1, "A", T), (2, "B", T), (3, "C", T), (4, "D", T), (5, None, T), (6, "A", None), (7, "F", T), (8, "F", T)],
@@ -149,6 +150,14 @@ def test_scopes_are_separate_universes(spark):
     assert [out[i]["dep_prev_15"] for i in (1, 2, 3)] == [1, 2, 2]
 
 
+def test_suited_width_follows_the_densest_key(spark):
+    dense = spark.range(6000).select(F.lit("H").alias("k"), (F.col("id") * 10_000 + T).alias("at"))
+    thin = spark.range(50).select(F.lit("L").alias("k"), (F.col("id") * HOUR_US + T).alias("at"))
+    df = dense.unionByName(thin)
+    assert 0.8 < suited_width(df, ["k"], "at", 600) / (MINUTE_US / 10) < 1.25
+    assert suited_width(df.limit(0), ["k"], "at") > 0
+
+
 def test_hot_key_stays_linear(spark):
     """A third of all rows on one key and instant: the log collapses to its instants before ordering."""
     hot = spark.range(30_000).select(F.lit("H").alias("k"), F.lit(T).alias("at"))

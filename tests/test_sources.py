@@ -97,8 +97,8 @@ BBB,2025-03-01 12:01,1.0,1.0,0,0,0,0,TSRA,CLR,,,,,,,
 
 
 def feed(spark, tmp_path, text=CSV):
-    (tmp_path / "metar_1.csv").write_text(text)
-    return read_observations(spark, str(tmp_path / "metar_*.csv"))
+    (tmp_path / "feed_1.csv").write_text(text)
+    return read_observations(spark, str(tmp_path / "feed_*.csv"))
 
 
 def test_observations(spark, tmp_path):
@@ -143,8 +143,10 @@ def test_feature_blocks_are_checked(spark):
     c = coverage(out, "n", "n").first()
     assert (c["coverage_pct"], c["enough_pct"], c["mean_support"], c["min_support"]) == (50.0, 50.0, 5.0, 5)
     for bad in (good.filter("id = 1"), good.unionByName(good), good.withColumn("id", F.col("id") + 1)):
-        with pytest.raises(ValueError):
-            attach_by_id(base, bad)
+        with pytest.raises(Exception, match="feature ids differ"):
+            attach_by_id(base, bad).collect()
+    with pytest.raises(Exception, match="feature ids differ"):
+        attach_by_id(base.unionByName(base), good).collect()
     with pytest.raises(ValueError, match="already contains"):
         attach_by_id(base, good.withColumnRenamed("n", "x"))
     dep = spark.createDataFrame([(1, "A", 5), (2, "A", None), (3, None, 5)], "id long, entity string, offblock_us long")
