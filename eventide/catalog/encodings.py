@@ -109,12 +109,15 @@ def _fold_report(df):
     keys = ["month", *KEYS, "duration_s"]
     counted = with_folds(settle(df.groupBy(*keys).agg(F.count("*").alias("w")), "counts"))
     train, test = counted.filter("role = 'train'"), counted.filter("role = 'test'")
-    table = settle(fit_backoff(train, by=["fold"], weight="w"), "medians")
-    entity_only = fit_backoff(train, [("entity",)], by=["fold"], weight="w", min_support=1)
+    groups = settle(fit_backoff(train, by=["fold"], weight="w", min_support=1), "medians")
+    top, entity_level = len(LEVELS), LEVELS.index(("entity",))
+    table = groups.filter((F.col("support") >= MIN_SUPPORT) | (F.col("level") == top))
     scored = predict_backoff(test, table, by=["fold"], name="hier")
-    scored = predict_backoff(scored, entity_only, [("entity",)], by=["fold"], name="ent")
-    overall = table.filter(F.col("level") == len(LEVELS)).select("fold", F.col("median").alias("glob"))
-    scored = scored.join(F.broadcast(overall), "fold")  # one row per fold of a fixed list
+    entity_only = groups.filter(F.col("level") == entity_level).select(
+        "fold", F.col("k_entity").alias("entity"), F.col("median").alias("ent"))
+    overall = groups.filter(F.col("level") == top).select("fold", F.col("median").alias("glob"))
+    scored = scored.join(entity_only, ["fold", "entity"], "left")
+    scored = scored.join(F.broadcast(overall), "fold").withColumn("ent", F.coalesce("ent", "glob"))  # one row per fold of a fixed list
     y = F.col("duration_s")
 
     def root(p):
