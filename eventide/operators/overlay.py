@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventide.functions.expr import clip, nan_to_null
 from eventide.functions.quantiles import LINEAR, exact_quantiles, with_quantiles
 from eventide.operators.metrics import percent_true, squared_error
+from eventide.plans.settle import settle
 
 # Fixed values.
 THRESHOLD = 14_400
@@ -209,7 +210,7 @@ def calibrate(df: DataFrame, calibration: DataFrame, pred: str, truth: str, enti
 
     An entity to be calibrated that has fewer than ``min_rows`` calibration rows fails the job.
     """
-    lines = fit_line(calibration, F.col(pred).cast("double"), truth, [entity]).select(
+    lines = settle(calibration_lines(calibration, pred, truth, entity), "lines").select(
         entity, F.when(F.col("n") >= min_rows, F.col("intercept")).alias("_a"), F.col("slope").alias("_b"))
     value = F.when(F.col("_a").isNull() | F.col("_b").isNull(),
                    F.raise_error(F.lit("insufficient calibration rows")).cast("double"))
