@@ -104,7 +104,7 @@ def _neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame, degree: int, e
     return rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(run, "a long, b long, score double")
 
 
-def build_graph(nodes: DataFrame, degree: int = 20, block: int = 512, each: int = 5, rounds: int = 8, settled: float = 0.01, seed: int = 11) -> DataFrame:
+def build_graph(nodes: DataFrame, degree: int = 30, block: int = 512, each: int = 6, rounds: int = 10, settled: float = 0.01, seed: int = 11) -> DataFrame:
     """(a, b, score, fresh): each node's nearest nodes found. All vectors of ``nodes`` have one dimension."""
     ship(nodes.sparkSession)
     start = _best(_start(nodes, degree, block, seed).unionByName(_start(nodes, degree, block, seed + 1)).groupBy("a", "b").agg(
@@ -125,8 +125,11 @@ def _cosine(v: Column, w: Column, norms: Column) -> Column:
     return F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / norms
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 64) -> DataFrame:
-    """(q, node, score): the beam of each query. ``queries``: q, v, norm and start, the node at which it begins."""
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 128, degree: int = 30) -> DataFrame:
+    """(q, node, score): the beam of each query. ``queries``: q, v, norm and start, the node at which it begins.
+
+    Walks follow a node's list and the nearest ``degree`` of those that list it.
+    """
     targets = nodes.select("node", F.col("v").alias("w"), F.col("norm").alias("node_norm"))
     asked = queries.select("q", "v", "norm")
 
@@ -134,7 +137,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 6
         return pairs.join(targets, "node").join(asked, "q").select(
             "q", "node", _cosine(F.col("v"), F.col("w"), F.col("norm") * F.col("node_norm")).alias("score"))
 
-    links = graph.select(F.col("a").alias("node"), F.col("b").alias("next"))
+    ahead = graph.select(F.col("a").alias("node"), F.col("b").alias("next"))
+    back = _best(graph.select(F.col("b").alias("node"), F.col("a").alias("next"), "score"), "node", "score", "next", degree).select("node", "next")
+    links = settle(ahead.unionByName(back).distinct(), "walks")
     state = settle(scored(queries.select("q", F.col("start").alias("node"))).withColumn("open", F.lit(True)), "beam")
     while True:
         met = state.filter("open").join(links, "node").select("q", F.col("next").alias("node")).distinct()
@@ -145,8 +150,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 6
             return state.select("q", "node", "score")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", degree: int = 20,
-            beam: int = 64, **options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", degree: int = 30,
+            beam: int = 128, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row, itself excluded.
 
     Rows whose vector is null, zero or not finite, or whose id is null, neither ask nor answer. Repeated rows of an id are one.
@@ -160,7 +165,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     for (dims,) in nodes.select("dims").distinct().collect():  # one row per model that made vectors
         own = nodes.filter(F.col("dims") == dims)
         graph = build_graph(own, degree=degree, **options)
-        part = search(asked.filter(F.col("dims") == dims), graph, own, beam).join(own.select("node", "ids"), "node")
+        part = search(asked.filter(F.col("dims") == dims), graph, own, beam, degree).join(own.select("node", "ids"), "node")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {vec_id} long, score double")
