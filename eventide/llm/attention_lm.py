@@ -1,8 +1,8 @@
 """Scoring texts with a causal self-attention model over subword ids, next to a smoothed unigram base.
 
 Texts are lower-cased and cut into words; words are coded by a public tokenizer (" word"), one end closes a text. The model
-gives P(id | before) = P(class | before) * P(id | class). Classes group ids that keep like company; P(id | class) comes from
-the counts of all training words. P(class | before) is one layer of masked self-attention with relative positions, written
+gives P(id | before) = P(class | before) * P(id | class, class before it in the word). Classes group ids that keep like
+company; the second factor comes from the counts of all training words. P(class | before) is one layer of masked self-attention with relative positions, written
 and trained in numpy: Spark tasks run mini-batches over their share of the training windows and the weights are averaged,
 round by round. Scoring uses windows that overlap by ``OVERLAP`` tokens, so each token is scored once, with at least that much
 of what stands before it (if there is that much), in batches of masked attention.
@@ -25,7 +25,8 @@ from eventide.llm.common import blank_text, settle, ship
 
 WIDTH, OVERLAP = 40, 16
 STEP = WIDTH - OVERLAP
-CLASSES, DIMS, SINGLE = 64, 16, 24
+CLASSES, DIMS, SINGLE = 96, 16, 48
+TRUST = 10.0  # training tokens that the class's own shares weigh against those after a given class
 END_WORD = b""  # no word is empty
 
 
@@ -69,12 +70,21 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def start_weights(class_shares: np.ndarray, seed: int = 5) -> np.ndarray:
+def start_weights(class_shares: np.ndarray, follows: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Random attention over a start that gives, in low rank, how often a class (row; the last: the text begins) is followed by another."""
     rng = np.random.default_rng(seed)
-    p = {n: rng.normal(0, 0.3 if n == "embed" else DIMS ** -0.5, s) for n, s in SHAPES.items()}
-    p["out"] *= 0.1
-    p["near"] = np.zeros(WIDTH)
-    p["bias"] = np.log(class_shares)
+    class_shares = np.maximum(class_shares, 1e-9)  # a class can be empty
+    p = {n: rng.normal(0, DIMS ** -0.5, s) for n, s in SHAPES.items()}
+    p["v"] *= 0.1
+    p["near"], p["bias"] = np.zeros(WIDTH), np.log(class_shares)
+    shares = (follows + 5 * class_shares) / (follows.sum(axis=1, keepdims=True) + 5)
+    weight = np.sqrt((follows.sum(axis=1, keepdims=True) + 1) / (follows.sum() + len(follows)))
+    half = DIMS // 2
+    u, scale, v = np.linalg.svd(np.log(shares / class_shares) * weight, full_matrices=False)
+    root = np.sqrt(scale[:half])
+    u = u[:, :half] * root / weight
+    p["embed"] = np.concatenate([u, -u], axis=1)  # of a number and its negative one passes the rectifier
+    p["out"] = np.concatenate([v[:half] * root[:, None], -v[:half] * root[:, None]])
     return np.concatenate([p[n].ravel() for n in SHAPES]).astype(np.float32)
 
 
@@ -84,40 +94,43 @@ def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[fl
     there = seen >= 0
     c = np.where(there, seen, 0)
     x = p["embed"][c]
-    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(DIMS ** 0.5) + p["near"][np.maximum(BEFORE, 0)] + FUTURE + np.where(there, 0, np.float32(-1e9))[:, None, :]
+    last, goals = x[:, OVERLAP:], target[:, OVERLAP:]
+    q, k, v = last @ p["q"], x @ p["k"], x @ p["v"]
+    s = q @ k.transpose(0, 2, 1) / np.float32(DIMS ** 0.5)
+    s += (p["near"][np.maximum(BEFORE, 0)] + FUTURE)[OVERLAP:]
+    s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
     w = np.exp(s - s.max(axis=2, keepdims=True))
     w /= w.sum(axis=2, keepdims=True)
-    u = x + w @ v
+    u = last + w @ v
     h = np.maximum(u, 0)
     z = h @ p["out"] + p["bias"]
     z -= z.max(axis=2, keepdims=True)
     e = np.exp(z)
     total = e.sum(axis=2, keepdims=True)
-    b, t = np.nonzero(target >= 0)
-    goal = target[b, t]
+    b, t = np.nonzero(goals >= 0)
+    goal = goals[b, t]
     loss = float((np.log(total[b, t, 0]) - z[b, t, goal]).mean())
-    dz = e / total
-    dz[target < 0] = 0
-    dz[b, t, goal] -= 1
-    dz /= len(b)
-    g = {"out": np.tensordot(h, dz, ((0, 1), (0, 1))), "bias": dz.sum(axis=(0, 1))}
-    du = (dz @ p["out"].T) * (u > 0)
+    e /= total
+    e[goals < 0] = 0
+    e[b, t, goal] -= 1
+    e /= np.float32(len(b))
+    g = {"out": np.tensordot(h, e, ((0, 1), (0, 1))), "bias": e.sum(axis=(0, 1))}
+    du = (e @ p["out"].T) * (u > 0)
     dv = w.transpose(0, 2, 1) @ du
     dw = du @ v.transpose(0, 2, 1)
     ds = w * (dw - (dw * w).sum(axis=2, keepdims=True))
-    g["near"] = np.bincount(np.maximum(BEFORE, 0).ravel(), ds.sum(axis=0).ravel(), WIDTH)
-    ds = ds / np.float32(DIMS ** 0.5)
+    g["near"] = np.bincount(np.maximum(BEFORE, 0)[OVERLAP:].ravel(), ds.sum(axis=0).ravel(), WIDTH)
+    ds /= np.float32(DIMS ** 0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = np.tensordot(x, d, ((0, 1), (0, 1)))
-    dx = du + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g["embed"] = np.zeros(SHAPES["embed"], dtype=np.float32)
-    np.add.at(g["embed"], c[there], dx[there])
+    g["q"], g["k"], g["v"] = (np.tensordot(y, d, ((0, 1), (0, 1))) for y, d in ((last, dq), (x, dk), (x, dv)))
+    dx = dk @ p["k"].T + dv @ p["v"].T
+    dx[:, OVERLAP:] += du + dq @ p["q"].T
+    at = c[there]
+    g["embed"] = np.stack([np.bincount(at, column, CLASSES + 1) for column in dx[there].T], axis=1)
     return loss, np.concatenate([g[n].ravel() for n in SHAPES]).astype(np.float32)
 
 
-def train_locally(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, rate: float, batch: int = 128) -> np.ndarray:
+def train_locally(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, rate: float, batch: int = 64) -> np.ndarray:
     """One pass of Adam over the windows."""
     flat, first, second = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
     for n, at in enumerate(range(0, len(seen), batch), 1):
@@ -233,19 +246,39 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("bucket", "train", "_text").mapInArrow(run, "bucket long, word binary, n long").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
 
 
-def _id_counts(words: DataFrame, path: str) -> np.ndarray:
+def _id_counts(words: DataFrame, path: str, classes: np.ndarray | None = None) -> np.ndarray:
+    """Training occurrences of each id; with ``classes``, by the class before it in its word (CLASSES: it begins the word)."""
+    ids_in_all = coder(path)[1] + 1
+    sent = words.sparkSession.sparkContext.broadcast(classes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(coder(path)[1] + 1, dtype=np.int64)
+        total = np.zeros(ids_in_all * (1 if sent.value is None else CLASSES + 1), dtype=np.int64)
         for b in batches:
             ids, sizes = code_words(path, b.column(0).to_pylist())
-            total += np.bincount(ids, np.repeat(b.column(1).to_numpy(), sizes), len(total)).astype(np.int64)
+            at = ids if sent.value is None else before_in_word(ids, sizes, sent.value) * ids_in_all + ids
+            np.add.at(total, at, np.repeat(b.column(1).to_numpy(), sizes))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    rows = words.filter("c > 0").select("word", "c").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # by vocabulary
+    out = np.zeros(ids_in_all * (1 if classes is None else CLASSES + 1))
+    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return out if classes is None else out.reshape(CLASSES + 1, ids_in_all)
+
+
+def before_in_word(ids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), dtype=np.int64)
+    out[1:] = classes[ids[:-1]]
+    out[np.cumsum(sizes) - sizes] = CLASSES
+    return out
+
 
-    rows = words.filter("c > 0").select("word", "c").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # the vocabulary
-    out = np.zeros(coder(path)[1] + 1)
-    for r in rows:
-        out[r["id"]] = r["n"]
+def log_shares(by_id: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Log P(id | its class, class before it in the word)."""
+    own = (by_id + 0.5) / np.bincount(classes, by_id + 0.5, CLASSES)[classes]
+    out = np.empty(after.shape, dtype=np.float32)
+    for k, row in enumerate(after):
+        out[k] = np.log((row + TRUST * own) / (np.bincount(classes, row, CLASSES)[classes] + TRUST))
     return out
 
 
@@ -303,7 +336,7 @@ def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int,
     return flat
 
 
-def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "doc_id", text: str = "text", share: int = 32,
+def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "doc_id", text: str = "text", share: int = 16,
                     rounds: int = 3, bucket_rows: int = 4096, share_windows: int = 20_000, seed: int = 9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 of the text's probability).
 
@@ -323,9 +356,11 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
     by_hash = picked.orderBy("key", "ids").limit(4000).collect()  # a bounded sample, for the classes only
     classes = make_classes([[i for i in r["ids"] if i >= 0] for r in by_hash], by_id)
     mass = np.bincount(classes, by_id + 0.5, CLASSES)
-    within = np.log(by_id + 0.5) - np.log(mass[classes])
-    present = np.maximum(mass, 1e-9)
-    flat = _train(picked, classes, start_weights(present / present.sum()), rounds, share_windows)
+    within = log_shares(by_id, _id_counts(counts, ranks, classes), classes)
+    follows = np.zeros((CLASSES + 1, CLASSES))
+    seen, target = _window_classes([r["ids"] for r in by_hash], classes)
+    np.add.at(follows, (seen[target >= 0], target[target >= 0]), 1.0)
+    flat = _train(picked, classes, start_weights(mass / mass.sum(), follows), rounds, share_windows)
     model = spark.sparkContext.broadcast((flat, classes, within))
     log_all = float(np.log10(total + distinct + 1))
 
@@ -335,6 +370,7 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
         c = known.column("c").to_numpy()
         base = np.log10(c + 1.0) - log_all
         ids, sizes = code_words(ranks, list(place))
+        static = within[before_in_word(ids, sizes, classes), ids].astype(np.float64)
         starts = np.cumsum(sizes) - sizes
         end = place[END_WORD]
         made = []
@@ -345,8 +381,7 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
             every = np.concatenate(held)
             n = sizes[every]
             at = np.repeat(starts[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own = ids[at]
-            logs = class_log_probs(flat, classes[own], lengths) + within[own]
+            logs = class_log_probs(flat, classes[ids[at]], lengths) + static[at]
             scores.extend((np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)).tolist())
             held.clear()
 
