@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: texts that are null or without letters go, and those of which no language holds half."""
     columns = docs.columns
     model = fit(docs.filter(~training_fold()).select("text", "lang"))
-    named = identify(docs, model, tuple(columns))
-    return named.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE)).select(*columns)
+    named = identify(docs, model, tuple(columns), label="_lang_pred", score="_lang_score")
+    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

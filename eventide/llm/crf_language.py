@@ -211,11 +211,12 @@ def fit(training: DataFrame, text: str = "text", label: str = "lang", per_langua
     return model
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, lang_pred and lang_score (0 to 1). ``und`` and 0 for a null text or one without a letter."""
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
+             label: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``keep`` columns, lang_pred and lang_score (0 to 1), or as named. ``und`` and 0 for a null text or one without a letter."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "lang_pred", "lang_score"]
+    names = [*keep, label, score]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,7 +232,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
             made = [pa.array(labels + x[0], pa.string()), pa.array(scores + x[1], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *made], names)
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, lang_score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{label} string, {score} double"])
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
 
 

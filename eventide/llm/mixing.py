@@ -65,17 +65,23 @@ def apportion(claims: DataFrame, within: list[str], key: str, weight: str, seats
         *claims.columns, (F.col("_low") + F.coalesce("_won", F.lit(0))).cast("long").alias(out))
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source", doc_id: str = "doc_id",
-        weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, block_words: int = 50, shard_words: int = 200_000,
-        seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """``keep`` columns, then size, source_size, target and taken (words that the mix takes of the document).
 
     Null texts have size 0 and are taken 0 times; null sources are a source of their own; repeated rows of an id are rows of
-    their own; an empty table gives an empty one. Columns named like the results are only in the way if kept.
+    their own; an empty table gives an empty one. Columns named like the results are only in the way if kept. For options see
+    ``_mixed``.
     """
+    return _mixed(docs, keep, **options).select(*keep, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                                                F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def _mixed(docs: DataFrame, keep: tuple[str, ...], text: str = "text", source: str = "source", doc_id: str = "doc_id",
+           weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, block_words: int = 50, shard_words: int = 200_000,
+           seed: int = 7) -> DataFrame:
+    """``keep`` columns and those of the result, each with a leading underscore so that none clashes."""
     places = F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(str(seed))))
-    # "_" names keep the method's columns apart from the input's
-    rows = docs.select(*keep, word_count(blank_text(text)).alias("_size"), source_key(source).alias("source_key"), places.alias("_place"))
+    rows = docs.select(F.struct(*keep).alias("_row"), word_count(blank_text(text)).alias("_size"), source_key(source).alias("source_key"), places.alias("_place"))
     number = F.conv(F.substring("_place", 1, 8), 16, 10).cast("long")
     sizes = settle(rows.groupBy("source_key").agg(F.sum("_size").alias("source_size")), "sources")
     plan = targets(sizes, weights, share, repeats).withColumns({
@@ -90,12 +96,12 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text"
     words = F.col("shard_quota") * block_words - F.col("_start")
     taken = sum((F.greatest(F.least(F.col("_size"), words - (F.col("shard_size") * k).cast("long")), F.lit(0)) for k in range(1, repeats)),
                 F.greatest(F.least(F.col("_size"), words), F.lit(0)))
-    return rows.select(*keep, F.col("_size").alias("size"), F.col("source_size").cast("long"), F.col("target"), taken.cast("long").alias("taken"))
+    return rows.select("_row.*", "_size", F.col("source_size").cast("long").alias("_source_size"), F.col("target").alias("_target"), taken.cast("long").alias("_taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix has them: whole documents, each as many times as its taken words come to (rounded)."""
     columns = docs.columns
-    out = mix(docs.select("*"), keep=tuple(columns), **options)
-    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(F.lit(0))
+    out = _mixed(docs, tuple(columns), **options)
+    copies = F.when(F.col("_size") > 0, F.floor((2 * F.col("_taken") + F.col("_size")) / (2 * F.col("_size")))).otherwise(F.lit(0))
     return out.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*columns)
