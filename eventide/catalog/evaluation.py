@@ -294,12 +294,13 @@ lab as (select *, '{split}' as label from errs), {boot_sql('lab', 'label', ['eb'
 pt as (select label, count(*) as n, count(*) filter (touched) as touched, sqrt(avg(eb)) as base_raw, sqrt(avg(ec)) as cand_raw,
   sqrt(avg(ebo)) as base_overlaid, sqrt(avg(eco)) as cand_overlaid, count(*) filter ({outside}) as rows_outside,
   count(*) filter ({outside} and cand <> base) as changed_outside, coalesce(max(abs(cand - base)) filter ({outside}), 0) as max_change_outside,
+  count(*) filter (not coalesce(isfinite(base) and isfinite(cand) and isfinite(ebo) and isfinite(eco), false)) as unusable,
   {SHARE.format(b='ebo', c='eco')} as largest_share from lab group by label),
 bt as (select label, {win_sql('eb', 'ec', 'raw')}, {win_sql('ebo', 'eco', 'overlaid')} from boot_sums group by label)
-select label, n, touched, rows_outside, changed_outside, {', '.join(f'round({c}, 6) as {c}' for c in NUMBERS)},
+select label, n, touched, rows_outside, changed_outside, unusable, {', '.join(f'round({c}, 6) as {c}' for c in NUMBERS)},
   cand_raw < base_raw as improves_raw, cand_overlaid < base_overlaid as improves_overlaid, win_raw >= 0.95 as confident_raw,
   win_overlaid >= 0.95 as confident_overlaid, changed_outside = 0 as unchanged, coalesce(largest_share <= 50, false) as broad,
-  cand_raw < base_raw and cand_overlaid < base_overlaid and {confident} and changed_outside = 0 and coalesce(largest_share <= 50, false) as passed
+  cand_raw < base_raw and cand_overlaid < base_overlaid and {confident} and changed_outside = 0 and coalesce(largest_share <= 50, false) and unusable = 0 as passed
 from pt join bt using (label)"""
 
 
@@ -330,18 +331,30 @@ for _split in ("forward", "seasonal", "december", "october"):
     _confirmation(_split)
 
 
-@query("gat3_plain_gate", f"""with {COMP}, lab as (select id, 'plain' as label, pow(base - duration_s, 2) as eb, pow(cand - duration_s, 2) as ec from scored),
+def plain_sql(label: str, cand: str) -> str:
+    return f"""with {COMP}, lab as (select id, '{label}' as label, pow(base - duration_s, 2) as eb, pow({cand} - duration_s, 2) as ec from scored),
 {boot_sql('lab', 'label', ['eb', 'ec'], 2000)}, pt as (select label, count(*) as n, sqrt(avg(eb)) as base_raw, sqrt(avg(ec)) as cand_raw,
+  count(*) filter (not coalesce(isfinite(eb) and isfinite(ec), false)) as unusable,
   {SHARE.format(b='eb', c='ec')} as largest_share from lab group by label), bt as (select label, {win_sql('eb', 'ec', 'raw')} from boot_sums group by label)
-select label, n, round(base_raw, 6) as base_raw, round(cand_raw, 6) as cand_raw, round(largest_share, 6) as largest_share, round(win_raw, 6) as win_raw,
+select label, n, unusable, round(base_raw, 6) as base_raw, round(cand_raw, 6) as cand_raw, round(largest_share, 6) as largest_share, round(win_raw, 6) as win_raw,
   round(low_raw, 6) as low_raw, round(high_raw, 6) as high_raw, cand_raw < base_raw as improves_raw, win_raw >= 0.95 as confident_raw,
-  cand_raw < base_raw and win_raw >= 0.95 as passed from pt join bt using (label)""")
+  cand_raw < base_raw and win_raw >= 0.95 and unusable = 0 as passed from pt join bt using (label)"""
+
+
+@query("gat3_plain_gate", plain_sql("plain", "cand"))
 def plain(spark, sf):
     return rounded(plain_gate(_rows(spark, sf), "plain"), "base_raw", "cand_raw", "largest_share", "win_raw", "low_raw", "high_raw")
 
 
+@query("gat3_missing_predictions", f"""with {COMP} select 'holes' as label, count(*) as n, count(*) filter (id % 10 = 3) as unusable, false as passed from scored""")
+def holes(spark, sf):
+    """A candidate that is perfect where it answers and silent elsewhere must not pass."""
+    silent = F.when(F.col("id") % 10 != 3, F.col("duration_s").cast("double"))
+    return plain_gate(_rows(spark, sf).withColumn("cand", silent), "holes", replicates=200).select("label", "n", "unusable", "passed")
+
+
 @query("gat4_outside_invariance", f"""with {COMP} select count(*) filter (entity not in {SEGMENTS}) as rows_outside,
-  count(*) filter (entity not in {SEGMENTS} and base <> cand) as changed_outside,
+  count(*) filter (entity not in {SEGMENTS} and base is distinct from cand) as changed_outside,
   coalesce(max(abs(cand - base)) filter (entity not in {SEGMENTS}), 0)::double as max_change_outside from scored""")
 def outside(spark, sf):
     return _rows(spark, sf).agg(*invariance(F.col("entity").isin(*SPECIALISTS)))

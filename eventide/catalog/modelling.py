@@ -19,7 +19,7 @@ from eventide.plans.settle import settle
 NUMERIC = ("implied_duration", "offblock_missing", "move_minus_sched", "move_minus_last", "move_minus_filed", "move_minus_initial",
            "offblock_minus_sched", "planned_length", "hour", "weekday", "dep_prev_30", "arr_prev_30", "lane_prev_30", "plan_dep_prev_30",
            "lane_share_30")
-QUICK = TreeParams(rounds=10, depth=4)
+PARAMS = TreeParams(rounds=20)
 
 
 def _frames(spark, sf, split="composition"):
@@ -35,7 +35,7 @@ def _frames(spark, sf, split="composition"):
 @query("mod1_global_model")
 def global_model(spark, sf):
     names, categorical = model_features(NUMERIC)
-    model, scored = run_split(_frames(spark, sf), names, categorical, QUICK)
+    model, scored = run_split(_frames(spark, sf), names, categorical, PARAMS)
     return scored.groupBy("month").agg(F.count("*").alias("n"), r6(rmse("pred", "duration_s"), "model_rmse"),
                                        r6(rmse("control", "duration_s"), "control_rmse")).withColumn("trees", F.lit(model.trees))
 
@@ -43,8 +43,8 @@ def global_model(spark, sf):
 def _specialists(spark, sf, segment, scope):
     frames = _frames(spark, sf)
     names, categorical = model_features(NUMERIC)
-    _, scored = run_split(frames, names, categorical, QUICK)
-    fitted = fit_specialists(frames["fit"], segment, scope, names, categorical, params=QUICK)
+    _, scored = run_split(frames, names, categorical, PARAMS)
+    fitted = fit_specialists(frames["fit"], segment, scope, names, categorical, params=PARAMS)
     local = predict_specialists(fitted, frames["test"], segment)
     both = blend_segments(scored.withColumnRenamed("pred", "base").join(local, "id", "left"), segment, scope, "base", "specialist")
     return both.groupBy(segment).agg(F.count("*").alias("n"), r6(rmse("base", "duration_s"), "base_rmse"),
@@ -65,8 +65,8 @@ def category_specialists(spark, sf):
 def subpopulation(spark, sf):
     frames = _frames(spark, sf)
     names, categorical = model_features(NUMERIC)
-    _, scored = run_split(frames, names, categorical, QUICK)
-    model = fit_subpopulation(frames["fit"], "offblock_missing", names, categorical, params=TreeParams(rounds=8, depth=3, min_rows=5))
+    _, scored = run_split(frames, names, categorical, PARAMS)
+    model = fit_subpopulation(frames["fit"], "offblock_missing", names, categorical, params=TreeParams(rounds=20, min_rows=5))
     own = model.predict(frames["test"].filter("offblock_missing = 1"))
     changed = substitute(scored.select("id", "pred"), own).withColumnRenamed("pred", "new")
     return scored.join(changed, "id").groupBy("offblock_missing").agg(
@@ -77,7 +77,7 @@ def subpopulation(spark, sf):
 def second_learner(spark, sf):
     frames = _frames(spark, sf)
     names, categorical = model_features(NUMERIC)
-    model = fit_trees(frames["fit"], names, categorical, params=TreeParams(rounds=12, depth=6), learner="forest", floor=60.0)
+    model = fit_trees(frames["fit"], names, categorical, params=TreeParams(rounds=20), learner="forest", floor=60.0)
     out = None
     for role in ("inner", "test"):
         part = model.predict(frames[role]).join(frames[role].select("id", "duration_s"), "id").withColumn("role", F.lit(role))
@@ -89,7 +89,7 @@ def second_learner(spark, sf):
 def importance(spark, sf):
     frames = _frames(spark, sf)
     names, categorical = model_features(NUMERIC)
-    return fit_trees(frames["fit"], names, categorical, params=QUICK).importance(15)
+    return fit_trees(frames["fit"], names, categorical, params=PARAMS).importance(15)
 
 
 @query("mod7_capacity_grid")
@@ -97,7 +97,7 @@ def grid(spark, sf):
     frames = _frames(spark, sf)
     names, categorical = model_features(NUMERIC)
     out = None
-    for config, model in capacity_grid(frames["fit"], CONFIGS, names, categorical, max_depth=5, rounds=3).items():
+    for config, model in capacity_grid(frames["fit"], CONFIGS, names, categorical, rounds=5).items():
         part = model.predict(frames["test"]).join(frames["test"].select("id", "duration_s"), "id").withColumn("config", F.lit(config))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("config").agg(F.count("*").alias("n"), r6(rmse("pred", "duration_s"), "rmse"))

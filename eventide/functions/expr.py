@@ -23,14 +23,17 @@ def all_present(cols: Sequence[str | Column]) -> Column:
 
 
 def clip(c: str | Column, lo: float | int | None = None, hi: float | int | None = None) -> Column:
-    """Bound a value. ``least`` and ``greatest`` skip nulls, so the null case is kept apart."""
+    """Bound a value; null stays null and NaN stays NaN.
+
+    ``least`` and ``greatest`` skip nulls and order NaN last, so neither case may reach them.
+    """
     c = as_col(c)
     out = c
     if hi is not None:
         out = F.least(out, F.lit(hi))
     if lo is not None:
         out = F.greatest(out, F.lit(lo))
-    return F.when(c.isNotNull(), out)
+    return F.when(F.isnan(c.cast("double")), c).when(c.isNotNull(), out)
 
 
 def missing_flag(c: str | Column) -> Column:

@@ -1,9 +1,13 @@
 """Acceptance gates: one verdict row per comparison, to be persisted and read by the next step."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventide.functions.expr import finite
 from eventide.operators.bootstrap import REPLICATES, paired_bootstrap
 from eventide.operators.metrics import largest_row_share, rmse, squared_error
 from eventide.operators.overlay import Trigger, apply_overlay
@@ -25,14 +29,22 @@ def _arms(df: DataFrame, trigger: Trigger, line: DataFrame, floor: float | None)
 
 
 def invariance(may_change: Column | None) -> list[Column]:
-    """Aggregates over rows outside the declared scope: how many, how many changed, by how much."""
+    """Aggregates over rows outside the declared scope: how many, how many changed, by how much.
+
+    A value that is missing on one side only has changed.
+    """
     outside = F.lit(False) if may_change is None else ~F.coalesce(may_change, F.lit(False))
     delta = F.abs(F.col("cand") - F.col("base"))
     return [F.count_if(outside).alias("rows_outside"),
-            F.count_if(outside & (delta != 0)).alias("changed_outside"),
+            F.count_if(outside & ~F.col("cand").eqNullSafe(F.col("base"))).alias("changed_outside"),
             F.coalesce(F.max(F.when(outside, delta)), F.lit(0.0)).alias("max_change_outside")]
 
 
+def unusable(truth: str, *predictions: str) -> Column:
+    """How many rows lack a finite truth or prediction. A mean would skip them and compare different rows."""
+    return F.count_if(~F.coalesce(reduce(and_, (finite(c) for c in (truth, *predictions))), F.lit(False))).alias("unusable")
+
+
 def overlay_gate(df: DataFrame, trigger: Trigger, line: DataFrame, may_change: Column | None, label: str,
                  policy: str = "both", min_win_rate: float = MIN_WIN_RATE,
                  max_row_share: float = MAX_ROW_SHARE, replicates: int = REPLICATES,
@@ -40,8 +52,8 @@ def overlay_gate(df: DataFrame, trigger: Trigger, line: DataFrame, may_change: C
     """Compare ``cand`` with ``base`` raw and under one common overlay.
 
     Passes when both point errors improve, the bootstrap is confident (``policy``: "both" arms,
-    or "shipping", the overlaid arm only), rows outside the scope are untouched, and no single
-    row owns more than ``max_row_share`` percent of the gain.
+    or "shipping", the overlaid arm only), rows outside the scope are untouched, no single row
+    owns more than ``max_row_share`` percent of the gain, and no row lacks a finite value.
     """
     if policy not in ("both", "shipping"):
         raise ValueError(f"unknown policy {policy!r}")
@@ -53,7 +65,7 @@ def overlay_gate(df: DataFrame, trigger: Trigger, line: DataFrame, may_change: C
         F.count("*").alias("n"), F.count_if("touched").alias("touched"),
         rmse("base", y).alias("base_raw"), rmse("cand", y).alias("cand_raw"),
         rmse("base_overlaid", y).alias("base_overlaid"), rmse("cand_overlaid", y).alias("cand_overlaid"),
-        *invariance(may_change),
+        *invariance(may_change), unusable(y, "base", "cand", "base_overlaid", "cand_overlaid"),
         largest_row_share(F.col("se_base_overlaid") - F.col("se_cand_overlaid")).alias("largest_share"))
     boot = paired_bootstrap(arms, id_col, {"raw": ("se_base", "se_cand"),
                                            "overlaid": ("se_base_overlaid", "se_cand_overlaid")},
@@ -70,25 +82,25 @@ def overlay_gate(df: DataFrame, trigger: Trigger, line: DataFrame, may_change: C
         .withColumn("unchanged", F.col("changed_outside") == 0)
         .withColumn("broad", F.coalesce(F.col("largest_share") <= max_row_share, F.lit(False)))
         .withColumn("passed", F.col("improves_raw") & F.col("improves_overlaid") & confident
-                    & F.col("unchanged") & F.col("broad"))
+                    & F.col("unchanged") & F.col("broad") & (F.col("unusable") == 0))
     )
 
 
 def plain_gate(df: DataFrame, label: str, truth: str = "duration_s", min_win_rate: float = MIN_WIN_RATE,
                replicates: int = REPLICATES, id_col: str = "id") -> DataFrame:
-    """Point improvement and bootstrap only; the largest-row share is reported, not judged."""
+    """Point improvement and bootstrap over rows that all have finite values; the largest-row share is reported, not judged."""
     arms = (
         df.withColumn("label", F.lit(label)).withColumn("se_base", squared_error("base", truth))
         .withColumn("se_cand", squared_error("cand", truth))
     )
     point = arms.groupBy("label").agg(
         F.count("*").alias("n"), rmse("base", truth).alias("base_raw"), rmse("cand", truth).alias("cand_raw"),
-        largest_row_share(F.col("se_base") - F.col("se_cand")).alias("largest_share"))
+        largest_row_share(F.col("se_base") - F.col("se_cand")).alias("largest_share"), unusable(truth, "base", "cand"))
     boot = paired_bootstrap(arms, id_col, {"raw": ("se_base", "se_cand")}, ["label"], replicates)
     return (
         point.join(boot, "label").withColumn("improves_raw", F.col("cand_raw") < F.col("base_raw"))
         .withColumn("confident_raw", F.col("win_raw") >= min_win_rate)
-        .withColumn("passed", F.col("improves_raw") & F.col("confident_raw"))
+        .withColumn("passed", F.col("improves_raw") & F.col("confident_raw") & (F.col("unusable") == 0))
     )
 
 

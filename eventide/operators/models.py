@@ -5,7 +5,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorIndexer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from eventide.functions.expr import clip, finite
 from eventide.operators.audit import usable_columns
 from eventide.plans.settle import shared_dir
 
-SEED = 20260901
+SEED = 4711
 _LABEL, _VECTOR, _HELD = "_label", "_features", "_held_out"
 
 
@@ -27,7 +27,6 @@ class TreeParams:
     step: float = 0.1
     min_rows: int = 20
     bins: int = 64
-    max_categories: int = 32
     row_fraction: float = 0.8
     feature_fraction: str = "all"
     seed: int = SEED
@@ -48,15 +47,28 @@ def feature_set(base: Sequence[str], add: Sequence[Sequence[str]] = (), drop: Se
     return names
 
 
-def model_rows(df: DataFrame, features: Sequence[str], categorical: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Doubles without nulls: unknown codes become -1, other nulls a value far below every other.
+def category_sizes(df: DataFrame, categorical: Sequence[str]) -> dict[str, int]:
+    """Values per declared category: codes from 0 to the largest, and one for unknown."""
+    if not categorical:
+        return {}
+    row = df.agg(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(-1)).alias(c) for c in categorical]).first()
+    return {c: row[c] + 2 for c in categorical}
 
-    Tree splits can then route missing values on their own, as a learner with native
-    missing-value support would.
+
+def model_rows(df: DataFrame, features: Sequence[str], sizes: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
+    """Doubles without nulls. Declared categories, and only these, are nominal, however many values they have.
+
+    Category 0 is unknown: null, or a code that the fit rows lack. Other nulls become a value far
+    below every other, so that splits can route missing values on their own.
     """
-    cols = [F.coalesce(F.col(c), F.lit(-1)).cast("double").alias(c) if c in categorical
-            else F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(c) for c in features]
-    return df.select(*keep, *cols)
+    def column(c: str):
+        if c not in sizes:
+            return F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(c)
+        known = (F.col(c) >= 0) & (F.col(c) < sizes[c] - 1)
+        nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}}
+        return F.when(known, F.col(c).cast("double") + 1).otherwise(F.lit(0.0)).alias(c, metadata=nominal)
+
+    return df.select(*keep, *map(column, features))
 
 
 @dataclass
@@ -64,12 +76,13 @@ class FittedModel:
     features: list[str]
     categorical: list[str]
     pipeline: PipelineModel
+    sizes: dict[str, int]
     floor: float = 0.0
     info: dict = field(default_factory=dict)
 
     def predict(self, df: DataFrame, id_col: str = "id", name: str = "pred") -> DataFrame:
         """(id, prediction), never below the floor."""
-        rows = model_rows(df, self.features, self.categorical, [id_col])
+        rows = model_rows(df, self.features, self.sizes, [id_col])
         scored = self.pipeline.transform(rows)
         return scored.select(id_col, clip(F.col("prediction"), self.floor).alias(name))
 
@@ -88,10 +101,13 @@ class FittedModel:
 
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(list(self.sizes.items()), "name string, size int").coalesce(1).write.mode("overwrite").parquet(f"{path}-categories")
 
 
 def load_model(path: str, features: Sequence[str], categorical: Sequence[str], floor: float = 0.0) -> FittedModel:
-    return FittedModel(list(features), list(categorical), PipelineModel.load(path), floor)
+    sizes = {r["name"]: r["size"] for r in SparkSession.getActiveSession().read.parquet(f"{path}-categories").collect()}  # declared columns
+    return FittedModel(list(features), list(categorical), PipelineModel.load(path), sizes, floor)
 
 
 def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str], target: str = "duration_s",
@@ -103,10 +119,11 @@ def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str
     """
     categorical = [c for c in categorical if c in features]
     label = F.col(target).cast("double").alias(_LABEL)
+    sizes = category_sizes(fit, categorical)
 
     def rows(df: DataFrame, held: bool) -> DataFrame:
         known = df.filter(F.col(target).isNotNull()).withColumn(_HELD, F.lit(held))
-        return model_rows(known.withColumn(_LABEL, label), features, categorical, [_LABEL, _HELD])
+        return model_rows(known.withColumn(_LABEL, label), features, sizes, [_LABEL, _HELD])
 
     train = rows(fit, False)
     if inner is not None and learner == "boosted":
@@ -114,11 +131,11 @@ def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str
     sc = train.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(train.sparkSession))
-    common = dict(featuresCol="_indexed", labelCol=_LABEL, maxDepth=params.depth, maxBins=params.bins,
+    common = dict(featuresCol=_VECTOR, labelCol=_LABEL, maxDepth=params.depth, maxBins=max([params.bins, *sizes.values()]),
                   minInstancesPerNode=params.min_rows, subsamplingRate=params.row_fraction, seed=params.seed,
                   featureSubsetStrategy=params.feature_fraction, checkpointInterval=10)
     if learner == "boosted":
-        trees = GBTRegressor(maxIter=params.rounds, stepSize=params.step, **common)
+        trees = GBTRegressor(maxIter=params.rounds, stepSize=params.step, validationTol=0.0, **common)  # stops at the first round that is no better
         if inner is not None:
             trees = trees.setValidationIndicatorCol(_HELD)
     elif learner == "forest":
@@ -126,15 +143,13 @@ def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str
         trees = RandomForestRegressor(numTrees=params.rounds, **common)
     else:
         raise ValueError(f"unknown learner {learner!r}")
-    stages = [VectorAssembler(inputCols=list(features), outputCol=_VECTOR),
-              VectorIndexer(inputCol=_VECTOR, outputCol="_indexed", maxCategories=params.max_categories,
-                            handleInvalid="keep"), trees]
+    stages = [VectorAssembler(inputCols=list(features), outputCol=_VECTOR), trees]
     train = train.persist()
     try:
         fitted = Pipeline(stages=stages).fit(train)
     finally:
         train.unpersist()
-    return FittedModel(list(features), categorical, fitted, floor)
+    return FittedModel(list(features), categorical, fitted, sizes, floor)
 
 
 def fit_specialists(fit: DataFrame, segment: str, scope: Sequence, features: Sequence[str],
@@ -170,13 +185,12 @@ def fit_subpopulation(fit: DataFrame, flag: str, features: Sequence[str], catego
 
 
 def capacity_grid(fit: DataFrame, configs: Mapping[str, Mapping[str, int]], features: Sequence[str],
-                  categorical: Sequence[str], inner: DataFrame | None = None, max_depth: int = 10,
-                  **how) -> dict[str, FittedModel]:
+                  categorical: Sequence[str], inner: DataFrame | None = None, **how) -> dict[str, FittedModel]:
     """One fit per configuration of the grid."""
     out = {}
     for name, c in configs.items():
         p = TreeParams.from_capacity(c["leaves"], c["min_data"])
-        p = TreeParams(**{**p.__dict__, "depth": min(p.depth, max_depth), **how})
+        p = TreeParams(**{**p.__dict__, **how})
         out[name] = fit_trees(fit, features, categorical, params=p, inner=inner)
     return out
 

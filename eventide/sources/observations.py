@@ -59,12 +59,12 @@ def feed_check(raw: DataFrame, stations: Sequence[str], start: str, end: str,
     """
     require_columns(raw, ["station", "valid"], "feed")
     at = strict_minute("valid")
-    lo, hi = F.lit(start).try_cast("timestamp_ntz"), F.lit(end).try_cast("timestamp_ntz")
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     # A station list is a fixed, short declaration.
     flat = raw.agg(
         (F.count("*") == 0).cast("long").alias("empty"),
         F.count_if(~F.coalesce(F.col("station").isin(*stations), F.lit(False))).alias("unexpected_station"),
-        F.count_if(~((at >= lo) & (at < hi))).alias("out_of_range"),
+        F.count_if(~F.coalesce((at >= lo) & (at < hi), F.lit(False))).alias("out_of_range"),
         *[(F.count_if(F.col("station") == s) == 0).cast("long").alias(f"_{i}") for i, s in enumerate(stations)])
     names = ["empty", "unexpected_station", "out_of_range"]
     rows = [F.struct(F.lit(n).alias("check"), F.col(n).alias("violations")) for n in names]

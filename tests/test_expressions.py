@@ -70,3 +70,9 @@ def test_null_is_a_group(spark):
 def test_quantiles_without_keys(spark):
     df = spark.range(1001).select(F.col("id").alias("v"))
     assert exact_quantiles(df, [], "v", {"m": (0.5, LINEAR), "p": (0.95, NEAREST)}).first().asDict() == {"m": 500.0, "p": 950}
+
+
+def test_clip_leaves_null_and_nan_alone(spark):
+    rows = spark.createDataFrame([(None,), (float("nan"),), (5.0,), (-1.0,), (99.0,)], "x double")
+    got = [r[0] for r in rows.select(clip("x", 0.0, 10.0)).collect()]
+    assert got[0] is None and got[1] != got[1] and got[2:] == [5.0, 0.0, 10.0]

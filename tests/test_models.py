@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.operators.metrics import rmse
-from eventide.operators.models import (TreeParams, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, predict_specialists)
+from eventide.operators.models import (TreeParams, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, predict_specialists)
 
 QUICK = TreeParams(rounds=8, depth=3, min_rows=2, step=0.4)
 
@@ -62,3 +62,17 @@ def test_forest_and_feature_toggles(spark, rows):
     with pytest.raises(ValueError, match="missing: c"):
         feature_set(["a"], [["c"]], available=["a"])
     assert TreeParams.from_capacity(127, 200).depth == 7 and TreeParams.from_capacity(255, 50).min_rows == 50
+
+
+def test_kind_of_a_column_does_not_depend_on_rows(spark):
+    for n in (20, 5000):
+        df = spark.range(n).selectExpr("id", "cast(id % 40 as int) as count_col", "cast(id % 50 as int) as code", "cast(id % 7 as double) as duration_s")
+        m = fit_trees(df, ["count_col", "code"], ["code"], params=TreeParams(rounds=1, depth=2, min_rows=1))
+        assert set(m.sizes) == {"code"} and m.sizes == category_sizes(df, ["code"]) == {"code": min(n, 50) + 1}
+        assert m.predict(spark.createDataFrame([(1, None, 999)], "id long, count_col int, code int")).count() == 1
+
+
+def test_capacities_keep_their_depth():
+    from eventide.operators.selection import CONFIGS
+    depths = {TreeParams.from_capacity(c["leaves"], c["min_data"]) for c in CONFIGS.values()}
+    assert len(depths) == len({(p.depth, p.min_rows) for p in depths}) > 2
