@@ -17,6 +17,10 @@ SCOPE = ("S4", "S5", "S6", "S7")
 SPECIALISTS = ("S1", "S2", "S3")
 
 
+# The scaled calendar counts hours from this hour since 1970 on: 60 hours are a period, two hours of one a day.
+ORIGIN_HOUR = 473_352  # 2024-01-01
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -26,7 +30,7 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "events").selectExpr(
         "event_id", "user_id", "event_type in ('click', 'purchase') as dep",
         "cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k", "cast(floor(value * 20) as bigint) as duration_s",
-        "unix_micros(cast(ts as timestamp)) div 60000000 * 60000000 as move_us", "(day(ts) - 1) * 24 + hour(ts) as hours")
+        "unix_micros(cast(ts as timestamp)) div 60000000 * 60000000 as move_us", f"unix_micros(cast(ts as timestamp)) div 3600000000 - {ORIGIN_HOUR} as hours")
     timed = raw.selectExpr("*", "move_us - duration_s * 1000000 - (k - 50) * 60000000 as sched_us")
     return timed.selectExpr(
         "event_id as id", "if(dep, 'DEP', 'ARR') as phase", "'S' || user_id % 10 as entity", "'L' || event_id % 3 as lane",
@@ -39,10 +43,10 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sched_us + (k % 11 - 5) * 60000000 as filed_us", "sched_us - (k % 5) * 60000000 as initial_us",
         "sched_us + (k % 7) * 60000000 as last_us",
         "sched_us + (k % 11 - 5) * 60000000 + (3600 + k * 60) * 1000000 as arrive_us",
-        "cast(least(hours div 60 + 1, 12) as int) as period", "cast(hours % 60 div 2 + 1 as int) as pday")
+        "cast(hours div 60 + 1 as int) as period", "cast(hours % 60 div 2 + 1 as int) as pday")
 
 
-MOVES = """
+MOVES = f"""
 moves as (
   select event_id as id, case when dep then 'DEP' else 'ARR' end as phase,
     'S' || cast(user_id % 10 as varchar) as entity, 'L' || cast(event_id % 3 as varchar) as lane,
@@ -59,13 +63,13 @@ moves as (
     sched_us + (k % 11 - 5) * 60000000 as filed_us, sched_us - (k % 5) * 60000000 as initial_us,
     sched_us + (k % 7) * 60000000 as last_us,
     sched_us + (k % 11 - 5) * 60000000 + (3600 + k * 60) * 1000000 as arrive_us,
-    cast(least(hours // 60 + 1, 12) as int) as period, cast((hours % 60) // 2 + 1 as int) as pday
+    cast(hours // 60 + 1 as int) as period, cast((hours % 60) // 2 + 1 as int) as pday
   from (select *, move_us - duration_s * 1000000 - (k - 50) * 60000000 as sched_us
         from (select event_id, user_id, event_type in ('click', 'purchase') as dep,
                 cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k,
                 cast(floor(value * 20) as bigint) as duration_s,
                 (epoch_us(ts) // 60000000) * 60000000 as move_us,
-                (day(ts) - 1) * 24 + hour(ts) as hours
+                epoch_us(ts) // 3600000000 - {ORIGIN_HOUR} as hours
               from events)))
 """
 

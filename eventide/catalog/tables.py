@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.catalog.adapter import DEPS, MOVES, SPECIALISTS, departures, moves, table
@@ -12,14 +13,14 @@ from eventide.functions.clock import calendar, micros, seconds_between
 from eventide.functions.expr import (clip, finite, half_even, lenient_double, mapped, prefix_group, strict_minute,
                                      weekend_flag)
 from eventide.functions.quantiles import LINEAR, NEAREST, exact_quantiles
-from eventide.operators.audit import (BANDS, LAST_BAND, TARGET_QUANTILES, availability, cardinalities, counts_by, integrity,
+from eventide.operators.audit import (schema_difference, BANDS, LAST_BAND, TARGET_QUANTILES, availability, cardinalities, counts_by, integrity,
                                       leakage_probe, null_comparison, null_profile, residual_audit, target_band, target_by_entity,
                                       target_summary, usable_columns)
 from eventide.operators.blend import assemble, blend, fill_template, recombine, reproduction, substitute
 from eventide.operators.contracts import (id_difference, id_equality, join_complete, join_many_to_one, join_one_to_one,
                                           null_free_target, prediction_contract, validate_output)
 from eventide.operators.metrics import percent_true
-from eventide.operators.models import model_rows
+from eventide.operators.models import category_sizes, feature_set, model_rows
 from eventide.plans.evaluation import global_median
 from eventide.plans.settle import settle, shared_dir
 from eventide.sources.files import (content_manifest, inventory, portable_rewrite, scan, scan_datasets, write_checked, write_csv,
@@ -243,11 +244,41 @@ def prefix(spark, sf):
     return table(spark, sf, "part").select("p_partkey", prefix_group("p_brand").alias("brand_group"))
 
 
-@query("prj10_feature_vector", f"""with {MOVES} select id, coalesce(k, -1)::double as k, case when offblock_us is null then -1e9::double else ((move_us - offblock_us) // 1000000)::double end as implied
+@query("prj10_feature_vector", f"""with {MOVES} select id, (case when k >= 0 then k + 1 else 0 end)::double as k, case when offblock_us is null then -1e9::double else ((move_us - offblock_us) // 1000000)::double end as implied
 from moves where phase = 'DEP'""")
 def vector(spark, sf):
     d = moves(spark, sf).filter("phase = 'DEP'").select("id", "k", seconds_between("move_us", "offblock_us").alias("implied"))
-    return model_rows(d, ["k", "implied"], ["k"], ["id"])
+    return model_rows(d, ["k", "implied"], category_sizes(d, ["k"]), ["id"])
+
+
+@query("prj11_feature_toggles", f"with {DEPS} select id, k, move_minus_sched, hour, weekday from deps")
+def toggles(spark, sf):
+    d = departures(spark, sf)
+    return d.select("id", *feature_set(["k", "stand", "move_minus_sched"], add=[["hour", "weekday"]], drop=["stand"], available=d.columns))
+
+
+@query("srt1_multi_key_sort", """select o_custkey, row_number() over (order by o_custkey, o_totalprice desc nulls last, o_orderkey) as place, o_orderkey from
+  (select * from orders order by o_custkey, o_totalprice desc nulls last, o_orderkey limit 200)""")
+def sorted_rows(spark, sf):
+    """The first rows of a sort on three keys, in both directions (a top-k report)."""
+    keys = ["o_custkey", F.desc_nulls_last("o_totalprice"), "o_orderkey"]
+    top = table(spark, sf, "orders").orderBy(*keys).limit(200)
+    return top.select("o_custkey", F.row_number().over(Window.orderBy(*keys)).alias("place"), "o_orderkey")
+
+
+@query("srt3_top_by_share", f"""with {MOVES}, g as (select operator, cast(sum(duration_s) as bigint) as gain from moves group by 1)
+select operator, gain, round(gain / sum(gain) over (), 6) as share from g order by gain desc, operator limit 15""")
+def top_share(spark, sf):
+    g = moves(spark, sf).groupBy("operator").agg(F.sum("duration_s").alias("gain"))
+    total = g.agg(F.sum("gain")).scalar()
+    return g.select("operator", "gain", r6(F.col("gain") / total, "share")).orderBy(F.desc("gain"), "operator").limit(15)
+
+
+@query("set5_schema_difference", """with a as (select column_name from (describe orders)), b as (select column_name from (describe lineitem))
+select 'missing' as change, column_name as "column" from a where column_name not in (select column_name from b)
+union all select 'added', column_name from b where column_name not in (select column_name from a)""")
+def schemas(spark, sf):
+    return schema_difference(table(spark, sf, "lineitem"), table(spark, sf, "orders")).select("change", "column")
 
 
 @query("prj12_usable_columns", f"""with {DEPS}, m as (select * from deps where offblock_missing = 1) select unnest(['duration_s', 'move_minus_sched', 'stand']) as "column", count(*) as rows from m""")

@@ -131,8 +131,12 @@ def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str
     sc = train.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(train.sparkSession))
+    # MLlib wants as many rows as a category has values; repeating all rows, and min_rows with them, changes no split
+    times = -(-max([1, *sizes.values()]) // max(1, train.filter(~F.col(_HELD)).count()))
+    if times > 1:
+        train = train.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
     common = dict(featuresCol=_VECTOR, labelCol=_LABEL, maxDepth=params.depth, maxBins=max([params.bins, *sizes.values()]),
-                  minInstancesPerNode=params.min_rows, subsamplingRate=params.row_fraction, seed=params.seed,
+                  minInstancesPerNode=params.min_rows * times, subsamplingRate=params.row_fraction, seed=params.seed,
                   featureSubsetStrategy=params.feature_fraction, checkpointInterval=10)
     if learner == "boosted":
         trees = GBTRegressor(maxIter=params.rounds, stepSize=params.step, validationTol=0.0, **common)  # stops at the first round that is no better
