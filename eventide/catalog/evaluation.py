@@ -155,12 +155,12 @@ def lines(spark, sf):
 
 
 @query("agg19_paired_bootstrap", f"""with {COMP}, errs as (select id, entity, pow(base - duration_s, 2) as eb, pow(cand - duration_s, 2) as ec from scored),
-{boot_sql('errs', 'entity', ['eb', 'ec'], 400)}, w as (select entity, {win_sql('eb', 'ec', 'raw')} from boot_sums group by entity)
+{boot_sql('errs', 'entity', ['eb', 'ec'], 2000)}, w as (select entity, {win_sql('eb', 'ec', 'raw')} from boot_sums group by entity)
 select entity, round(win_raw, 6) as win_raw, round(low_raw, 6) as low_raw, round(high_raw, 6) as high_raw from w""")
 def bootstrap(spark, sf):
     scored = _rows(spark, sf)
     arms = scored.withColumn("b", squared_error("base", "duration_s")).withColumn("c", squared_error("cand", "duration_s"))
-    return rounded(paired_bootstrap(arms, "id", {"raw": ("b", "c")}, ["entity"], 400), "win_raw", "low_raw", "high_raw")
+    return rounded(paired_bootstrap(arms, "id", {"raw": ("b", "c")}, ["entity"], 2000), "win_raw", "low_raw", "high_raw")
 
 
 @query("ovl1_overlay_line", f"with {DEPS}, {line_sql('composition')} select n, round(a, 5) as intercept, round(b, 6) as slope from line")
@@ -377,7 +377,7 @@ def keep(spark, sf):
 select c > m as permitted, round(c, 6) as control, round(m, 6) as model from e""")
 def persisted(spark, sf):
     """Persist the verdict, read it back, and let the check decide whether a final fit may run."""
-    verdict = settle(plain_gate(_rows(spark, sf), "final", replicates=100), "verdict")
+    verdict = settle(plain_gate(_rows(spark, sf), "final", replicates=KEEP_REPLICATES), "verdict")
     try:
         require_better(verdict)
         permitted = True
@@ -408,7 +408,7 @@ def _october(spark, sf):
 
 
 MEMBERS_SQL = f"""errs as (select id, entity, base, {ENC_ARM} as blend, pow(base - duration_s, 2) as eb, pow({ENC_ARM} - duration_s, 2) as ec from scored),
-{boot_sql('errs', 'entity', ['eb', 'ec'], 1000)}, bt as (select entity, {win_sql('eb', 'ec', 'rate')} from boot_sums group by entity),
+{boot_sql('errs', 'entity', ['eb', 'ec'], 2000)}, bt as (select entity, {win_sql('eb', 'ec', 'rate')} from boot_sums group by entity),
 pt as (select entity, count(*) as n, sqrt(avg(eb)) as base_rmse, sqrt(avg(ec)) as cand_rmse, {SHARE.format(b='eb', c='ec')} as largest_share from errs group by entity),
 members as (select *, base_rmse - cand_rmse as gain, base_rmse - cand_rmse >= 1.0 and win_rate >= 0.8 and coalesce(largest_share <= 50, false) as selected
   from pt join bt using (entity))"""
@@ -417,7 +417,7 @@ members as (select *, base_rmse - cand_rmse as gain, base_rmse - cand_rmse >= 1.
 @query("sel1_member_selection", f"""with {OCT}, {MEMBERS_SQL} select entity, n, round(base_rmse, 6) as base_rmse, round(cand_rmse, 6) as cand_rmse,
   round(largest_share, 6) as largest_share, round(win_rate, 6) as win_rate, round(gain, 6) as gain, selected from members""")
 def members(spark, sf):
-    out = select_members(_october(spark, sf), "entity", "base", "blend", "duration_s", replicates=1000)
+    out = select_members(_october(spark, sf), "entity", "base", "blend", "duration_s")
     return rounded(out, "base_rmse", "cand_rmse", "largest_share", "win_rate", "gain")
 
 
@@ -425,7 +425,7 @@ def members(spark, sf):
 from errs join members using (entity)""")
 def adopted(spark, sf):
     o = _october(spark, sf)
-    m = settle(select_members(o, "entity", "base", "blend", "duration_s", replicates=1000), "members")
+    m = settle(select_members(o, "entity", "base", "blend", "duration_s"), "members")
     return adopt_members(o, m, "entity", "base", "blend").select("id", r6("pred"))
 
 

@@ -6,11 +6,15 @@ shuffled but one partial sum per task and replicate, and a lost task redraws the
 """
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 REPLICATES = 2000
 _DRAWS = 4  # an md5 holds four draws of eight hex digits
@@ -39,21 +43,46 @@ def poisson_count(digits: str) -> str:
 
 def replicate_sums(df: DataFrame, id_col: str, values: Sequence[str], replicates: int,
                    by: Sequence[str]) -> DataFrame:
-    """(by, rep): drawn row count and drawn sum of each value column."""
+    """(by, rep): drawn row count and drawn sum of each value column; null values add nothing.
+
+    A row is never copied per replicate: a task draws all counts of a block of rows from hashes of
+    their ids and adds them up as one matrix product per group, so it sends on one row per group
+    and replicate, whatever its number of rows.
+    """
     if replicates < 1:
         raise ValueError("replicates must be positive")
-    groups = -(-replicates // _DRAWS)
-    draws = ", ".join(f"struct(cast(_g * {_DRAWS} + {j} as int) as rep, substr(_h, {8 * j + 1}, 8) as _d)" for j in range(_DRAWS))
-    # Few narrow rows grow by the number of replicates here, so they are spread over all cores.
-    spread = df.select(*by, id_col, *values).repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
-    return (
-        spread.selectExpr("*", f"explode(sequence(0, {groups - 1})) as _g")
-        .selectExpr(*by, *values, "_g", f"md5(concat_ws('-', cast({id_col} as string), cast(_g as string))) as _h")
-        .selectExpr(*by, *values, f"inline(array({draws}))")
-        .selectExpr(*by, *values, "rep", f"{poisson_count('_d')} as _w").filter(f"_w > 0 and rep < {replicates}")
-        .groupBy(*by, "rep")
-        .agg(F.sum("_w").alias("drawn"), *[F.expr(f"sum(_w * {v}) as {v}") for v in values])
-    )
+    suffixes = [str(g).encode() for g in range(-(-replicates // _DRAWS))]
+    edges = [int(e, 16) for e in poisson_steps()]
+    names = [*by, "rep", "drawn", *values]
+    block = max(1, 4_000_000 // replicates)
+
+    # This function uses nothing of this package, so tasks need not import it.
+    def run(batches):
+        total: dict = {}
+        for t in batches:
+            for at in range(0, t.num_rows, block):
+                part = t.slice(at, block)
+                ids = part.column(0).to_pylist()
+                texts = [b"" if i is None else i.encode() + b"-" for i in ids]
+                drawn = np.frombuffer(b"".join(hashlib.md5(i + g).digest() for i in texts for g in suffixes), dtype=">u4")
+                counts = np.searchsorted(edges, drawn.reshape(len(ids), -1)[:, :replicates], "right").astype(np.float64)
+                keys = list(zip(*(part.column(1 + k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * len(ids)
+                v = np.array([[x or 0.0 for x in part.column(1 + len(by) + k).to_pylist()] for k in range(len(values))], dtype=np.float64)
+                for key in set(keys):
+                    mine = np.array([k == key for k in keys])
+                    c = counts[mine]
+                    sums = [x @ c if np.isfinite(x).all() else np.where(c > 0, c * x[:, None], 0.0).sum(axis=0) for x in v[:, mine]]
+                    new = np.stack([c.sum(axis=0), *sums])
+                    total[key] = total[key] + new if key in total else new
+        for key, sums in total.items():
+            columns = [pa.array([k] * replicates, kind) for k, kind in zip(key, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(x) for x in sums)], names)
+
+    kinds = [to_arrow_type(df.schema[c].dataType) for c in by]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), "rep int", "drawn double", *(f"`{c}` double" for c in values)])
+    narrow = df.select(F.col(id_col).cast("string"), *by, *[F.col(c).cast("double") for c in values])
+    partial = narrow.mapInArrow(run, schema)
+    return partial.groupBy(*by, "rep").agg(F.sum("drawn").cast("long").alias("drawn"), *[F.sum(c).alias(c) for c in values]).filter("drawn > 0")
 
 
 def paired_bootstrap(df: DataFrame, id_col: str, pairs: Mapping[str, tuple[str, str]], by: Sequence[str],
