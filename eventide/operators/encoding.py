@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import winsorised
-from eventide.plans.settle import settle
+from eventide.plans.settle import settle, settle_parts
 
 # Fixed values.
 CAP = 3600.0
@@ -78,13 +78,14 @@ def _pulled(s: str, n: str, toward: str, smoothing: float) -> Column:
 
 
 def _settled_maps(maps: Mapping[Spec, DataFrame], block: Sequence[str]) -> dict[Spec, DataFrame]:
-    """Write all maps as one long table, so that joins with large rows are planned from its size."""
+    """Write all maps in one job, a folder each, so that joins with large rows are planned from each map's own size."""
     long = None
     for i, (spec, df) in enumerate(maps.items()):
         part = df.select(F.lit(i).alias("spec"), *spec.keys, *block, "value", F.col("support").cast("int").alias("support"))
         long = part if long is None else long.unionByName(part, allowMissingColumns=True)
-    written = settle(long, "encodings")
-    return {spec: written.filter(F.col("spec") == i).select(
+    written = settle_parts(long, "spec", "encodings")
+    none = long.drop("spec").filter(F.lit(False))
+    return {spec: written.get(i, none).select(
         *spec.keys, *block, F.col("value").alias(spec.name), F.col("support").alias(f"{spec.name}_count"))
         for i, spec in enumerate(maps)}
 

@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,18 @@ def settle(df: DataFrame, label: str = "lookup") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_parts(df: DataFrame, part: str, label: str = "lookup") -> dict:
+    """Materialise ``df`` once, in one folder per value of ``part``; gives value -> DataFrame without that column.
+
+    Each piece is read from its own folder, so its size estimate is its own and not that of the whole.
+    Values without rows are absent. The number of values is that of a declared list.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(part).parquet(path)
+    rest = StructType([f for f in df.schema if f.name != part])
+    whole = spark.read.schema(df.schema).parquet(path)
+    values = [r[0] for r in whole.select(part).distinct().collect()]
+    return {v: spark.read.schema(rest).parquet(f"{path}/{part}={v}") for v in values}

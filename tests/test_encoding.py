@@ -97,3 +97,13 @@ def test_codes_are_ranks_over_both_tables(spark):
     assert {r["column"]: r["categories"] for r in code_sizes(dim).collect()} == {"c": 4, "d": 3}
     out = sorted((r["c"], r["d"] is None) for r in attach_codes(a, dim, ["c", "d"]).collect())
     assert out == [(0, True), (1, False), (3, False)]
+
+
+def test_settled_parts_have_their_own_size(spark):
+    from pyspark.sql import functions as F
+
+    from eventide.plans.settle import settle_parts
+    big = spark.range(200_000).select(F.lit(0).alias("spec"), F.col("id").alias("v"))
+    parts = settle_parts(big.unionByName(spark.range(3).select(F.lit(1).alias("spec"), F.col("id").alias("v"))), "spec")
+    sizes = {k: int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for k, d in parts.items()}
+    assert sizes[1] < 20_000 < sizes[0] and sorted(r[0] for r in parts[1].collect()) == [0, 1, 2] and 2 not in parts
