@@ -130,15 +130,29 @@ def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[fl
     return loss, np.concatenate([g[n].ravel() for n in SHAPES]).astype(np.float32)
 
 
+class Trainer:
+    """Adam over mini-batches of windows, from batch to batch of a task."""
+
+    def __init__(self, flat: np.ndarray, rate: float, batch: int = 64):
+        self.flat, self.rate, self.batch = flat.copy(), rate, batch
+        self.first, self.second, self.steps, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+
+    def over(self, seen: np.ndarray, target: np.ndarray) -> None:
+        for at in range(0, len(seen), self.batch):
+            _, g = gradient(self.flat, seen[at:at + self.batch], target[at:at + self.batch])
+            self.steps += 1
+            self.first += 0.1 * (g - self.first)
+            self.second += 0.01 * (g * g - self.second)
+            rise = self.rate / (1 - 0.9 ** self.steps)
+            self.flat -= np.float32(rise) * self.first / (np.sqrt(self.second / np.float32(1 - 0.99 ** self.steps)) + np.float32(1e-6))
+        self.seen += len(seen)
+
+
 def train_locally(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, rate: float, batch: int = 64) -> np.ndarray:
-    """One pass of Adam over the windows."""
-    flat, first, second = flat.copy(), np.zeros_like(flat), np.zeros_like(flat)
-    for n, at in enumerate(range(0, len(seen), batch), 1):
-        _, g = gradient(flat, seen[at:at + batch], target[at:at + batch])
-        first = 0.9 * first + 0.1 * g
-        second = 0.99 * second + 0.01 * g * g
-        flat -= rate * (first / (1 - 0.9 ** n)) / (np.sqrt(second / (1 - 0.99 ** n)) + 1e-6)
-    return flat
+    """One pass over the windows."""
+    t = Trainer(flat, rate, batch)
+    t.over(seen, target)
+    return t.flat
 
 
 def windows(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,54 +296,63 @@ def log_shares(by_id: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.
     return out
 
 
+NOTHING, BEGIN = -1, -2
+
+
 def _training_windows(docs: DataFrame, path: str, share: int, seed: int) -> DataFrame:
-    """Ids of the windows of one in ``share`` training documents, chosen by hash: grows with the input."""
+    """WIDTH + 1 ids of each window of one in ``share`` training documents, chosen by hash: grows with the input.
+
+    The ids are those before the window's first place to its last (BEGIN: the text begins, NOTHING: outside the text).
+    """
+    span = np.arange(-OVERLAP - 1, STEP)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, made = [], []
+            coded: dict[bytes, list[int]] = {}
+            keys, made = [np.zeros(0, np.int64)], [np.zeros((0, WIDTH + 1), np.int32)]
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids, _ = code_words(path, [*words_of(t.as_py()), END_WORD])
-                for at in range(0, len(ids), STEP):
-                    keys.append(key ^ (at * 0x9E3779B1))
-                    first = at - OVERLAP
-                    made.append([-2 if i == -1 else int(ids[i]) if i >= 0 else -1 for i in range(first - 1, min(len(ids), first + WIDTH))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(made, pa.list_(pa.int32()))], ["key", "ids"])
+                words = [*words_of(t.as_py()), END_WORD]
+                fresh = list({w for w in words if w not in coded})
+                flat, sizes = code_words(path, fresh)
+                coded.update(zip(fresh, np.split(flat, np.cumsum(sizes)[:-1]), strict=True) if fresh else ())
+                ids = np.concatenate([coded[w] for w in words])
+                first = np.arange(0, len(ids), STEP)
+                place = first[:, None] + span
+                inside = (place >= 0) & (place < len(ids))
+                made.append(np.where(inside, ids[np.where(inside, place, 0)], np.where(place == -1, BEGIN, NOTHING)).astype(np.int32))
+                keys.append(first ^ key)
+            every = np.concatenate(made)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.ListArray.from_arrays(
+                pa.array(np.arange(len(every) + 1, dtype=np.int32) * (WIDTH + 1)), pa.array(every.ravel()))], ["key", "ids"])
 
     picked = docs.filter(F.col("train") & (F.pmod(F.xxhash64("_id", "_text", F.lit(seed)), F.lit(share)) == 0))
     return picked.select(F.xxhash64("_id", "_text").alias("key"), "_text").mapInArrow(run, "key long, ids array<int>")
 
 
-def _window_classes(rows: list, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    seen, target = np.full((len(rows), WIDTH), -1), np.full((len(rows), WIDTH), -1)
-    for r, ids in enumerate(rows):
-        x = np.asarray(ids)
-        c = np.where(x >= 0, classes[np.maximum(x, 0)], np.where(x == -2, CLASSES, -1))
-        n = len(c) - 1
-        seen[r, :n], target[r, :n] = c[:-1], np.where(x[1:] >= 0, c[1:], -1)
+def _window_classes(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = np.where(ids >= 0, classes[np.maximum(ids, 0)], np.where(ids == BEGIN, CLASSES, -1))
+    seen, target = c[:, :-1], np.where(ids[:, 1:] >= 0, c[:, 1:], -1)
     target[:, :OVERLAP] = -1
-    return seen, target
+    return np.where(ids[:, 1:] == NOTHING, -1, seen), target
 
 
-def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int, share_windows: int) -> np.ndarray:
-    total = rows.count()
-    if not total:
-        return flat
-    parts = max(1, -(-total // share_windows))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "ids")
+def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int) -> np.ndarray:
+    """``rows`` are settled in an order by hash, so a task's windows come from many documents."""
     sc = rows.sparkSession.sparkContext
     for n in range(rounds):
         sent = sc.broadcast((flat, classes))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.02 / (1 + n)) -> Iterator[pa.RecordBatch]:
             weights, table = sent.value
-            parts = [_window_classes(b.column(1).to_pylist(), table) for b in batches]
-            if parts:
-                seen, target = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
-                own = train_locally(weights, seen, target, rate).astype(np.float64) * len(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own), pa.array(np.full(len(own), len(seen)))], ["i", "w", "n"])
-
-        got = rows.select("key", "ids").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row per weight
-        new = np.empty(len(flat), dtype=np.float32)
+            t = Trainer(weights, rate)
+            for b in batches:
+                t.over(*_window_classes(b.column(0).flatten().to_numpy().reshape(-1, WIDTH + 1), table))
+            if t.seen:
+                own = t.flat.astype(np.float64) * t.seen
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own), pa.array(np.full(len(own), t.seen))], ["i", "w", "n"])
+
+        got = rows.select("ids").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row per weight
+        new = flat.copy()
         for r in got:
             new[r["i"]] = r["w"]
         flat = new
@@ -337,7 +360,7 @@ def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int,
 
 
 def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "doc_id", text: str = "text", share: int = 16,
-                    rounds: int = 3, bucket_rows: int = 4096, share_windows: int = 20_000, seed: int = 9) -> DataFrame:
+                    rounds: int = 3, bucket_rows: int = 4096, seed: int = 9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 of the text's probability).
 
     ``train`` marks the rows to learn from (null: not). A null text is empty: one token, its end. Repeated rows are scored each.
@@ -352,15 +375,16 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
     counts = settle(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     by_id = _id_counts(counts, ranks)
-    picked = settle(_training_windows(rows, ranks, share, seed), "lm-windows")
+    picked = _training_windows(rows, ranks, share, seed)
+    picked = settle(picked.repartition("key").sortWithinPartitions("key", "ids"), "lm-windows")  # once, for all rounds
     by_hash = picked.orderBy("key", "ids").limit(4000).collect()  # a bounded sample, for the classes only
     classes = make_classes([[i for i in r["ids"] if i >= 0] for r in by_hash], by_id)
     mass = np.bincount(classes, by_id + 0.5, CLASSES)
     within = log_shares(by_id, _id_counts(counts, ranks, classes), classes)
     follows = np.zeros((CLASSES + 1, CLASSES))
-    seen, target = _window_classes([r["ids"] for r in by_hash], classes)
+    seen, target = _window_classes(np.array([r["ids"] for r in by_hash], dtype=np.int64).reshape(-1, WIDTH + 1), classes)
     np.add.at(follows, (seen[target >= 0], target[target >= 0]), 1.0)
-    flat = _train(picked, classes, start_weights(mass / mass.sum(), follows), rounds, share_windows)
+    flat = _train(picked, classes, start_weights(mass / mass.sum(), follows), rounds)
     model = spark.sparkContext.broadcast((flat, classes, within))
     log_all = float(np.log10(total + distinct + 1))
 
