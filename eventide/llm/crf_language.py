@@ -168,8 +168,14 @@ def fit(training: DataFrame, text: str = "text", label: str = "lang", per_langua
     rows = training.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).cast("string").alias("l"))
     word = F.explode(F.split(F.lower("t"), BLANKS)).alias("w")
     counts = rows.select("l", word).filter("w != ''").groupBy("l", F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(buckets)).alias("k")).count().toPandas()
-    by = Window.partitionBy("l").orderBy(F.xxhash64("t", F.lit(seed)), "t")
-    sample = rows.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= per_language).select("t", "l").toPandas()
+    # hashes are ranked, not texts: a task sends on a few numbers per language, and copies of a text count once
+    hashed = rows.withColumn("h", F.xxhash64("t", F.lit(seed)))
+    ranked = hashed.select("l", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h")))
+    last = ranked.filter(F.col("n") <= per_language).groupBy("l").agg(F.max("h").alias("last")).collect()  # a row per language
+    chosen = F.lit(False)
+    for r in last:
+        chosen = chosen | ((F.col("l") == r["l"]) & (F.col("h") <= r["last"]))
+    sample = hashed.filter(chosen).dropDuplicates(["l", "h"]).select("t", "l").toPandas()
     sample = sample.sort_values(["l", "t"])
     languages = sorted(set(sample["l"]))
     n = len(languages)
