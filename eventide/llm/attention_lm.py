@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from eventide.llm.common import blank_text, settle, ship
 WIDTH, OVERLAP = 40, 16
 STEP = WIDTH - OVERLAP
 CLASSES, DIMS, SINGLE = 96, 16, 48
+FREQUENT, REACH = 48, 4  # ids that tell classes apart, by standing at most so far from an id
 TRUST = 10.0  # training tokens that the class's own shares weigh against those after a given class
 END_WORD = b""  # no word is empty
 
@@ -205,19 +207,9 @@ def class_log_probs(flat: np.ndarray, classes: np.ndarray, sizes: np.ndarray, ba
     return out
 
 
-def make_classes(samples: list[list[int]], counts: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Class of each id: the most frequent ones are classes of their own, the rest are grouped by the frequent ids around them."""
+def make_classes(company: np.ndarray, counts: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Class of each id: the most frequent ones are classes of their own, the rest are grouped by the frequent ids around them (``company``)."""
     order = np.argsort(-counts, kind="stable")
-    frequent = order[:48]
-    column = np.full(len(counts), -1)
-    column[frequent] = np.arange(len(frequent))
-    company = np.zeros((len(counts), len(frequent)))
-    for ids in samples:
-        x = np.array(ids)
-        for d in (1, 2, 3, 4):
-            for a, b in ((x[d:], x[:-d]), (x[:-d], x[d:])):
-                hit = column[b] >= 0
-                np.add.at(company, (a[hit], column[b[hit]]), 1.0)
     seen = company.sum(axis=1)
     mean = company.sum(axis=0) / max(1.0, seen.sum())
     shape = np.sqrt((company + 4 * mean) / (seen + 4 * mean.sum() + 1e-12)[:, None])
@@ -236,6 +228,31 @@ def make_classes(samples: list[list[int]], counts: np.ndarray, rounds: int = 8)
     return out
 
 
+def frequent_ids(counts: np.ndarray) -> np.ndarray:
+    """Number among the FREQUENT most frequent ids, -1 for the others."""
+    column = np.full(len(counts), -1)
+    column[np.argsort(-counts, kind="stable")[:FREQUENT]] = np.arange(FREQUENT)
+    return column
+
+
+def add_company(total: np.ndarray, ids: np.ndarray, sizes: np.ndarray, column: np.ndarray) -> None:
+    """Adds to ``total`` (by id, then frequent id) the pairs of an id and a frequent one at most REACH apart in one text."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for d in range(1, REACH + 1):
+        same = text[d:] == text[:-d]
+        for x, y in ((ids[d:], ids[:-d]), (ids[:-d], ids[d:])):
+            hit = same & (column[y] >= 0)
+            np.add.at(total, x[hit] * np.int64(FREQUENT) + column[y[hit]], 1)
+
+
+def add_follows(total: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> None:
+    """Adds to ``total`` (by the class before, CLASSES: the text begins; then class) every token of the texts."""
+    before = np.empty(len(classes), dtype=np.int64)
+    before[1:] = classes[:-1]
+    before[np.cumsum(sizes) - sizes] = CLASSES
+    total += np.bincount(before * CLASSES + classes, minlength=len(total))
+
+
 # --- Spark ---------------------------------------------------------------------------------------------------------------
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -280,6 +297,69 @@ def _id_counts(words: DataFrame, path: str, classes: np.ndarray | None = None) -
     return out if classes is None else out.reshape(CLASSES + 1, ids_in_all)
 
 
+def _coded(batches: Iterator[pa.RecordBatch], path: str, room: int = 500_000, most_words: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the texts in the batches' first column, end to end, and their number by text; about ``room`` words at a time."""
+    place: dict[bytes, int] = {}
+    flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def flush():
+        nonlocal flat, sizes
+        fresh = list(islice(place, len(sizes), None))
+        if fresh:
+            more, n = code_words(path, fresh)
+            flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, n])
+        every = np.concatenate(held)
+        n = sizes[every]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[every] - (ends - n), n) + np.arange(n.sum())
+        closes = ends[np.cumsum([len(x) for x in held]) - 1]
+        held.clear()
+        return flat[at], np.diff(closes, prepend=0)
+
+    words = 0
+    for b in batches:
+        for t in b.column(0):
+            x = np.array([place.setdefault(w, len(place)) for w in (*words_of(t.as_py()), END_WORD)], dtype=np.int64)
+            held.append(x)
+            words += len(x)
+            if words > room:
+                yield flush()
+                words = 0
+                if len(place) > most_words:
+                    place.clear()
+                    flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    if held:
+        yield flush()
+
+
+def _sums(docs: DataFrame, path: str, cells: int, add) -> np.ndarray:
+    """Sums over all ``docs`` of what ``add(total, ids, sizes)`` adds to a table of so many cells; a row per task and cell is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, dtype=np.int64)
+        for ids, sizes in _coded(batches, path):
+            add(total, ids, sizes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    rows = docs.select("_text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # by cells
+    out = np.zeros(cells)
+    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    return out
+
+
+def _company(docs: DataFrame, path: str, by_id: np.ndarray) -> np.ndarray:
+    """How often each id stands near each frequent id, in all ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_ids(by_id))
+    return _sums(docs, path, len(by_id) * FREQUENT, lambda total, ids, sizes: add_company(total, ids, sizes, sent.value)).reshape(-1, FREQUENT)
+
+
+def _follows(docs: DataFrame, path: str, classes: np.ndarray) -> np.ndarray:
+    """How often each class follows each (row; the last: the text begins), in all ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    return _sums(docs, path, (CLASSES + 1) * CLASSES, lambda total, ids, sizes: add_follows(total, sent.value[ids], sizes)).reshape(-1, CLASSES)
+
+
 def before_in_word(ids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     out = np.empty(len(ids), dtype=np.int64)
     out[1:] = classes[ids[:-1]]
@@ -377,14 +457,11 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
     by_id = _id_counts(counts, ranks)
     picked = _training_windows(rows, ranks, share, seed)
     picked = settle(picked.repartition("key").sortWithinPartitions("key", "ids"), "lm-windows")  # once, for all rounds
-    by_hash = picked.orderBy("key", "ids").limit(4000).collect()  # a bounded sample, for the classes only
-    classes = make_classes([[i for i in r["ids"] if i >= 0] for r in by_hash], by_id)
+    learned = rows.filter("train")
+    classes = make_classes(_company(learned, ranks, by_id), by_id)
     mass = np.bincount(classes, by_id + 0.5, CLASSES)
     within = log_shares(by_id, _id_counts(counts, ranks, classes), classes)
-    follows = np.zeros((CLASSES + 1, CLASSES))
-    seen, target = _window_classes(np.array([r["ids"] for r in by_hash], dtype=np.int64).reshape(-1, WIDTH + 1), classes)
-    np.add.at(follows, (seen[target >= 0], target[target >= 0]), 1.0)
-    flat = _train(picked, classes, start_weights(mass / mass.sum(), follows), rounds)
+    flat = _train(picked, classes, start_weights(mass / mass.sum(), _follows(learned, ranks, classes)), rounds)
     model = spark.sparkContext.broadcast((flat, classes, within))
     log_all = float(np.log10(total + distinct + 1))
 

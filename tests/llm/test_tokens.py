@@ -128,3 +128,26 @@ def test_language_model_scores(spark):
     assert empty.count() == 0
     assert all(math.isfinite(x.score) and x.n_known == 0 for x in lm.score_documents(df, RANKS, F.lit(False)).collect())
     assert zlib.crc32(b"1") % 7 in range(7)
+
+
+def test_classes_and_start_count_all_training_documents(spark):
+    """More windows than any bounded sample would hold, most of them in one document: every document counts."""
+    r = random.Random(5)
+    words = ["alpha", "Beta", "gamma", "delta's", "éa", "zeta"]
+    rows = [(0, " ".join(r.choice(words[:3]) for _ in range(100_000))), *((i, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for i in range(1, 50))]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in rows], "_id long, _text binary").repartition(5)
+    coded = [lm.code_words(RANKS, [*t.encode().lower().split(), b""])[0].tolist() for _, t in rows]
+    by_id = np.bincount(np.concatenate(coded), minlength=lm.coder(RANKS)[1] + 1)
+    column = lm.frequent_ids(by_id)
+    company, follows = Counter(), Counter()
+    classes = np.arange(len(by_id)) % lm.CLASSES
+    for ids in coded:
+        for j, b in enumerate(ids):
+            follows[classes[ids[j - 1]] if j else lm.CLASSES, classes[b]] += 1
+            for a in ids[max(0, j - 4):j]:
+                company[b, column[a]] += column[a] >= 0
+                company[a, column[b]] += column[b] >= 0
+    got = lm._company(df, RANKS, by_id)
+    assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got), strict=True)} == {k: n for k, n in company.items() if n}
+    got = lm._follows(df, RANKS, classes)
+    assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got), strict=True)} == dict(follows)
