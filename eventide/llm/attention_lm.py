@@ -4,7 +4,7 @@ Texts are lower-cased and cut into words; words are coded by a public tokenizer
 gives P(id | before) = P(class | before) * P(id | class, class before it in the word). Classes group ids that keep like
 company; the second factor comes from the counts of all training words. P(class | before) is one layer of masked self-attention with relative positions, written
 and trained in numpy: Spark tasks run mini-batches over their share of the training windows and the weights are averaged,
-round by round. Scoring uses windows that overlap by ``OVERLAP`` tokens, so each token is scored once, with at least that much
+round by round; every training document is in one round. Scoring uses windows that overlap by ``OVERLAP`` tokens, so each token is scored once, with at least that much
 of what stands before it (if there is that much), in batches of masked attention.
 
 Counts of words are looked up by buckets of documents: a bucket's distinct words meet the corpus counts in one join, and meet
@@ -376,62 +376,50 @@ def log_shares(by_id: np.ndarray, after: np.ndarray, classes: np.ndarray) -> np.
     return out
 
 
-NOTHING, BEGIN = -1, -2
+def _round(docs: DataFrame, n: int, rounds: int, share: int) -> DataFrame:
+    """The documents of a round, by the hash ``mix``: over all rounds, one in ``share`` of them, each once."""
+    return docs.filter((F.pmod("mix", F.lit(share)) == 0) & (F.pmod(F.floor(F.col("mix") / share), F.lit(rounds)) == n))
 
 
-def _training_windows(docs: DataFrame, path: str, share: int, seed: int) -> DataFrame:
-    """WIDTH + 1 ids of each window of one in ``share`` training documents, chosen by hash: grows with the input.
-
-    The ids are those before the window's first place to its last (BEGIN: the text begins, NOTHING: outside the text).
-    """
-    span = np.arange(-OVERLAP - 1, STEP)
+def _learn(batches: Iterator[pa.RecordBatch], path: str, classes: np.ndarray, trainer: Trainer, seed: int, room: int = 65_536) -> None:
+    """Trains on all windows of the texts, shuffled about ``room`` at a time, so a mini-batch mixes documents."""
+    rng = np.random.default_rng(seed)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            coded: dict[bytes, list[int]] = {}
-            keys, made = [np.zeros(0, np.int64)], [np.zeros((0, WIDTH + 1), np.int32)]
-            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = [*words_of(t.as_py()), END_WORD]
-                fresh = list({w for w in words if w not in coded})
-                flat, sizes = code_words(path, fresh)
-                coded.update(zip(fresh, np.split(flat, np.cumsum(sizes)[:-1]), strict=True) if fresh else ())
-                ids = np.concatenate([coded[w] for w in words])
-                first = np.arange(0, len(ids), STEP)
-                place = first[:, None] + span
-                inside = (place >= 0) & (place < len(ids))
-                made.append(np.where(inside, ids[np.where(inside, place, 0)], np.where(place == -1, BEGIN, NOTHING)).astype(np.int32))
-                keys.append(first ^ key)
-            every = np.concatenate(made)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.ListArray.from_arrays(
-                pa.array(np.arange(len(every) + 1, dtype=np.int32) * (WIDTH + 1)), pa.array(every.ravel()))], ["key", "ids"])
-
-    picked = docs.filter(F.col("train") & (F.pmod(F.xxhash64("_id", "_text", F.lit(seed)), F.lit(share)) == 0))
-    return picked.select(F.xxhash64("_id", "_text").alias("key"), "_text").mapInArrow(run, "key long, ids array<int>")
-
-
-def _window_classes(ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = np.where(ids >= 0, classes[np.maximum(ids, 0)], np.where(ids == BEGIN, CLASSES, -1))
-    seen, target = c[:, :-1], np.where(ids[:, 1:] >= 0, c[:, 1:], -1)
-    target[:, :OVERLAP] = -1
-    return np.where(ids[:, 1:] == NOTHING, -1, seen), target
+    def over():
+        seen, target = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = rng.permutation(len(seen))
+        held.clear()
+        trainer.over(seen[order], target[order])
+
+    for ids, sizes in _coded(batches, path, 200_000):
+        seen, target, _ = windows(classes[ids], sizes)
+        held.append((seen.astype(np.int16), target.astype(np.int16)))
+        waiting += len(seen)
+        if waiting > room:
+            over()
+            waiting = 0
+    if held:
+        over()
 
 
-def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int) -> np.ndarray:
-    """``rows`` are settled in an order by hash, so a task's windows come from many documents."""
-    sc = rows.sparkSession.sparkContext
+def _train(docs: DataFrame, path: str, classes: np.ndarray, flat: np.ndarray, rounds: int, share: int) -> np.ndarray:
+    """One pass over all windows of one in ``share`` of the documents. Tasks code and cut texts as they go; a round's weights are averaged."""
+    sc = docs.sparkSession.sparkContext
     for n in range(rounds):
         sent = sc.broadcast((flat, classes))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.02 / (1 + n)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rate=0.02 / (1 + n), n=n) -> Iterator[pa.RecordBatch]:
             weights, table = sent.value
             t = Trainer(weights, rate)
-            for b in batches:
-                t.over(*_window_classes(b.column(0).flatten().to_numpy().reshape(-1, WIDTH + 1), table))
+            _learn(batches, path, table, t, n)
             if t.seen:
                 own = t.flat.astype(np.float64) * t.seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own), pa.array(np.full(len(own), t.seen))], ["i", "w", "n"])
 
-        got = rows.select("ids").mapInArrow(run, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row per weight
+        got = _round(docs, n, rounds, share).select("_text").mapInArrow(run, "i long, w double, n long").groupBy("i").agg(
+            (F.sum("w") / F.sum("n")).alias("w")).collect()  # one row per weight
         new = flat.copy()
         for r in got:
             new[r["i"]] = r["w"]
@@ -439,7 +427,7 @@ def _train(rows: DataFrame, classes: np.ndarray, flat: np.ndarray, rounds: int)
     return flat
 
 
-def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "doc_id", text: str = "text", share: int = 16,
+def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "doc_id", text: str = "text", share: int = 1,
                     rounds: int = 3, bucket_rows: int = 4096, seed: int = 9) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10 of the text's probability).
 
@@ -450,18 +438,16 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
     ship(spark)
     size = max(1, bucket_rows).bit_length() - 1
     rows = settle(docs.select(F.col(doc_id).alias("_id"), F.coalesce(train, F.lit(False)).alias("train"), blank_text(text).cast("binary").alias("_text"),
-                              F.shiftright(F.monotonically_increasing_id(), size).alias("bucket")), "lm-documents")
+                              F.pmod(F.xxhash64(F.col(doc_id), blank_text(text), F.lit(seed)), F.lit(1 << 40)).alias("mix"), F.shiftright(F.monotonically_increasing_id(), size).alias("bucket")), "lm-documents")
     words = settle(_word_counts(rows), "lm-words")
     counts = settle(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     by_id = _id_counts(counts, ranks)
-    picked = _training_windows(rows, ranks, share, seed)
-    picked = settle(picked.repartition("key").sortWithinPartitions("key", "ids"), "lm-windows")  # once, for all rounds
     learned = rows.filter("train")
     classes = make_classes(_company(learned, ranks, by_id), by_id)
     mass = np.bincount(classes, by_id + 0.5, CLASSES)
     within = log_shares(by_id, _id_counts(counts, ranks, classes), classes)
-    flat = _train(picked, classes, start_weights(mass / mass.sum(), _follows(learned, ranks, classes)), rounds)
+    flat = _train(learned, ranks, classes, start_weights(mass / mass.sum(), _follows(learned, ranks, classes)), rounds, share)
     model = spark.sparkContext.broadcast((flat, classes, within))
     log_all = float(np.log10(total + distinct + 1))
 

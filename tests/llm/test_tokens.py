@@ -1,11 +1,13 @@
 """op3 and op9 against the public library, prefix by prefix; op7's counts, gradient and window coverage."""
 import hashlib
+import inspect
 import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,26 @@ def test_classes_and_start_count_all_training_documents(spark):
     assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got), strict=True)} == {k: n for k, n in company.items() if n}
     got = lm._follows(df, RANKS, classes)
     assert {(a, b): int(got[a, b]) for a, b in zip(*np.nonzero(got), strict=True)} == dict(follows)
+
+
+def test_every_training_window_is_trained_on_once(spark):
+    """The registered setting: all training documents over the rounds, each in one, and all their windows."""
+    share, rounds = (inspect.signature(lm.score_documents).parameters[x].default for x in ("share", "rounds"))
+    docs = spark.range(300).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("mix"))
+    parts = [[r.id for r in lm._round(docs, n, rounds, share).collect()] for n in range(rounds)]
+    assert sorted(x for p in parts for x in p) == list(range(300)) and all(len(p) > 50 for p in parts)
+    r = random.Random(6)
+    raw = [" ".join(r.choice(["alpha", "Beta", "gamma"]) for _ in range(r.randint(0, 90))).encode() for _ in range(80)]
+    tokens = sum(len(lm.code_words(RANKS, [*t.lower().split(), b""])[0]) for t in raw)
+
+    class Counting(lm.Trainer):
+        scored = 0
+
+        def over(self, seen, target):
+            self.scored += int((target >= 0).sum())
+            super().over(seen, target)
+
+    classes = np.arange(lm.coder(RANKS)[1] + 1) % lm.CLASSES
+    t = Counting(lm.start_weights(np.full(lm.CLASSES, 1 / lm.CLASSES), np.ones((lm.CLASSES + 1, lm.CLASSES))), 0.02)
+    lm._learn((pa.RecordBatch.from_arrays([pa.array(raw[i:i + 9])], ["_text"]) for i in range(0, 80, 9)), RANKS, classes, t, 0, room=20)
+    assert t.scored == tokens
