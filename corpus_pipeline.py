@@ -16,15 +16,15 @@ from eventide.llm.crf_language import UNKNOWN, fit, identify, training_fold
 from eventide.llm.mixing import mixed_documents
 from eventide.llm.secret_scan import redact
 
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts that are null or without letters go, and those of which no language holds half."""
+    """Documents of any language or mix of languages: texts that are null or without letters go. Without labels to learn from, all stay."""
     columns = docs.columns
     model = fit(docs.filter(~training_fold()).select("text", "lang"))
+    if not model.languages:
+        return docs
     named = identify(docs, model, tuple(columns), label="_lang_pred", score="_lang_score")
-    return named.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)).select(*columns)
+    return named.filter(F.col("_lang_pred") != UNKNOWN).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -54,3 +55,20 @@ def test_pipeline_stage_by_stage(spark):
     assert set(times) <= set(before) and max(times.values()) <= 2
     assert tokens.count() == mixture.count() and all(r.ids for r in tokens.collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=str) == sorted(map(tuple, tokens.collect()), key=str)
+
+
+def test_language_stage_keeps_every_text_with_a_letter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    texts = {}
+    for r in docs.filter("text is not null").orderBy("doc_id").collect():
+        texts.setdefault(r.lang, []).extend(r.text.split())
+    one, two, three, four = (texts[x] for x in sorted(texts, key=lambda x: -len(texts[x]))[:4])
+    mixed = [" ".join(one[i:i + 40] + two[i:i + 35] + three[i:i + 30] + four[i:i + 30]) for i in range(0, 400, 40)]
+    odd = spark.createDataFrame([*((10_000_000 + i, t) for i, t in enumerate(mixed)), (10_000_100, "q"), (10_000_101, "12 - 7"), (10_000_102, None)], "doc_id long, text string")
+    df = docs.unionByName(odd, allowMissingColumns=True)
+    lettered = sorted(r.doc_id for r in df.collect() if any(c.isalpha() for c in r.text or ""))
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, SF).collect()) == lettered
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.language(spark, unlabelled, SF)
+    assert got.columns == columns and got.count() == docs.count()
