@@ -2,10 +2,11 @@
 
 The graph starts from the best neighbours inside random blocks and is improved by joining neighbours of neighbours: every node
 gathers its neighbours and those it is a neighbour of, scores the pairs among them of which one is new, and sends each side
-its best. Lists keep the ``degree`` nearest. Rounds stop when few lists change.
+its best. Lists keep the ``degree`` nearest. Rounds go on until few entries of the lists change.
 
-Queries walk the graph together, one Spark round per step: each keeps its ``beam`` nearest nodes so far and expands those not
-expanded yet, until none is left. Exact copies of a vector are one node that names its smallest ids, so copies neither fill
+Queries walk the graph together, one Spark round per step, from their own node and from the nearest ones in a few random
+blocks: each keeps its ``beam`` nearest nodes so far and expands those not
+expanded yet, until none is left. The beam grows with the logarithm of the nodes. Exact copies of a vector are one node that names its smallest ids, so copies neither fill
 lists nor crowd a task. Every task's groups are bounded: a block, a node's list, a query's beam.
 """
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _start(nodes: DataFrame, degree: int, block: int, seed: int) -> DataFrame:
         run, "a long, b long, score double")
 
 
-def _neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame, degree: int, each: int) -> DataFrame:
+def _neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
     """(a, b, score) candidates: pairs met in some node's neighbourhood, better than the worse end of a's list."""
     back = graph.select(F.col("b").alias("hub"), F.col("a").alias("member"), "score", "fresh")
     back = _best(back, "hub", "score", "member", degree).select("hub", "member", "fresh")
@@ -70,11 +71,8 @@ def _neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame, degree: int, e
         s = x @ x.T
         s[~(fresh[:, None] | fresh[None, :])] = -3
         np.fill_diagonal(s, -3)
-        k = min(each, len(ids) - 1)
-        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        best = np.take_along_axis(s, at, 1)
-        i, j = np.nonzero(best > worst[:, None])
-        return ids[i], ids[at[i, j]], best[i, j]
+        i, j = np.nonzero(s > worst[:, None])  # all of them: a pair left out now is not met again
+        return ids[i], ids[j], s[i, j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -104,29 +102,53 @@ def _neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame, degree: int, e
     return rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(run, "a long, b long, score double")
 
 
-def build_graph(nodes: DataFrame, degree: int = 30, block: int = 512, each: int = 6, rounds: int = 10, settled: float = 0.01, seed: int = 11) -> DataFrame:
-    """(a, b, score, fresh): each node's nearest nodes found. All vectors of ``nodes`` have one dimension."""
+def build_graph(nodes: DataFrame, degree: int = 30, block: int = 512, settled: float = 0.01, seed: int = 11) -> DataFrame:
+    """(a, b, score, fresh): each node's nearest nodes found. All vectors of ``nodes`` have one dimension.
+
+    Every new entry raises a list's scores, so the rounds end by themselves.
+    """
     ship(nodes.sparkSession)
     start = _best(_start(nodes, degree, block, seed).unionByName(_start(nodes, degree, block, seed + 1)).groupBy("a", "b").agg(
         F.max("score").alias("score")), "a", "score", "b", degree)
     graph = settle(start.withColumn("fresh", F.lit(True)), "graph")
-    for _ in range(rounds):
-        found = _neighbours_of_neighbours(graph, nodes, degree, each).withColumn("fresh", F.lit(True))
+    while True:
+        found = _neighbours_of_neighbours(graph, nodes, degree).withColumn("fresh", F.lit(True))
         merged = graph.withColumn("fresh", F.lit(False)).unionByName(found).groupBy("a", "b").agg(
             F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         graph = settle(_best(merged, "a", "score", "b", degree), "graph")
         changed, all_ = graph.agg(F.sum(F.col("fresh").cast("long")), F.count(F.lit(1))).first()
         if not all_ or changed <= settled * all_:
-            break
-    return graph
+            return graph
 
 
 def _cosine(v: Column, w: Column, norms: Column) -> Column:
     return F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / norms
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 128, degree: int = 30) -> DataFrame:
-    """(q, node, score): the beam of each query. ``queries``: q, v, norm and start, the node at which it begins.
+def suited_beam(nodes: int) -> int:
+    """Beam of a search among so many nodes: 16 a doubling, 128 at least."""
+    return max(128, 16 * nodes.bit_length())
+
+
+def block_starts(queries: DataFrame, nodes: DataFrame, rows: int, starts: int = 4, block: int = 512, best: int = 4, seed: int = 17) -> DataFrame:
+    """(q, node): the ``best`` nodes of each of ``starts`` random blocks of about ``block`` nodes (of ``rows``), for each of ``queries`` (q, v)."""
+    blocks = max(1, -(-rows // block))
+
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
+        s = _unit(asked.column("v").combine_chunks()) @ _unit(there.column("v").combine_chunks()).T
+        k = min(best, s.shape[1])
+        at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return pa.table({"q": np.repeat(asked.column("q").to_numpy(), k), "node": there.column("node").to_numpy()[at.ravel()]})
+
+    asked = queries.select("q", "v", F.explode(F.array(*(F.pmod(F.xxhash64("q", F.lit(seed + i)), F.lit(blocks)) for i in range(starts)))).alias("block"))
+    there = nodes.select("node", "v", F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(blocks)).alias("block"))
+    return asked.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(run, "q long, node long").distinct()
+
+
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int | None = None, degree: int = 30) -> DataFrame:
+    """(q, node, score): the beam of each query. ``queries``: q, v, norm and start, a node at which it begins besides those of ``block_starts``.
 
     Walks follow a node's list and the nearest ``degree`` of those that list it.
     """
@@ -140,7 +162,10 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 1
     ahead = graph.select(F.col("a").alias("node"), F.col("b").alias("next"))
     back = _best(graph.select(F.col("b").alias("node"), F.col("a").alias("next"), "score"), "node", "score", "next", degree).select("node", "next")
     links = settle(ahead.unionByName(back).distinct(), "walks")
-    state = settle(scored(queries.select("q", F.col("start").alias("node"))).withColumn("open", F.lit(True)), "beam")
+    rows = nodes.count()
+    beam = beam or suited_beam(rows)
+    begin = queries.select("q", F.col("start").alias("node")).unionByName(block_starts(queries, nodes, rows)).distinct()
+    state = settle(scored(begin).withColumn("open", F.lit(True)), "beam")
     while True:
         met = state.filter("open").join(links, "node").select("q", F.col("next").alias("node")).distinct()
         met = met.join(state.select("q", "node"), ["q", "node"], "left_anti")
@@ -151,7 +176,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, beam: int = 1
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", degree: int = 30,
-            beam: int = 128, **options) -> DataFrame:
+            beam: int | None = None, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query row, itself excluded.
 
     Rows whose vector is null, zero or not finite, or whose id is null, neither ask nor answer. Repeated rows of an id are one.

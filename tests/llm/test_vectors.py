@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from eventide.llm.int8_tiles import near_vectors, product, quantised, tile_links
-from eventide.llm.nn_descent import nearest
+from eventide.llm.nn_descent import _neighbours_of_neighbours, block_starts, make_nodes, nearest, suited_beam
 
 
 def clustered(n=400, dims=24, seed=0):
@@ -84,3 +84,16 @@ def test_nearest(spark):
     assert nearest(frame(spark, x[:1], [1]), F.lit(True)).count() == 0
     copies = nearest(frame(spark, np.tile(x[:1], (9, 1)), [1] * 9), F.col("vec_id") == 4).collect()
     assert [r.vec_id for r in sorted(copies, key=lambda r: r["rank"])] == [0, 1, 2, 3, 5]
+
+
+def test_all_pairs_of_a_hub_are_met(spark):
+    """Node 0 lists 30 others, whose lists are short: each of them meets all the others."""
+    x = np.random.default_rng(5).normal(size=(1200, 12))
+    nodes = make_nodes(frame(spark, x, [1] * len(x)), 5).persist()
+    graph = spark.createDataFrame([(0, b, 0.5, True) for b in range(1, 31)], "a long, b long, score double, fresh boolean")
+    got = {(r.a, r.b) for r in _neighbours_of_neighbours(graph, nodes, 30).collect()}
+    assert {(a, b) for a in range(1, 31) for b in range(1, 31) if a != b} <= got
+    starts = block_starts(nodes.limit(40).selectExpr("node q", "v"), nodes, 1200, block=100)
+    by = starts.groupBy("q").count().collect()
+    assert len(by) == 40 and all(4 <= r["count"] <= 16 for r in by)
+    assert suited_beam(0) == 128 and suited_beam(10 ** 4) < suited_beam(10 ** 6) < suited_beam(10 ** 9)
