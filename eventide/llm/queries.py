@@ -5,7 +5,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 MODULES = ("bpe_queries", "mixing_queries", "simhash_queries", "secret_queries", "vector_queries", "language_queries", "repeat_queries", "lm_queries",
-           "fill_middle_queries", "exact_queries")
+           "fill_middle_queries", "exact_queries", "spelling_queries")
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
