@@ -163,7 +163,7 @@ def asof_audit(spark, sf):
     flat = a.groupBy("entity").agg(
         F.count("*").alias("n"), F.count("obs_id").alias("matched"), F.max("age_s").alias("max_age"),
         F.round(100.0 * F.count("obs_id") / F.count("*"), 6).alias("matched_pct"))
-    return flat.join(medians(a, ["entity"], "age_s", "median_age", 60.0), "entity", "left")
+    return flat.join(medians(a, ["entity"], "age_s", "median_age"), "entity", "left")
 
 
 @query("agg13_latest_per_instant", f"""with {MOVES}

@@ -399,7 +399,7 @@ def profile(spark, sf):
         F.count("*").alias("n"), F.sum(F.round(p * 100).cast("long")).alias("cents"), F.round(F.avg(p), 4).alias("mean"),
         F.round(F.stddev_samp(p), 4).alias("std"), F.min(p).alias("lo"), F.max(p).alias("hi"), F.count_if(p < 1000).alias("small"),
         F.round(percent_true(p <= 250000), 6).alias("pct_below"), F.count_distinct("o_custkey").alias("customers"))
-    q = exact_quantiles(o, ["o_orderstatus"], "o_totalprice", {"median": (0.5, LINEAR)}, width=1000.0)
+    q = exact_quantiles(o, ["o_orderstatus"], "o_totalprice", {"median": (0.5, LINEAR)})
     return flat.join(q, "o_orderstatus").withColumn("repeats", F.col("n") - F.col("customers"))
 
 
@@ -415,14 +415,14 @@ def nearest_sql(source: str, key: str, value: str, qs=NEAR) -> str:
 @query("agg5_nearest_quantiles", nearest_sql("lineitem", "l_returnflag", "l_extendedprice"))
 def nearest(spark, sf):
     return exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice",
-                           {f"q{i}": (q, NEAREST) for i, q in enumerate(NEAR)}, width=256.0)
+                           {f"q{i}": (q, NEAREST) for i, q in enumerate(NEAR)})
 
 
 @query("agg6_linear_percentiles", """select l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) as p5, round(quantile_cont(l_extendedprice, 0.95), 6) as p95, round(median(l_extendedprice), 6) as p50
 from lineitem group by 1""")
 def linear(spark, sf):
     return rounded(exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice",
-                                   {"p5": (0.05, LINEAR), "p50": (0.5, LINEAR), "p95": (0.95, LINEAR)}, width=256.0), "p5", "p50", "p95")
+                                   {"p5": (0.05, LINEAR), "p50": (0.5, LINEAR), "p95": (0.95, LINEAR)}), "p5", "p50", "p95")
 
 
 CARD = ("lane", "stand", "operator", "offblock_us", "dest")

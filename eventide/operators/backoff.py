@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import clip
+from eventide.functions.quantiles import LINEAR, exact_quantiles
 
 # Most specific first, the support a group needs, and the output range.
 LEVELS = (
@@ -45,20 +46,16 @@ def fit_backoff(train: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, targ
                 by: Sequence[str] = (), min_support: int = MIN_SUPPORT, weight: str | None = None) -> DataFrame:
     """(by, level, keys, median, support) for every group, plus the global median as last level.
 
-    Equal targets of a group are counted map-side, so coarse levels shuffle next to nothing; the
-    exact median then works on distinct targets per group, which whole seconds keep few.
+    Equal targets of a group are counted map-side, so coarse levels shuffle next to nothing. The medians of all levels are located
+    together, by ranks in ever narrower cells, so no group's distinct targets have to fit into a task.
     ``weight`` names a count column when ``train`` is collapsed already.
     """
     cols = level_columns(levels)
     group = [*by, "level", *[f"k_{c}" for c in cols]]
     rows = train.filter(F.col(target).isNotNull()).selectExpr(
         *by, *cols, f"{target} as _y", f"{weight or '1L'} as _n")
-    return (
-        _at_levels(rows, [*levels, ()], [*by, "_y", "_n"])
-        .groupBy(*group, "_y").agg(F.sum("_n").alias("_n"))
-        .groupBy(*group).agg(F.percentile("_y", F.lit(0.5), F.col("_n")).alias("median"), F.sum("_n").alias("support"))
-        .filter((F.col("support") >= min_support) | (F.col("level") == len(levels)))
-    )
+    found = exact_quantiles(_at_levels(rows, [*levels, ()], [*by, "_y", "_n"]), group, "_y", {"median": (0.5, LINEAR)}, weight="_n", total="support")
+    return found.filter((F.col("support") >= min_support) | (F.col("level") == len(levels)))
 
 
 def predict_backoff(df: DataFrame, table: DataFrame, levels: Sequence[Sequence[str]] = LEVELS,

@@ -6,12 +6,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.plans.settle import settle
 
-def code_dimension(tables: Sequence[DataFrame], columns: Sequence[str], prefix: int = 2) -> DataFrame:
+
+def in_ranges(values: DataFrame) -> DataFrame:
+    """Distinct (column, value) rows with ``_p``, the number of the range they lie in. Written, so that the ranges stay as they are.
+
+    Ranges are cut by a sample of the values themselves: they hold about as many rows each, however alike the values begin.
+    """
+    return settle(values.repartitionByRange("column", "value").withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def code_dimension(tables: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
     """(column, value, code): code is the rank of the value among all tables, from 0.
 
-    All columns are handled in one pass. Ranks are taken inside (column, first characters) and
-    shifted by the number of values in earlier prefixes, so a large dictionary is not sorted in
+    All columns are handled in one pass. Ranks are taken inside ranges of values and
+    shifted by the number of values in earlier ranges, so a large dictionary is not sorted in
     one task. Nulls have no code.
     """
     pairs = None
@@ -20,8 +30,8 @@ def code_dimension(tables: Sequence[DataFrame], columns: Sequence[str], prefix:
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
         ]))).filter(F.col("value").isNotNull()).distinct()
         pairs = p if pairs is None else pairs.unionByName(p)
-    values = pairs.distinct().withColumn("_p", F.substring("value", 1, prefix))
-    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    values = in_ranges(pairs.distinct())
+    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = (
         values.groupBy("column", "_p").agg(F.count("*").alias("_n"))
         .select("column", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

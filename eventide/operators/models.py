@@ -1,30 +1,36 @@
-"""Distributed tree regressors, per-segment specialists and sub-population models."""
+"""Boosted trees, per-segment specialists and sub-population models."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import clip, finite
 from eventide.operators.audit import usable_columns
-from eventide.plans.settle import shared_dir
+from eventide.operators.boosting import HELD, LABEL, Boosted, binned_matrix, boost, fit_binning
+from eventide.operators.ordered import apply_statistics, fit_statistics, ordered_statistics
 
 SEED = 4711
-_LABEL, _VECTOR, _HELD = "_label", "_features", "_held_out"
+# The limit of rounds, the rounds waited for a better one, and the largest category the second learner takes as it is.
+MAX_ROUNDS, PATIENCE = 3000, 100
+AS_CODES = 2
 
 
 @dataclass(frozen=True)
 class TreeParams:
-    """Level-wise trees: ``leaves`` of a leaf-wise learner maps to the depth that holds them."""
+    """Level-wise trees: ``leaves`` of a leaf-wise learner maps to the depth that holds them.
 
-    rounds: int = 40
-    depth: int = 6
-    step: float = 0.1
+    With inner rows, ``rounds`` is only a limit and ``patience`` ends the fit; without, exactly ``rounds`` trees are fitted.
+    """
+
+    rounds: int = MAX_ROUNDS
+    patience: int = PATIENCE
+    depth: int = 7
+    step: float = 0.06
     min_rows: int = 20
     bins: int = 64
     row_fraction: float = 0.8
@@ -55,15 +61,17 @@ def category_sizes(df: DataFrame, categorical: Sequence[str]) -> dict[str, int]:
     return {c: row[c] + 2 for c in categorical}
 
 
-def model_rows(df: DataFrame, features: Sequence[str], sizes: Mapping[str, int], keep: Sequence[str]) -> DataFrame:
-    """Doubles without nulls. Declared categories, and only these, are nominal, however many values they have.
+def model_rows(df: DataFrame, features: Sequence[str], sizes: Mapping[str, int], keep: Sequence[str], ordered: Sequence[str] = ()) -> DataFrame:
+    """Doubles. Declared categories, and only these, are nominal or, where ``ordered``, stand for themselves by their statistic.
 
-    Category 0 is unknown: null, or a code that the fit rows lack. Other nulls become a value far
-    below every other, so that splits can route missing values on their own.
+    Category 0 is unknown: null, or a code that the fit rows lack. Other nulls become NaN, which gets a bin of its own, so that
+    splits can route missing values apart.
     """
     def column(c: str):
+        if c in ordered:
+            return F.col(f"os_{c}").alias(c)
         if c not in sizes:
-            return F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(c)
+            return F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
         known = (F.col(c) >= 0) & (F.col(c) < sizes[c] - 1)
         nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}}
         return F.when(known, F.col(c).cast("double") + 1).otherwise(F.lit(0.0)).alias(c, metadata=nominal)
@@ -78,11 +86,17 @@ class FittedModel:
     pipeline: PipelineModel
     sizes: dict[str, int]
     floor: float = 0.0
-    info: dict = field(default_factory=dict)
+    prior: float = 0.0                      # mean target, for categories that the fit rows lack
+    ordered: list[str] = field(default_factory=list)
+    statistics: DataFrame | None = None     # of the ordered categories, over all fit rows
+    errors: list[float] = field(default_factory=list)
+    stopped: bool = False
 
     def predict(self, df: DataFrame, id_col: str = "id", name: str = "pred") -> DataFrame:
         """(id, prediction), never below the floor."""
-        rows = model_rows(df, self.features, self.sizes, [id_col])
+        if self.ordered:
+            df = apply_statistics(df, self.statistics, self.ordered, self.prior)
+        rows = model_rows(df, self.features, self.sizes, [id_col], self.ordered)
         scored = self.pipeline.transform(rows)
         return scored.select(id_col, clip(F.col("prediction"), self.floor).alias(name))
 
@@ -90,7 +104,7 @@ class FittedModel:
         """(feature, share) by split gain, largest first."""
         gains = self.pipeline.stages[-1].featureImportances.toArray()
         total = float(gains.sum()) or 1.0
-        rows = [(f, float(g) / total) for f, g in zip(self.features, gains)]
+        rows = [(f, float(gains[k]) / total if k < len(gains) else 0.0) for k, f in enumerate(self.features)]
         spark = SparkSession.getActiveSession()
         out = spark.createDataFrame(rows, "feature string, share double").orderBy(F.desc("share"), "feature")
         return out.limit(top) if top else out
@@ -99,61 +113,91 @@ class FittedModel:
     def trees(self) -> int:
         return self.pipeline.stages[-1].getNumTrees
 
+    def rounds(self) -> DataFrame:
+        """(round, inner_rmse, kept): one row per round tried; kept ones make up the model."""
+        rows = [(k + 1, e, k < self.trees) for k, e in enumerate(self.errors)]
+        return SparkSession.getActiveSession().createDataFrame(rows, "round int, inner_rmse double, kept boolean")
+
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame(list(self.sizes.items()), "name string, size int").coalesce(1).write.mode("overwrite").parquet(f"{path}-categories")
+        rows = [(c, self.sizes[c], c in self.ordered) for c in self.categorical] + [("", 0, False)]
+        spark.createDataFrame(rows, "name string, size int, ordered boolean").withColumn("prior", F.lit(self.prior)).coalesce(1).write.mode("overwrite").parquet(f"{path}-categories")
+        if self.ordered:
+            self.statistics.write.mode("overwrite").parquet(f"{path}-statistics")
 
 
 def load_model(path: str, features: Sequence[str], categorical: Sequence[str], floor: float = 0.0) -> FittedModel:
-    sizes = {r["name"]: r["size"] for r in SparkSession.getActiveSession().read.parquet(f"{path}-categories").collect()}  # declared columns
-    return FittedModel(list(features), list(categorical), PipelineModel.load(path), sizes, floor)
+    spark = SparkSession.getActiveSession()
+    rows = spark.read.parquet(f"{path}-categories").collect()  # declared columns
+    ordered = [r["name"] for r in rows if r["ordered"]]
+    return FittedModel(list(features), list(categorical), PipelineModel.load(path), {r["name"]: r["size"] for r in rows if r["name"]}, floor, rows[0]["prior"],
+                       ordered, spark.read.parquet(f"{path}-statistics") if ordered else None)
 
 
-def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str], target: str = "duration_s",
-              params: TreeParams = TreeParams(), inner: DataFrame | None = None, learner: str = "boosted",
-              floor: float = 0.0) -> FittedModel:
-    """Fit one model on the cluster. ``inner`` rows stop boosting early; they are never trained on.
+@dataclass
+class Prepared:
+    """What fits of several configurations share: the written matrix and how rows become vectors."""
+    matrix: DataFrame
+    binning: PipelineModel
+    sizes: dict[str, int]
+    prior: float
+    ordered: list[str]
+    statistics: DataFrame | None
+    features: list[str]
+    categorical: list[str]
+    bins: int
+    held: bool
+
+    def fit(self, params: TreeParams, floor: float = 0.0) -> FittedModel:
+        made: Boosted = boost(self.matrix, params.rounds, params.patience if self.held else None, params.step, params.depth, params.min_rows, self.bins + 2,
+                              params.row_fraction, params.feature_fraction, params.seed)
+        return FittedModel(self.features, self.categorical, PipelineModel([*self.binning.stages, made.model]), self.sizes, floor, self.prior, self.ordered,
+                           self.statistics, made.errors, made.stopped)
 
-    ``learner`` is "boosted" or "forest", the second, more diverse learner.
+
+def prepare_fit(fit: DataFrame, features: Sequence[str], categorical: Sequence[str], target: str = "duration_s", bins: int = 64,
+                inner: DataFrame | None = None, learner: str = "boosted", id_col: str = "id", seed: int = SEED) -> Prepared:
+    """Bin and write the rows once.
+
+    A category wider than the bins (or than the fit rows) cannot be nominal and is ordered by its target statistic; the learner
+    "ordered" does that with every category of over two values. Bins of other columns do not depend on it.
     """
+    if learner not in ("boosted", "ordered"):
+        raise ValueError(f"unknown learner {learner!r}")
     categorical = [c for c in categorical if c in features]
-    label = F.col(target).cast("double").alias(_LABEL)
+    known = fit.filter(F.col(target).isNotNull())
+    n, prior = known.agg(F.count(F.lit(1)), F.avg(F.col(target).cast("double"))).first()
+    if not n:
+        raise ValueError("no rows to fit on")
     sizes = category_sizes(fit, categorical)
+    widest = min(bins, n) if learner == "boosted" else AS_CODES + 1  # sizes count unknown as a value
+    ordered, statistics = [c for c in categorical if sizes[c] > widest], None
+    held = inner.filter(F.col(target).isNotNull()) if inner is not None else None
+    if ordered:
+        statistics = fit_statistics(known, ordered, target, prior)
+        known = known.join(ordered_statistics(known, ordered, target, prior, id_col, seed), id_col)
+        held = apply_statistics(held, statistics, ordered, prior) if held is not None else None
 
-    def rows(df: DataFrame, held: bool) -> DataFrame:
-        known = df.filter(F.col(target).isNotNull()).withColumn(_HELD, F.lit(held))
-        return model_rows(known.withColumn(_LABEL, label), features, sizes, [_LABEL, _HELD])
-
-    train = rows(fit, False)
-    if inner is not None and learner == "boosted":
-        train = train.unionByName(rows(inner, True))
-    sc = train.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(train.sparkSession))
-    # MLlib wants as many rows as a category has values; repeating all rows, and min_rows with them, changes no split
-    times = -(-max([1, *sizes.values()]) // max(1, train.filter(~F.col(_HELD)).count()))
-    if times > 1:
-        train = train.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_copy")
-    common = dict(featuresCol=_VECTOR, labelCol=_LABEL, maxDepth=params.depth, maxBins=max([params.bins, *sizes.values()]),
-                  minInstancesPerNode=params.min_rows * times, subsamplingRate=params.row_fraction, seed=params.seed,
-                  featureSubsetStrategy=params.feature_fraction, checkpointInterval=10)
-    if learner == "boosted":
-        trees = GBTRegressor(maxIter=params.rounds, stepSize=params.step, validationTol=0.0, **common)  # stops at the first round that is no better
-        if inner is not None:
-            trees = trees.setValidationIndicatorCol(_HELD)
-    elif learner == "forest":
-        common["featureSubsetStrategy"] = "onethird"
-        trees = RandomForestRegressor(numTrees=params.rounds, **common)
-    else:
-        raise ValueError(f"unknown learner {learner!r}")
-    stages = [VectorAssembler(inputCols=list(features), outputCol=_VECTOR), trees]
-    train = train.persist()
-    try:
-        fitted = Pipeline(stages=stages).fit(train)
-    finally:
-        train.unpersist()
-    return FittedModel(list(features), categorical, fitted, sizes, floor)
+    def rows(df: DataFrame, is_held: bool) -> DataFrame:
+        named = df.withColumns({LABEL: F.col(target).cast("double"), HELD: F.lit(is_held)})
+        return model_rows(named, features, sizes, [LABEL, HELD], ordered)
+
+    train = rows(known, False)
+    nominal = [c for c in categorical if c not in ordered]
+    binning = fit_binning(train, features, nominal, bins)
+    both = train if held is None else train.unionByName(rows(held, True))
+    return Prepared(binned_matrix(both, binning), binning, sizes, prior, ordered, statistics, list(features), categorical, bins, held is not None)
+
+
+def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str], target: str = "duration_s",
+              params: TreeParams = TreeParams(), inner: DataFrame | None = None, learner: str = "boosted",
+              floor: float = 0.0, id_col: str = "id") -> FittedModel:
+    """Fit one model on the cluster. ``inner`` rows end the fit and choose the number of trees; they are never trained on.
+
+    ``learner`` is "boosted", or "ordered", the second learner, which sees categories by their ordered statistics.
+    """
+    return prepare_fit(fit, features, categorical, target, params.bins, inner, learner, id_col, params.seed).fit(params, floor)
 
 
 def fit_specialists(fit: DataFrame, segment: str, scope: Sequence, features: Sequence[str],
@@ -189,14 +233,16 @@ def fit_subpopulation(fit: DataFrame, flag: str, features: Sequence[str], catego
 
 
 def capacity_grid(fit: DataFrame, configs: Mapping[str, Mapping[str, int]], features: Sequence[str],
-                  categorical: Sequence[str], inner: DataFrame | None = None, **how) -> dict[str, FittedModel]:
-    """One fit per configuration of the grid."""
-    out = {}
-    for name, c in configs.items():
-        p = TreeParams.from_capacity(c["leaves"], c["min_data"])
-        p = TreeParams(**{**p.__dict__, **how})
-        out[name] = fit_trees(fit, features, categorical, params=p, inner=inner)
-    return out
+                  categorical: Sequence[str], inner: DataFrame | None = None, params: TreeParams = TreeParams()) -> dict[str, FittedModel]:
+    """One fit per configuration, side by side on one written matrix; ``params`` gives what the grid does not."""
+    ready = prepare_fit(fit, features, categorical, bins=params.bins, inner=inner, seed=params.seed)
+
+    def one(c: Mapping[str, int]) -> FittedModel:
+        sized = TreeParams.from_capacity(c["leaves"], c["min_data"])
+        return ready.fit(replace(params, depth=sized.depth, min_rows=sized.min_rows))
+
+    with ThreadPoolExecutor(len(configs)) as pool:
+        return dict(zip(configs, pool.map(one, configs.values())))
 
 
 def all_finite(df: DataFrame, pred: str = "pred") -> bool:

@@ -4,8 +4,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from eventide.functions.quantiles import medians
 from eventide.operators.backoff import LEVELS, MIN_SUPPORT, control_prediction, fit_backoff
 from eventide.operators.blend import blend_segments
 from eventide.operators.encoding import Spec, fit_map, transform
@@ -49,5 +49,4 @@ def scored_split(df: DataFrame, split: str, cal: Calendar, trigger: Trigger, sco
 
 def global_median(df: DataFrame, target: str = "duration_s") -> DataFrame:
     """One row: the median target, the fallback of ids without a prediction."""
-    counts = df.filter(F.col(target).isNotNull()).groupBy(target).count()
-    return counts.agg(F.percentile(target, F.lit(0.5), F.col("count")).alias("median"))
+    return medians(df, [], target, "median")

@@ -116,7 +116,7 @@ def match_audit(attached: DataFrame, entity: str = "entity") -> DataFrame:
     flat = attached.groupBy(entity).agg(
         F.count("*").alias("rows"), F.count_if(F.col("wx_missing") == 0).alias("matched"),
         F.min("wx_age_minutes").alias("min_age"), F.max("wx_age_minutes").alias("max_age"))
-    return with_quantiles(flat, attached, [entity], "wx_age_minutes", {"median_age": (0.5, LINEAR)}, 1.0)
+    return with_quantiles(flat, attached, [entity], "wx_age_minutes", {"median_age": (0.5, LINEAR)})
 
 
 def enforce_age(attached: DataFrame, limit_minutes: float = 180.0) -> None:

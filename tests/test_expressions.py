@@ -53,7 +53,7 @@ def test_exact_quantiles(spark, n):
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None), ("none", None)], "g string, v double")
     qs = (0.0, 0.05, 0.5, 0.9, 1.0)
     wanted = {f"l{i}": (q, LINEAR) for i, q in enumerate(qs)} | {f"n{i}": (q, NEAREST) for i, q in enumerate(qs)}
-    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted, width=3.0).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "v", wanted, fits=3).collect()}
     assert set(got) == {"a", "b"}
     for g, vs in data.items():
         s = sorted(vs)

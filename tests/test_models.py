@@ -1,11 +1,14 @@
 """Tree fits: learning, missing values, early stop, specialists, persistence."""
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventide.operators.metrics import rmse
-from eventide.operators.models import (TreeParams, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, predict_specialists)
+from eventide.operators.models import (TreeParams, capacity_grid, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, predict_specialists,
+                                       prepare_fit)
+from eventide.operators.ordered import apply_statistics, fit_statistics, ordered_statistics
 
 QUICK = TreeParams(rounds=8, depth=3, min_rows=2, step=0.4)
 
@@ -36,10 +39,26 @@ def test_boosted_fit_learns_and_keeps_missing_apart(spark, rows, tmp_path):
     assert again.predict(rows).join(m.predict(rows, name="p0"), "id").filter("pred <> p0").count() == 0
 
 
-def test_early_stop_never_trains_on_inner_rows(spark, rows):
+def test_patience_keeps_the_best_round(spark, rows):
+    fit, inner = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0").withColumn("duration_s", F.col("duration_s") + (F.hash("id") % 150))
+    how = dict(depth=3, min_rows=2, step=0.4)
+    ready = prepare_fit(fit, ["x", "code"], ["code"], inner=inner)
+    m = ready.fit(TreeParams(patience=5, **how))
+    best = min(range(len(m.errors)), key=m.errors.__getitem__) + 1
+    assert m.stopped and m.trees == best and len(m.errors) == best + 5 < 3000
+    assert [r.kept for r in m.rounds().orderBy("round").collect()] == [k < best for k in range(len(m.errors))]
+    got = inner.join(m.predict(inner), "id").agg(rmse("pred", "duration_s")).first()[0]
+    assert got == pytest.approx(m.errors[best - 1])
+    # a limit below the wait ends the fit without patience; the first rounds are those of the longer fit
+    short = ready.fit(TreeParams(rounds=4, patience=5, **how))
+    assert not short.stopped and short.errors == pytest.approx(m.errors[:4])
+    with pytest.raises(ValueError, match="inner"):
+        fit_trees(fit, ["x"], [], params=QUICK, inner=inner.limit(0))
+
+
+def test_inner_rows_are_never_trained_on(spark, rows):
     inner = rows.withColumn("duration_s", F.lit(10_000))
-    m = fit_trees(rows, ["x", "code"], ["code"], params=TreeParams(rounds=30, depth=3, min_rows=2, step=0.4), inner=inner)
-    assert m.trees < 30
+    m = fit_trees(rows, ["x", "code"], ["code"], params=TreeParams(rounds=30, patience=5, depth=3, min_rows=2, step=0.4), inner=inner)
     assert m.predict(rows).agg(F.max("pred")).first()[0] < 3000
 
 
@@ -53,9 +72,14 @@ def test_specialists_and_subpopulation(spark, rows):
     assert sub.features == ["code"]
 
 
-def test_forest_and_feature_toggles(spark, rows):
-    m = fit_trees(rows, ["x", "code"], ["code"], params=TreeParams(rounds=5, depth=4), learner="forest")
-    assert m.trees == 5
+def test_second_learner_and_feature_toggles(spark, rows, tmp_path):
+    how = dict(params=TreeParams(rounds=5, depth=4, min_rows=2))
+    m, first = fit_trees(rows, ["x", "code"], ["code"], learner="ordered", **how), fit_trees(rows, ["x", "code"], ["code"], **how)
+    assert m.trees == 5 and m.ordered == ["code"] and first.ordered == []
+    assert m.predict(rows).join(first.predict(rows, name="other"), "id").filter("abs(pred - other) > 1e-6").count() > 300
+    m.save(str(tmp_path / "model"))
+    again = load_model(str(tmp_path / "model"), m.features, m.categorical)
+    assert again.predict(rows).join(m.predict(rows, name="p0"), "id").filter("pred <> p0").count() == 0
     with pytest.raises(ValueError):
         fit_trees(rows, ["x"], [], learner="other")
     assert feature_set(["a", "b"], [["c"]], ["b"], ["a", "c"]) == ["a", "c"]
@@ -76,3 +100,41 @@ def test_capacities_keep_their_depth():
     from eventide.operators.selection import CONFIGS
     depths = {TreeParams.from_capacity(c["leaves"], c["min_data"]) for c in CONFIGS.values()}
     assert len(depths) == len({(p.depth, p.min_rows) for p in depths}) > 2
+
+
+def test_wide_category_changes_no_other_bins(spark):
+    df = spark.range(300).selectExpr("id", "cast(id % 7 as double) as x", "cast(id % 3 as int) as code", "cast(id % 7 * 10 as double) as duration_s")
+    wide = df.withColumn("code", F.when(F.col("id") == 5, 5000).otherwise(F.col("code")))
+    p = prepare_fit(wide, ["x", "code"], ["code"])
+    assert p.ordered == ["code"] and p.bins == 64 and p.matrix.count() == 300
+    q = prepare_fit(df, ["x", "code"], ["code"])
+    assert q.ordered == [] and q.matrix.count() == 300
+    assert p.fit(TreeParams(rounds=2, depth=3)).predict(wide).count() == 300
+
+
+def test_grid_fits_from_one_matrix(spark, rows):
+    fitted = capacity_grid(rows.filter("id % 4 <> 0"), {"small": {"leaves": 3, "min_data": 2}, "large": {"leaves": 15, "min_data": 2}}, ["x", "code"], ["code"],
+                           rows.filter("id % 4 = 0"), TreeParams(rounds=6, patience=2, step=0.4))
+    assert set(fitted) == {"small", "large"}
+    assert fitted["large"].errors != fitted["small"].errors
+
+
+def test_ordered_statistics_equal_a_loop(spark):
+    rnd = random.Random(3)
+    data = [(i, rnd.choice(["hot"] * 8 + ["b", None]), rnd.choice("xy"), rnd.choice([None, *range(20)])) for i in range(400)]
+    df = spark.createDataFrame(data, "id long, a string, b string, y long")
+    want = {}
+    for column in (1, 2):
+        seen = {}
+        for r in sorted((d for d in data if d[3] is not None), key=lambda d: (int(hashlib.md5(f"{d[0]}:9".encode()).hexdigest()[:15], 16), d[0])):
+            total, n = seen.get(r[column], (0, 0))
+            want.setdefault(r[0], []).append((total + 2 * 7.5) / (n + 2))
+            seen[r[column]] = (total + r[3], n + 1)
+    for size in (10, 10**6):
+        got = {r.id: [r.os_a, r.os_b] for r in ordered_statistics(df, ["a", "b"], "y", 7.5, seed=9, strength=2.0, rows_per_bucket=size).collect()}
+        assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+    stats = fit_statistics(df, ["a"], "y", 7.5, strength=2.0)
+    new = apply_statistics(spark.createDataFrame([(1, None), (2, "unseen"), (3, "hot")], "id long, a string"), stats, ["a"], 7.5)
+    hot = [d[3] for d in data if d[1] == "hot" and d[3] is not None]
+    assert {r.id: r.os_a for r in new.collect()}[3] == pytest.approx((sum(hot) + 15) / (len(hot) + 2))
+    assert {r.id: r.os_a for r in new.collect()}[2] == 7.5 and new.count() == 3
