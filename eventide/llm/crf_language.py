@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,28 +219,33 @@ def fit(training: DataFrame, text: str = "text", label: str = "lang", per_langua
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-             label: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``keep`` columns, lang_pred and lang_score (0 to 1), or as named. ``und`` and 0 for a null text or one without a letter."""
+             label: str = "lang_pred", score: str = "lang_score", most_characters: int = 1_000_000) -> DataFrame:
+    """``keep`` columns, lang_pred and lang_score (0 to 1), or as named. ``und`` and 0 for a null text or one without a letter.
+
+    Texts are predicted in parts of about ``most_characters``; a longer text is a part of its own.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [*keep, label, score]
+    # the text travels once: where it is kept, it is read from there
+    kept = text in keep and docs.schema[text].dataType.simpleString() == "string"
+    sent = docs.select(*keep) if kept else docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    place = keep.index(text) if kept else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(len(keep))
-            labels, scores, part, size = [], [], [], 0
-            for t in column:
-                part.append(t.as_py())
-                size += len(part[-1] or "")
-                if size > 8_000_000:  # bounds memory; documents are independent of each other
-                    x = shared.value.predict(part)
-                    labels, scores, part, size = labels + x[0], scores + x[1], [], 0
-            x = shared.value.predict(part)
-            made = [pa.array(labels + x[0], pa.string()), pa.array(scores + x[1], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *made], names)
+            start, size = 0, 0
+            lengths = pc.fill_null(pc.utf8_length(b.column(place)), 0).to_pylist()
+            for end in range(1, b.num_rows + 1):
+                size += lengths[end - 1]
+                if size > most_characters or end == b.num_rows:  # bounds memory; documents are independent of each other
+                    part = b.slice(start, end - start)
+                    labels, scores = shared.value.predict(part.column(place).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names)
+                    start, size = end, 0
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"{label} string, {score} double"])
-    return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def training_fold(doc_id: str = "doc_id") -> Column:
