@@ -24,7 +24,7 @@ from eventide.plans.settle import settle
 NUMERIC = ("implied_duration", "offblock_missing", "move_minus_sched", "move_minus_last", "move_minus_filed", "move_minus_initial",
            "offblock_minus_sched", "planned_length", "hour", "weekday", "dep_prev_30", "arr_prev_30", "lane_prev_30", "plan_dep_prev_30",
            "lane_share_30")
-# Larger steps and a shorter wait than the library's 0.06 and 100: on small tables a round costs 0.3 to 0.5 s of job starts, whatever its rows.
+# Larger steps and a shorter wait than the library's 0.06 and 100: on small tables a round costs about 0.6 s of job starts, whatever its rows.
 PARAMS = TreeParams(step=0.5, patience=8, depth=5)
 TEST = "test"
 
