@@ -28,6 +28,8 @@ from eventide.llm.common import blank_text, settle, ship
 
 K = 100
 SEGMENT = 1 << 20
+#: Kept bytes that a task gathers before it sends them on.
+SENT_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 
@@ -245,7 +247,8 @@ def remove_repeats(docs: DataFrame, least: int = 400, doc_id: str = "doc_id", te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if ``with_text``.
 
     Every byte of a ``least``-byte string that also starts anywhere else, in any document or the same one, is removed. Null
-    texts are empty; repeated rows are occurrences of each other; rows may share an id.
+    texts are empty; repeated rows are occurrences of each other; rows may share an id. Cuts fall between bytes, so the
+    kept bytes may hold a part of a character.
     """
     if least <= K:
         raise ValueError(f"least must be over {K}")
@@ -255,17 +258,26 @@ def remove_repeats(docs: DataFrame, least: int = 400, doc_id: str = "doc_id", te
     ranges = settle(repeated_ranges(rows, least, most), "ranges")
     met = rows.join(ranges, "_key", "left").select("_id", "_text", "ranges")
     names = [doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def batch(ids: list, made: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array([m[k] for m in made], kinds[k]) for k in range(len(names) - 1))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = []
-            for t, r in zip(b.column(1), b.column(2), strict=True):
+            ids, made, held = [], [], 0
+            for i, t, r in zip(*b.columns, strict=True):
                 raw = t.as_py()
                 mask = covered(raw, [(x["start"], x["stop"]) for x in r.as_py() or ()], least)
                 kept = np.frombuffer(raw, dtype=np.uint8)[~mask].tobytes() if mask.any() else raw
-                made.append((len(raw), len(raw) - len(kept), int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([m[k] for m in made], kinds[k]) for k in range(len(names) - 1))], names)
+                row = (len(raw), len(raw) - len(kept), int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
+                ids.append(i.as_py())
+                made.append((*row, kept))
+                held += len(kept)
+                if held > SENT_BYTES:
+                    yield batch(ids, made, b.column(0).type)
+                    ids, made, held = [], [], 0
+            yield batch(ids, made, b.column(0).type)
 
     schema = f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return met.mapInArrow(run, schema)

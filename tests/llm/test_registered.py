@@ -1,4 +1,5 @@
 """The queries and the pipeline over the smallest tables."""
+import hashlib
 import os
 from collections import Counter
 
@@ -27,6 +28,23 @@ def test_mixing_equals_sql(spark):
     assert got == rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
+def test_repeat_removal_on_a_table_equals_brute_force(spark):
+    least = 400
+    raw = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    seen = Counter(b[i:i + least] for b in raw.values() for i in range(len(b) - least + 1))
+    got = {r.doc_id: r for r in entry.queries()["op4_repeat_removal"](spark, SF).collect()}
+    assert set(got) == set(raw)
+    for doc_id, b in raw.items():
+        mask = bytearray(len(b))
+        for i in range(len(b) - least + 1):
+            if seen[b[i:i + least]] > 1:
+                mask[i:i + least] = b"\1" * least
+        kept = bytes(c for c, m in zip(b, mask, strict=True) if not m)
+        r = got[doc_id]
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(b), sum(mask), hashlib.sha256(kept).hexdigest())
+        assert r.kept_text.replace("\ufffd", "") == kept.decode("utf-8", "ignore").replace("\ufffd", "")
+
+
 def test_held_out_languages(spark):
     df = entry.queries()["op10_language_id"](spark, "/root/testdata/sf0.01")
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
