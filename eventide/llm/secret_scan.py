@@ -1,12 +1,14 @@
 """Secret scanning: fixed patterns, and runs of characters that pass a randomness test battery.
 
-Patterns (base spans): assignments to secret names, access keys, long hex. The battery looks at every other run of key
-characters. It infers the encoding (hex, base32, base36, base64), then tests the symbols against what that encoding gives at
-random: chi-squared of the counts, runs above and below the middle, lag-one serial correlation. A run that any test rejects
-(Bonferroni over three) is not random. Short runs of ordinary text can pass for lack of length, so each run also gets a
-p-value under ordinary text: symbol counts at least as even, and character classes changing at least as often, as in the
-corpus's own long runs of letters, for a text of that length. Within each encoding and length octave these p-values pass a
-false-discovery (step-up) control; what is left is a secret.
+Patterns (base spans): assignments to secret names, access keys, long hex. The battery looks at every other run of at least
+20 key characters, those of letters or digits alone included. It infers the encoding (decimal, hex, base26, base32, base36,
+base52, base64), then tests the symbols against what that encoding gives at random: chi-squared of the counts, runs above and
+below the middle, lag-one serial correlation. A run that any test rejects (Bonferroni over three) is not random. Short runs of
+ordinary text can pass for lack of length, so each run also gets a p-value under ordinary text of its family: symbol counts at
+least as even, and neighbours that differ in the family's way at least as often (letters of one case: two consonants; digits:
+more than one apart; else: another class of character), as in the corpus's own runs that the battery rejects, for a text of
+that length. Within each encoding and length octave these p-values pass a false-discovery (step-up) control; what is left is
+a secret. A random run of one case of letters or of digits alone carries less evidence per character and needs more of them.
 
 All of it is DataFrame expressions. The step-up is done on binned p-values, a run counted at its bin's upper edge, so no
 ranking over all rows is needed and the control can only be stricter.
@@ -28,13 +30,20 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {  # name: (pattern, alphabet); the first that fits is taken
+    "decimal": (r"^[0-9]+$", "0123456789"),
     "hex": (r"^([0-9a-f]+|[0-9A-F]+)$", "0123456789ABCDEF"),
+    "base26": (r"^([a-z]+|[A-Z]+)$", LETTERS),
     "base32": (r"^[A-Z2-7]+$", LETTERS + "234567"),
     "base36": (r"^([a-z0-9]+|[A-Z0-9]+)$", "0123456789" + LETTERS),
+    "base52": (r"^[A-Za-z]+$", LETTERS + LETTERS.lower()),
     "base64": (r".", LETTERS + LETTERS.lower() + "0123456789+/"),
 }
-#: Sums of squared and cubed letter frequencies of ordinary prose, which stand in while a corpus has few runs.
-PRIOR_SQUARES, PRIOR_CUBES, PRIOR_WEIGHT = 0.066, 0.0065, 1000.0
+CASED = ("base52", "base64")
+FAMILY = {"decimal": "digits", "base26": "letters"}  # all others: mixed
+#: Fixed values, which stand in while a corpus has few runs of a family: sums of squared and cubed symbol shares of ordinary
+#: text (digits: numbers padded with zeros), the share of neighbours that differ in the family's way, and the weight of these.
+PRIORS = {"mixed": (0.066, 0.0065, 0.1), "letters": (0.066, 0.0065, 0.32), "digits": (0.2, 0.067, 0.4)}
+PRIOR_WEIGHT = 1000.0
 
 
 def _tail(z: Column) -> Column:
@@ -67,7 +76,7 @@ def _symbols(runs: DataFrame) -> DataFrame:
     """Encoding and test statistics of each run."""
     name = F.coalesce(*(F.when(F.col("match").rlike(p), F.lit(e)) for e, (p, _) in ENCODINGS.items()))
     runs = runs.withColumn("encoding", name).withColumn(
-        "s", F.when(F.col("encoding") == "base64", F.translate("match", "-_", "+/")).otherwise(F.upper("match")))
+        "s", F.when(F.col("encoding").isin(*CASED), F.translate("match", "-_", "+/")).otherwise(F.upper("match")))
     alphabet = F.create_map(*(x for e, (_, a) in ENCODINGS.items() for x in (F.lit(e), F.lit(a))))[F.col("encoding")]
     runs = runs.withColumn("alphabet", alphabet).withColumns({"k": F.length("alphabet").cast("double"), "n": F.length("s").cast("double")})
     values = F.transform(F.split("s", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double"))
@@ -90,8 +99,16 @@ def _symbols(runs: DataFrame) -> DataFrame:
         "z_chi": (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n),
         "z_runs": F.when(sides_var > 0, (F.col("sides") - 1 - one / n) / F.sqrt(sides_var)).otherwise(F.lit(99.0)),
         "z_serial": F.when(F.col("spread") > 0, (F.col("along") / F.col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))})
-    classes = F.translate("match", LETTERS + LETTERS.lower() + "0123456789+/-_", "A" * 26 + "a" * 26 + "0" * 10 + "....")
-    return runs.withColumn("switches", F.length("match") - F.length(F.regexp_replace(classes, r"(.)\1+", "$1")))
+    family = F.coalesce(*(F.when(F.col("encoding") == e, F.lit(f)) for e, f in FAMILY.items()), F.lit("mixed"))
+    # separators have no class: translate drops characters beyond the replacement's length
+    classes = F.translate("match", LETTERS + LETTERS.lower() + "0123456789+/-_", "A" * 26 + "a" * 26 + "0" * 10)
+    classes = F.replace(classes, F.lit("Aa"), F.lit("aa"))  # a capital at the head of small letters is how words are written
+    sounds = F.translate("s", LETTERS, "".join("V" if c in "AEIOUY" else "C" for c in LETTERS))
+    steps = (F.when(F.col("family") == "digits", F.size(F.filter(shifted, lambda x: F.abs(x["a"] - x["b"]) > 1)))
+             .when(F.col("family") == "letters", F.length(F.replace(sounds, F.lit("V"), F.lit(""))) - F.size(F.filter(F.split(sounds, "V+"), lambda x: x != "")))
+             .otherwise(F.greatest(F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1, F.lit(0))))
+    pairs = F.when(F.col("family") == "mixed", F.greatest(F.length(classes) - 1, F.lit(0))).otherwise(F.length("s") - 1)
+    return runs.withColumn("family", family).withColumns({"steps": steps.cast("double"), "pairs": pairs.cast("double")})
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.001, fdr: float = 0.01) -> DataFrame:
@@ -119,45 +136,50 @@ def spans_of(rows: DataFrame, alpha: float, fdr: float) -> DataFrame:
     value = F.length(F.regexp_extract("match", ASSIGN, 2))
     base = found.filter((F.col("kind") == 0) & (value >= LEAST["assign"]) | (F.col("kind") == 1) & (F.length("match") >= LEAST["access"])
                         | (F.col("kind") == 2)).withColumn("match", F.lit(None).cast("string"))
-    mixed = F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]")
-    runs = found.filter(F.col("kind") == 3)
     before = Window.partitionBy("_id", "_key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    marked = base.unionByName(runs.filter(mixed)).withColumn(
+    marked = base.unionByName(found.filter(F.col("kind") == 3)).withColumn(
         "covered", F.max(F.when(F.col("kind") < 3, F.col("end"))).over(before))
     asked = marked.filter((F.col("kind") == 3) & (F.coalesce("covered", F.lit(0)) < F.col("end")))
-    random = _discovered(asked.drop("covered"), _ordinary(runs.filter(~F.col("match").rlike("[0-9]"))), alpha, fdr)
+    random = _discovered(asked.drop("covered"), alpha, fdr)
     spans = base.select("_id", "_key", "start", "kind", "end").unionByName(random.select("_id", "_key", "start", "kind", "end"))
     return spans.groupBy("_id", "_key").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"))
 
 
-def _ordinary(letters: DataFrame) -> DataFrame:
-    """One row: squares and cubes of the symbol shares and the share of class changes in all long runs of letters."""
-    symbols = letters.select(F.explode(F.split("match", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    shares = symbols.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.pow("n", F.lit(3.0))).alias("n3"))
-    flat = F.regexp_replace(F.translate("match", LETTERS + LETTERS.lower(), "A" * 26 + "a" * 26), r"(.)\1+", "$1")
-    steps = letters.agg(F.sum(F.length(flat) - 1).alias("changes"), F.sum(F.length("match") - 1).alias("steps"))
+def _ordinary(rejected: DataFrame) -> DataFrame:
+    """A row per family: squares and cubes of the symbol shares, and the share of steps, in the runs that are not random.
+
+    Of mixed runs only those of letters and separators count, less the separators. Keys that pass the battery have no say.
+    """
+    plain = rejected.filter((F.col("family") != "mixed") | ~F.col("match").rlike("[0-9]")).withColumn("match", F.translate("match", "+/-_", ""))
+    symbols = plain.select("family", F.explode(F.split("match", "")).alias("c")).filter("c <> ''").groupBy("family", "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    shares = symbols.groupBy("family").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.pow("n", F.lit(3.0))).alias("n3"))
+    walked = plain.groupBy("family").agg(F.sum("steps").alias("steps"), F.sum("pairs").alias("pairs"))
+    priors = F.array(*(F.struct(F.lit(f).alias("family"), *(F.lit(x).alias(c) for x, c in zip(p, ("p2", "p3", "ps"), strict=True))) for f, p in PRIORS.items()))
+    rows = rejected.sparkSession.range(1).select(F.inline(priors)).join(shares, "family", "left").join(walked, "family", "left")
     n, w = F.coalesce("n", F.lit(0.0)), PRIOR_WEIGHT
 
-    def blend(power: str, by: Column, prior: float) -> Column:
-        return (F.coalesce(F.col(power) / by, F.lit(0.0)) + w * prior) / (n + w)
-    return shares.join(steps, F.lit(True)).select(
-        blend("n2", F.col("n"), PRIOR_SQUARES).alias("q2"), blend("n3", F.col("n") * F.col("n"), PRIOR_CUBES).alias("q3"),
-        ((F.coalesce("changes", F.lit(0)) + w * 0.1) / (F.coalesce("steps", F.lit(0)) + w)).alias("change"))
+    def blend(power: str, by: Column, prior: str) -> Column:
+        return (F.coalesce(F.col(power) / by, F.lit(0.0)) + w * F.col(prior)) / (n + w)
+    return rows.select(
+        "family", blend("n2", F.col("n"), "p2").alias("q2"), blend("n3", F.col("n") * F.col("n"), "p3").alias("q3"),
+        ((F.coalesce("steps", F.lit(0.0)) + w * F.col("ps")) / (F.coalesce("pairs", F.lit(0.0)) + w)).alias("change"))
 
 
-def _discovered(runs: DataFrame, ordinary: DataFrame, alpha: float, fdr: float) -> DataFrame:
-    ordinary = settle(ordinary, "ordinary")  # one row
-    tested = _symbols(runs).join(F.broadcast(ordinary), F.lit(True))
-    n, k, q2, q3 = (F.col(c) for c in ("n", "k", "q2", "q3"))
+def _discovered(runs: DataFrame, alpha: float, fdr: float) -> DataFrame:
+    worst = F.greatest(_tail(F.col("z_chi")) * -1, _tail(F.abs("z_runs")) * -2, _tail(F.abs("z_serial")) * -2) * -1
+    judged = settle(_symbols(runs).select("_id", "_key", "start", "kind", "end", "encoding", "family", "n", "squares", "steps", "pairs", "match",
+                                          (3 * worst >= alpha).alias("random")), "judged")
+    ordinary = settle(_ordinary(judged.filter("not random")), "ordinary")  # a row per family
+    tested = judged.join(F.broadcast(ordinary), "family")
+    n, q2, q3 = (F.col(c) for c in ("n", "q2", "q3"))
     # mean and variance of the sum of squared counts when symbols come with the shares of ordinary text
     mean = n * (n - 1) * q2 + n
     var = F.greatest(4 * n * (n - 1) * (n - 2) * q3 + 2 * n * (n - 1) * q2 - 2 * n * (n - 1) * (2 * n - 3) * q2 * q2, F.lit(1e-9))
     even = (mean - F.col("squares")) / F.sqrt(var)
-    often = (F.col("switches") - (n - 1) * F.col("change")) / F.sqrt(F.greatest((n - 1) * F.col("change") * (1 - F.col("change")), F.lit(1e-9)))
-    worst = F.greatest(_tail(F.col("z_chi")) * -1, _tail(F.abs("z_runs")) * -2, _tail(F.abs("z_serial")) * -2) * -1
+    often = (F.col("steps") - F.col("pairs") * F.col("change")) / F.sqrt(F.greatest(F.col("pairs") * F.col("change") * (1 - F.col("change")), F.lit(1e-9)))
+    p = F.when(F.col("random"), F.greatest(_tail((even + often) / F.sqrt(F.lit(2.0))), F.lit(1e-30))).otherwise(F.lit(1.0))
     tested = tested.withColumns({
-        "random": 3 * worst >= alpha, "p": F.greatest(_tail((even + often) / F.sqrt(F.lit(2.0))), F.lit(1e-30)),
-        "octave": F.floor(F.log2("n"))}).withColumn("bin", F.floor(-20 * F.log10("p")).cast("int"))
+        "p": p, "octave": F.floor(F.log2("n"))}).withColumn("bin", F.floor(-20 * F.log10("p")).cast("int"))
     tested = settle(tested.select("_id", "_key", "start", "kind", "end", "encoding", "octave", "bin", "random"), "tested")
     stratum = Window.partitionBy("encoding", "octave")
     bins = tested.groupBy("encoding", "octave", "bin").agg(F.count(F.lit(1)).alias("c"))

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -53,6 +54,28 @@ def test_base_spans_and_battery(spark):
     assert redact(df).columns == df.columns and scan(df.limit(0)).count() == 0
 
 
+def test_battery_finds_keys_of_every_alphabet_and_leaves_words_alone(spark):
+    r = random.Random(11)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base64": small + small.upper() + digits + "+/", "hex": digits + "ABCDEF", "base32": small.upper() + "234567", "base36": small + digits,
+                 "letters": small + small.upper(), "small": small, "capitals": small.upper(), "digits": digits}
+    words = ("internationalization the quick brown fox jumps over lazy dog counterrevolutionaries get http servlet request factory bean abstract singleton "
+             "account settings manager default value configuration transaction response handling number token stream schema validation error").split()
+    plain = []
+    for _ in range(100):
+        ws = [r.choice(words) for _ in range(6)]
+        plain += ["".join(ws), "_".join(ws), "-".join(ws), "/".join(ws), "".join(w.capitalize() for w in ws), "_".join(ws).upper()]
+    plain += [f"2024010112000000000{i:06d}" for i in range(100)] + ["-" * 30, "0" * 40, "01234567890123456789012345", "a" * 100_000]
+    # 32 digits and more are hex by the fixed patterns, no matter for the battery
+    keys = [(name, "".join(r.choice(a) for _ in range(30 if name == "digits" else 40))) for name, a in alphabets.items() for _ in range(100)]
+    rows = docs(spark, [f"see {t} end" for t in [*(k for _, k in keys), *plain]])
+    got = {x.doc_id: [tuple(s) for s in x.spans if s["kind"] == 3] for x in scan(rows).collect()}
+    found = Counter(name for i, (name, k) in enumerate(keys) if got[i] == [(4, 3, 4 + len(k))])
+    assert all(found[name] >= 90 for name in alphabets), found
+    assert sum(bool(got[i]) for i in range(len(keys), len(keys) + len(plain))) <= 0.01 * sum(found.values())  # what the control allows
+    assert scan(docs(spark, plain)).filter("exists(spans, s -> s.kind = 3)").count() == 0
+
+
 def test_repeated_ids_keep_their_own_spans(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "nothing"), (1, "token=abcdefgh"), (None, "passwd=abcdefgh")], "doc_id long, text string")
     assert sorted((r.doc_id is None, len(r.spans)) for r in scan(df).collect()) == [(False, 0), (False, 1), (False, 1), (True, 1)]
