@@ -201,8 +201,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The document of least id of each component, with its own columns (one row of repeated ones; rows without id stay)."""
-    kept = near_duplicates(docs.select(doc_id, text), doc_id, text, radius).filter(
-        F.col(doc_id) == F.col("component_id")).select(doc_id).distinct()
-    numbered = docs.filter(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return numbered.select(*docs.columns).unionByName(docs.filter(F.col(doc_id).isNull()))
+    """One document of each component, with its own columns: that of least id, rows without id after all others.
+
+    Rows are told apart by id and text: texts under one id are documents of their own, rows equal in both are one document.
+    Null and empty texts are equal and link with each other. An empty table gives an empty one.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(blank_text(text).cast("binary")))
+    rows = docs.withColumn("_near_row", key)
+    prints = settle(fingerprints(rows.select("_near_row", doc_id, text), ("_near_row", doc_id), text), "fingerprints")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).alias("id"), "_near_row"))
+    nodes = settle(prints.groupBy("fp").agg(first.alias("first")), "fingerprint-nodes")
+    group = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
+    stays = nodes.join(group, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("c")).agg(
+        F.min("first")["_near_row"].alias("_near_row"))
+    return rows.join(stays, "_near_row", "left_semi").dropDuplicates(["_near_row"]).select(*docs.columns)

@@ -76,6 +76,18 @@ def test_battery_finds_keys_of_every_alphabet_and_leaves_words_alone(spark):
     assert scan(docs(spark, plain)).filter("exists(spans, s -> s.kind = 3)").count() == 0
 
 
+def test_one_document_of_each_near_group_by_row(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(f"w{r.randrange(10_000)}" for _ in range(300)) for _ in range(4))
+    near = a + " end"
+    rows = [(1, a), (1, b), (1, b), (2, near), (None, c), (None, c), (None, a), (3, ""), (4, None), (None, d), (5, d)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    want = sorted([(1, a), (1, b), (None, c), (3, ""), (5, d)], key=str)
+    for x in (df, df.repartition(7, "text")):
+        assert sorted(((o.doc_id, o.text) for o in drop_near_duplicates(x).collect()), key=str) == want
+    assert drop_near_duplicates(df).columns == df.columns and drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_repeated_ids_keep_their_own_spans(spark):
     df = spark.createDataFrame([(1, "token=abcdefgh"), (1, "nothing"), (1, "token=abcdefgh"), (None, "passwd=abcdefgh")], "doc_id long, text string")
     assert sorted((r.doc_id is None, len(r.spans)) for r in scan(df).collect()) == [(False, 0), (False, 1), (False, 1), (True, 1)]
