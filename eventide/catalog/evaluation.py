@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventide.catalog.adapter import DEPS, SCOPE, SPECIALISTS, departures
+from eventide.catalog.adapter import DEPS, SCOPE, SPECIALISTS, departures, table
 from eventide.catalog.encodings import CAL, ROLE_SQL, SUMMER, backoff_pick, backoff_sql, map_sql
 from eventide.catalog.registry import query, r6, rounded
 from eventide.operators.bootstrap import paired_bootstrap, poisson_steps
@@ -232,20 +232,28 @@ def lomo(spark, sf):
     return out.withColumn("sse_removed", F.round("sse_removed", 1)).withColumn("pct_removed", F.round("pct_removed", 5))
 
 
-def _stability_sql(by: str) -> str:
-    return f"""with {DEPS}, t as (select {by}, abs(move_minus_sched - duration_s)::double as e from deps where {ANYWHERE.format(t=3600)})
-select {by}, count(*) as triggered, max(e) as worst_abs, round(100 * avg(case when e <= 60 then 1.0::double else 0 end), 6) as within_60s,
-  median(e) as median_abs from t group by {by}"""
+MONTHS = range(1, 13)
+_STABLE = """count(e) as triggered, max(e) as worst_abs, round(100 * avg(case when e <= 60 then 1.0::double when e > 60 then 0 end), 6) as within_60s, median(e) as median_abs"""
+_ERRS = "select entity, month, abs(move_minus_sched - duration_s)::double as e from deps where"
 
 
-@query("ovl5_stability_by_month", _stability_sql("month"))
+@query("ovl5_stability_by_month", f"""with {DEPS}, t as ({_ERRS} {IN_SCOPE}), m as (select cast(unnest(range(1, 13)) as int) as month)
+select m.month, {_STABLE} from m left join t on t.month = m.month group by m.month""")
 def stable_months(spark, sf):
-    return rounded(stability(departures(spark, sf), WIDE, "month"), "within_60s")
+    """All twelve months, within the scope; those without a trigger with 0 rows."""
+    return rounded(stability(departures(spark, sf), TRIGGER, "month", MONTHS), "within_60s")
 
 
-@query("ovl5_stability_by_entity", _stability_sql("entity"))
+@query("ovl5_stability_by_entity", f"with {DEPS}, t as ({_ERRS} {ANYWHERE.format(t=3600)}) select entity, {_STABLE} from t group by entity having count(*) >= 3")
 def stable_entities(spark, sf):
-    return rounded(stability(departures(spark, sf), WIDE, "entity"), "within_60s")
+    return rounded(stability(departures(spark, sf), WIDE, "entity", min_rows=3), "within_60s")
+
+
+@query("ovl5_rare_triggers", f"with {DEPS}, t as ({_ERRS} (entity in {SCOPE} and offblock_missing = 1 and move_minus_sched > 5400)), m as (select cast(unnest(range(1, 13)) as int) as month) "
+       f"select m.month, {_STABLE} from m left join t on t.month = m.month group by m.month")
+def rare_months(spark, sf):
+    """The same with a threshold that few rows pass, so that months without a trigger occur."""
+    return rounded(stability(departures(spark, sf), Trigger(SCOPE, threshold=5400), "month", MONTHS), "within_60s")
 
 
 @query("ovl5_exposure", f"""with {DEPS}, limits(threshold) as (values {_LIMITS})
@@ -255,6 +263,9 @@ def exposed(spark, sf):
     return exposure(departures(spark, sf), TRIGGER, LIMITS)
 
 
+FLAGS = ("A", "N", "R")
+_LINES = """goods as (select l_orderkey, l_linenumber, l_partkey, l_returnflag as entity, month(l_shipdate) <= 9 as held, 1000 * l_quantity::double as base, l_extendedprice::double as price from lineitem),
+cl as (select entity, count(*) as n, regr_intercept(price, base) as a, regr_slope(price, base) as b from goods where held group by entity)"""
 _CAL = scored_sql("month <= 8", "month in (9, 10)")
 _CAL_LINES = ("cl as (select entity, count(*) as n, regr_intercept(duration_s, base) as a, regr_slope(duration_s, base) as b "
               "from scored where month = 9 group by entity)")
@@ -266,13 +277,16 @@ def _calibration_rows(spark, sf):
     return out.filter("month = 9"), out.filter("month = 10")
 
 
-@query("cal1_affine_calibration", f"""with {DEPS}, {_CAL}, {_CAL_LINES}
-select id, round(greatest(0.0, a + b * base), 4) as base_calibrated, case when a + b * base < 0 then 1 else 0 end as clipped
-from scored s join cl using (entity) where month = 10""")
+@query("cal1_affine_calibration", f"""with {_LINES}
+select l_orderkey, l_linenumber, l_partkey, round(greatest(0.0, a + b * base), 4) as base_calibrated, case when a + b * base < 0 then 1 else 0 end as clipped
+from goods join cl using (entity) where not held""")
 def calibrated(spark, sf):
-    held, test = _calibration_rows(spark, sf)
-    return calibrate(test, held, "base", "duration_s", min_rows=20).select(
-        "id", F.round("base_calibrated", 4).alias("base_calibrated"), "clipped")
+    """Prices of the last quarter's lines from their quantities, fitted per return flag on the rest, with the library's own 1,000 rows."""
+    goods = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("entity"), (F.month("l_shipdate") <= 9).alias("held"),
+        (1000 * F.col("l_quantity").cast("double")).alias("base"), F.col("l_extendedprice").cast("double").alias("price"))
+    out = calibrate(goods.filter(~F.col("held")), goods.filter("held"), "base", "price", entities=FLAGS)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("base_calibrated", 4).alias("base_calibrated"), "clipped")
 
 
 @query("cal1_calibration_lines", f"with {DEPS}, {_CAL}, {_CAL_LINES} select entity, n, round(a, 4) as intercept, round(b, 6) as slope from cl")
@@ -350,7 +364,7 @@ def plain(spark, sf):
 def holes(spark, sf):
     """A candidate that is perfect where it answers and silent elsewhere must not pass."""
     silent = F.when(F.col("id") % 10 != 3, F.col("duration_s").cast("double"))
-    return plain_gate(_rows(spark, sf).withColumn("cand", silent), "holes", replicates=200).select("label", "n", "unusable", "passed")
+    return plain_gate(_rows(spark, sf).withColumn("cand", silent), "holes").select("label", "n", "unusable", "passed")
 
 
 @query("gat4_outside_invariance", f"""with {COMP} select count(*) filter (entity not in {SEGMENTS}) as rows_outside,
@@ -403,11 +417,14 @@ ENC_ARM = "coalesce(0.5::double * base + 0.5::double * enc, base)"
 
 
 def _october(spark, sf):
-    scored = _rows(spark, sf, "october")
-    return scored.withColumn("blend", F.coalesce(0.5 * F.col("base") + 0.5 * F.col(SPEC.name), F.col("base")))
+    """Both arms, raw and under one overlay; members are chosen on the overlaid ones."""
+    scored, line = _scored(spark, sf, "october")
+    arms = scored.withColumn("blend", F.coalesce(0.5 * F.col("base") + 0.5 * F.col(SPEC.name), F.col("base")))
+    return apply_overlay(arms, TRIGGER, ["base", "blend"], line, required=True)
 
 
-MEMBERS_SQL = f"""errs as (select id, entity, base, {ENC_ARM} as blend, pow(base - duration_s, 2) as eb, pow({ENC_ARM} - duration_s, 2) as ec from scored),
+MEMBERS_SQL = f"""{line_sql('october')}, raw as (select id, entity, duration_s, base, {ENC_ARM} as blend, {IN_SCOPE} as touched, a + b * move_minus_sched as over from scored, line),
+errs as (select id, entity, base, blend, pow(case when touched then over else base end - duration_s, 2) as eb, pow(case when touched then over else blend end - duration_s, 2) as ec from raw),
 {boot_sql('errs', 'entity', ['eb', 'ec'], 2000)}, bt as (select entity, {win_sql('eb', 'ec', 'rate')} from boot_sums group by entity),
 pt as (select entity, count(*) as n, sqrt(avg(eb)) as base_rmse, sqrt(avg(ec)) as cand_rmse, {SHARE.format(b='eb', c='ec')} as largest_share from errs group by entity),
 members as (select *, base_rmse - cand_rmse as gain, base_rmse - cand_rmse >= 1.0 and win_rate >= 0.8 and coalesce(largest_share <= 50, false) as selected
@@ -417,7 +434,7 @@ members as (select *, base_rmse - cand_rmse as gain, base_rmse - cand_rmse >= 1.
 @query("sel1_member_selection", f"""with {OCT}, {MEMBERS_SQL} select entity, n, round(base_rmse, 6) as base_rmse, round(cand_rmse, 6) as cand_rmse,
   round(largest_share, 6) as largest_share, round(win_rate, 6) as win_rate, round(gain, 6) as gain, selected from members""")
 def members(spark, sf):
-    out = select_members(_october(spark, sf), "entity", "base", "blend", "duration_s")
+    out = select_members(_october(spark, sf), "entity", "base_overlaid", "blend_overlaid", "duration_s")
     return rounded(out, "base_rmse", "cand_rmse", "largest_share", "win_rate", "gain")
 
 
@@ -425,7 +442,7 @@ def members(spark, sf):
 from errs join members using (entity)""")
 def adopted(spark, sf):
     o = _october(spark, sf)
-    m = settle(select_members(o, "entity", "base", "blend", "duration_s"), "members")
+    m = settle(select_members(o, "entity", "base_overlaid", "blend_overlaid", "duration_s"), "members")
     return adopt_members(o, m, "entity", "base", "blend").select("id", r6("pred"))
 
 

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.catalog.adapter import DEPS, MOVES, SPECIALISTS, departures, moves, table
@@ -21,10 +20,11 @@ from eventide.operators.contracts import (id_difference, id_equality, join_compl
                                           null_free_target, prediction_contract, validate_output)
 from eventide.operators.metrics import percent_true
 from eventide.operators.models import category_sizes, feature_set, model_rows
-from eventide.plans.evaluation import global_median
+from eventide.operators.places import with_place
+from eventide.plans.evaluation import global_median, publish
 from eventide.plans.settle import settle, shared_dir
-from eventide.sources.files import (content_manifest, inventory, portable_rewrite, scan, scan_datasets, write_checked, write_csv,
-                                    write_json, write_parquet)
+from eventide.sources.files import (content_manifest, file_schemas, inventory, portable_rewrite, scan, scan_datasets, schema_groups, write_checked,
+                                    write_csv, write_json, write_parquet)
 from eventide.sources.movements import reporting_entity
 from eventide.sources.observations import (FIELDS, attach_weather, clean_observations, feed_check, match_audit, read_observations)
 
@@ -43,8 +43,7 @@ def _fresh(spark, label: str) -> str:
 def multi_file(spark, sf):
     path = _fresh(spark, "by-period")
     write_parquet(moves(spark, sf), path, partition_by=["period"])
-    files = [f"{path}/period={p}" for p in range(1, 13)]
-    df = spark.read.option("basePath", path).parquet(*files)
+    df = spark.read.option("basePath", path).parquet(f"{path}/period=*")
     return df.groupBy("period").agg(F.count("*").alias("n"), F.sum("duration_s").alias("total"))
 
 
@@ -70,6 +69,26 @@ def files(spark, sf):
     return inventory(spark, sf).select("file", "rows")
 
 
+_TYPES = """case when column_type like 'DECIMAL%' then lower(column_type) when column_type = 'BIGINT' then 'bigint' when column_type = 'INTEGER' then 'int' when column_type = 'VARCHAR' then 'string'
+  when column_type = 'TIMESTAMP' then 'timestamp_ntz' when column_type = 'TIMESTAMP WITH TIME ZONE' then 'timestamp' when column_type = 'FLOAT' then 'float' when column_type = 'FLOAT[]' then 'array<float>'
+  when column_type = 'DOUBLE[]' then 'array<double>' else lower(column_type) end"""
+
+
+def _shape(t: str) -> str:
+    """SQL text: the schema of a table in Spark's words."""
+    return f"(select 'struct<' || string_agg(column_name || ':' || {_TYPES}, ',') || '>' from (describe {t}))"
+
+
+@query("src7_file_schemas", " union all ".join(f"select '{t}.parquet' as file, (select count(*) from {t}) as rows, {_shape(t)} as schema" for t in TABLES))
+def schemas_of_files(spark, sf):
+    return file_schemas(spark, sf).select("file", "rows", "schema")
+
+
+@query("src7_schema_groups", f"select schema, count(*) as tables from ({' union all '.join(f'select {_shape(t)} as schema' for t in TABLES)}) group by schema")
+def grouped_schemas(spark, sf):
+    return schema_groups(spark, sf)
+
+
 @query("src8_portable_rewrite", "select 'customer' as period, c_custkey, c_name, c_acctbal from customer")
 def rewritten(spark, sf):
     return portable_rewrite(spark, f"{sf}/customer.parquet", _fresh(spark, "rewrite")).select(
@@ -171,7 +190,7 @@ select 'not_sorted' as "check", count(*) filter (move_us < before) as violations
 def feed_order(spark, sf):
     m = moves(spark, sf)
     text = F.date_format(F.timestamp_micros("move_us"), "yyyy-MM-dd HH:mm")
-    raw = m.select(F.col("id").alias("line"), F.col("entity").alias("station"), text.alias("valid"))
+    raw = m.select(F.col("id").alias("line"), F.col("entity").alias("station"), text.alias("valid"), *[F.lit("M").alias(f) for f in FIELDS[2:]])
     return feed_check(raw, ["S0"], "2024-01-01", "2025-01-01", sequence="line").filter("check = 'not_sorted'")
 
 
@@ -257,13 +276,11 @@ def toggles(spark, sf):
     return d.select("id", *feature_set(["k", "stand", "move_minus_sched"], add=[["hour", "weekday"]], drop=["stand"], available=d.columns))
 
 
-@query("srt1_multi_key_sort", """select o_custkey, row_number() over (order by o_custkey, o_totalprice desc nulls last, o_orderkey) as place, o_orderkey from
-  (select * from orders order by o_custkey, o_totalprice desc nulls last, o_orderkey limit 200)""")
+@query("srt1_multi_key_sort", """select o_custkey, o_totalprice, o_orderkey, row_number() over (order by o_custkey, o_totalprice desc nulls last, o_orderkey) as place from orders""")
 def sorted_rows(spark, sf):
-    """The first rows of a sort on three keys, in both directions (a top-k report)."""
-    keys = ["o_custkey", F.desc_nulls_last("o_totalprice"), "o_orderkey"]
-    top = table(spark, sf, "orders").orderBy(*keys).limit(200)
-    return top.select("o_custkey", F.row_number().over(Window.orderBy(*keys)).alias("place"), "o_orderkey")
+    """The whole table sorted on three keys, in both directions, with each row's place."""
+    orders = table(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderkey")
+    return with_place(orders, ["o_custkey", F.desc_nulls_last("o_totalprice"), "o_orderkey"]).orderBy("place")
 
 
 @query("srt3_top_by_share", f"""with {MOVES}, g as (select operator, cast(sum(duration_s) as bigint) as gain from moves group by 1)
@@ -631,6 +648,15 @@ def output(spark, sf):
     return _assembled(spark, sf)[0]
 
 
+@query("sub1_published_output", f"with {OUT_SQL} select id, old_s as duration_s from outp")
+def published(spark, sf):
+    """The output without specialists, which needs no verdict, through the contract and the validator."""
+    scored, line = _scored(spark, sf)
+    d = departures(spark, sf)
+    template = d.filter("month in (1, 7)").select("id", F.lit(None).cast("int").alias("duration_s"))
+    return publish(scored.withColumn("specialist", F.col("base")), template, TRIGGER, line, global_median(d), ())
+
+
 @query("sub2_output_checks", """with o as (select o_custkey as id, o_totalprice - 1000 as v from orders), t as (select c_custkey as id from customer)
 select 'row_count' as "check", 'error' as level, abs((select count(*) from o) - (select count(*) from t)) as violations
 union all select 'duplicate_ids', 'error', count(*) - count(distinct id) from o

@@ -103,3 +103,8 @@ def nan_to_null(c: str | Column) -> Column:
     """Spark orders NaN above every number, so comparisons need it out of the way."""
     c = as_col(c).cast("double")
     return F.when(~F.isnan(c), c)
+
+
+def or_fail(ok: Column, message: str) -> Column:
+    """True where ``ok``; the job fails where it is false or unknown. As a filter, a check that rides on the rows it is about."""
+    return F.when(F.coalesce(ok, F.lit(False)), True).otherwise(F.raise_error(F.lit(message)).cast("boolean"))

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventide.functions.expr import finite
+from eventide.functions.expr import finite, or_fail
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], what: str = "table") -> DataFrame:
@@ -77,35 +77,51 @@ def join_same_ids(base: DataFrame, additions: DataFrame, id_col: str = "id", wha
     values = [c for c in additions.columns if c != id_col]
     right = additions.groupBy(id_col).agg(*[F.any_value(c).alias(c) for c in values], F.count("*").alias("_right"))
     left = base.selectExpr("*", f"count(*) over (partition by {id_col}) as _left")
-    same = F.coalesce((F.col("_left") == 1) & (F.col("_right") == 1), F.lit(False))
-    checked = F.when(same, True).otherwise(F.raise_error(F.lit(f"{what} differ between the two tables")).cast("boolean"))
+    checked = or_fail((F.col("_left") == 1) & (F.col("_right") == 1), f"{what} differ between the two tables")
     return left.join(right, id_col, "full").filter(checked).select(*base.columns, *values)
 
 
-def _unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
-    if df.groupBy(*keys).count().filter("count > 1").limit(1).count():
-        raise ValueError(f"{what} is not unique on {', '.join(keys)}")
+def contracted(df: DataFrame, preds: Sequence[str], id_col: str = "id", what: str = "predictions") -> DataFrame:
+    """The same rows; the job that reads them fails at a null or repeated id or a prediction that is not finite."""
+    require_columns(df, [id_col, *preds], what)
+    ok = F.col(id_col).isNotNull()
+    for p in preds:
+        ok = ok & finite(p)
+    sound = df.filter(or_fail(ok, f"{what}: null id or non-finite prediction"))
+    return unique_rows(sound, [id_col], what)
+
+
+def _counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def unique_rows(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The same rows; the job that reads them fails if two share their keys.
+
+    Rows are counted where they lie by key, which is how a join on these keys wants them, so the
+    check costs neither a second computation of the table nor a shuffle of its own.
+    """
+    checked = or_fail(F.col("_copies") == 1, f"{what} is not unique on {', '.join(keys)}")
+    return _counted(df, keys).filter(checked).drop("_copies")
 
 
 def join_many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join that first proves the right side unique on the keys."""
-    _unique(right, keys, "right side")
-    return left.join(right, list(keys), "left")
+    """Left join; the job fails if the right side is not unique on the keys.
+
+    Right rows with a null key match nothing and are not judged; an empty left side asks nothing of the right one.
+    """
+    return left.join(unique_rows(right.dropna(subset=list(keys)), keys, "right side"), list(keys), "left")
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join that first proves both sides unique on the keys."""
-    _unique(left, keys, "left side")
-    return join_many_to_one(left, right, keys)
+    """Left join; the job fails if either side is not unique on the keys."""
+    return join_many_to_one(unique_rows(left, keys, "left side"), right, keys)
 
 
 def join_complete(predictions: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:
-    """Inner join that must keep every prediction row exactly once."""
-    joined = predictions.join(features, id_col)
-    n, m = predictions.count(), joined.count()
-    if n != m:
-        raise ValueError(f"row mismatch: {n} predictions, {m} joined")
-    return joined
+    """Inner join; the job fails unless every prediction row meets exactly one feature row."""
+    joined = predictions.join(_counted(features, [id_col]), id_col, "left")
+    return joined.filter(or_fail(F.col("_copies") == 1, "row mismatch between predictions and features")).drop("_copies")
 
 
 def null_free_target(joined: DataFrame, target: str) -> DataFrame:

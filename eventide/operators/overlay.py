@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.functions.expr import clip, nan_to_null
+from eventide.functions.expr import clip, finite, nan_to_null, or_fail
 from eventide.functions.quantiles import LINEAR, exact_quantiles, with_quantiles
 from eventide.operators.metrics import percent_true, squared_error
 from eventide.plans.settle import settle
@@ -187,13 +187,21 @@ def leave_one_month_out(df: DataFrame, trigger: Trigger, month: str = "month",
     )
 
 
-def stability(df: DataFrame, trigger: Trigger, by: str) -> DataFrame:
-    """Per month or entity: trigger rows and how far the bare delta is from the target."""
+def stability(df: DataFrame, trigger: Trigger, by: str, values: Sequence | None = None, min_rows: int = 1) -> DataFrame:
+    """Per month or entity: trigger rows and how far the bare delta is from the target.
+
+    ``values`` is a declared list of months or entities that are all reported, those without a
+    trigger with 0 rows. Others need ``min_rows`` trigger rows to be reported.
+    """
     e = F.abs(trigger.x() - F.col(trigger.target).cast("double"))
     rows = df.filter(trigger.hit()).select(by, e.alias("_abs"))
     flat = rows.groupBy(by).agg(F.count("*").alias("triggered"), F.max("_abs").alias("worst_abs"),
                                 percent_true(F.col("_abs") <= 60).alias("within_60s"))
-    return with_quantiles(flat, rows, [by], "_abs", {"median_abs": (0.5, LINEAR)})
+    out = with_quantiles(flat.filter(F.col("triggered") >= min_rows), rows, [by], "_abs", {"median_abs": (0.5, LINEAR)})
+    if values is None:
+        return out
+    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"`{by}` {df.schema[by].dataType.simpleString()}")
+    return F.broadcast(listed).join(out, by, "left").fillna(0, ["triggered"])
 
 
 def exposure(df: DataFrame, trigger: Trigger, thresholds: Sequence[int] = SWEEP) -> DataFrame:
@@ -205,18 +213,28 @@ def exposure(df: DataFrame, trigger: Trigger, thresholds: Sequence[int] = SWEEP)
 
 
 def calibrate(df: DataFrame, calibration: DataFrame, pred: str, truth: str, entity: str = "entity",
-              min_rows: int = 1000, floor: float = 0.0) -> DataFrame:
+              min_rows: int = 1000, floor: float = 0.0, entities: Sequence | None = None) -> DataFrame:
     """Per-entity affine calibration fitted on other rows: ``<pred>_calibrated``.
 
-    An entity to be calibrated that has fewer than ``min_rows`` calibration rows fails the job.
+    The job fails at an entity with fewer than ``min_rows`` calibration rows or no finite line, at a
+    prediction that is not finite, and at one that the identity line would not give back exactly.
+    Each of the declared ``entities`` must have rows to be calibrated.
     """
     lines = settle(calibration_lines(calibration, pred, truth, entity), "lines").select(
         entity, F.when(F.col("n") >= min_rows, F.col("intercept")).alias("_a"), F.col("slope").alias("_b"))
-    value = F.when(F.col("_a").isNull() | F.col("_b").isNull(),
-                   F.raise_error(F.lit("insufficient calibration rows")).cast("double"))
-    value = value.otherwise(F.col("_a") + F.col("_b") * F.col(pred))
+    if entities is not None:
+        found = {r[0] for r in df.filter(F.col(entity).isin(*entities)).select(entity).distinct().collect()}
+        if absent := sorted(set(entities) - found):
+            raise ValueError(f"no rows to calibrate for {absent}")
+    p = F.col(pred).cast("double")
+    sound = (
+        or_fail(finite("_a") & finite("_b"), "insufficient calibration rows")
+        & or_fail(finite(pred), "a prediction to be calibrated is not finite")
+        & or_fail(F.lit(0.0) + F.lit(1.0) * p == p, "the identity line does not reproduce the predictions")
+    )
+    value = F.col("_a") + F.col("_b") * p
     return (
-        df.join(lines, entity, "left").withColumn(f"{pred}_calibrated", clip(value, floor))
+        df.join(lines, entity, "left").filter(sound).withColumn(f"{pred}_calibrated", clip(value, floor))
         .withColumn("clipped", (value < floor).cast("int")).drop("_a", "_b")
     )
 

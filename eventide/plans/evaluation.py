@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 
 from eventide.functions.quantiles import medians
 from eventide.operators.backoff import LEVELS, MIN_SUPPORT, control_prediction, fit_backoff
-from eventide.operators.blend import blend_segments
+from eventide.operators.blend import assemble, blend_segments
+from eventide.operators.contracts import contracted, enforce_output, validate_output
 from eventide.operators.encoding import Spec, fit_map, transform
+from eventide.operators.gates import require_pass
 from eventide.operators.overlay import Trigger, fit_overlay
 from eventide.operators.splits import Calendar, overlay_fit_mask, split_roles
 from eventide.plans.settle import settle
@@ -36,9 +38,13 @@ def closed_form_predictions(fit: DataFrame, rows: DataFrame, segment: str, scope
 
 
 def scored_rows(df: DataFrame, split: str, cal: Calendar, scope: Sequence, **how) -> DataFrame:
-    """Persisted test predictions of a split: what follows reads them instead of predicting again."""
+    """Persisted test predictions of a split: what follows reads them instead of predicting again.
+
+    They are written only if every id is present once and both predictions are finite, so every comparison starts from sound rows.
+    """
     parts = split_frames(df, split, cal)
-    return settle(closed_form_predictions(parts["fit"], parts["test"], cal.entity, scope, **how), "scored")
+    both = closed_form_predictions(parts["fit"], parts["test"], cal.entity, scope, **how)
+    return settle(contracted(both, ["base", "cand"], what=f"predictions of {split}"), "scored")
 
 
 def scored_split(df: DataFrame, split: str, cal: Calendar, trigger: Trigger, scope: Sequence, **how) -> tuple[DataFrame, DataFrame]:
@@ -50,3 +56,20 @@ def scored_split(df: DataFrame, split: str, cal: Calendar, trigger: Trigger, sco
 def global_median(df: DataFrame, target: str = "duration_s") -> DataFrame:
     """One row: the median target, the fallback of ids without a prediction."""
     return medians(df, [], target, "median")
+
+
+def publish(scored: DataFrame, template: DataFrame, trigger: Trigger, line: DataFrame, fallback: DataFrame, scope: Sequence,
+            verdict: DataFrame | None = None, base: str = "base", specialist: str = "specialist", id_col: str = "id",
+            value: str = "duration_s", **how) -> DataFrame:
+    """The persisted output, or an error: predictions must keep the contract, the output must match its template.
+
+    Specialists in ``scope`` enter only with the persisted ``verdict`` of the gate that let them pass; an output without any needs none.
+    """
+    if scope and verdict is None:
+        raise ValueError("specialists need the verdict of their gate")
+    if scope:
+        require_pass(verdict)
+    sound = contracted(scored, [base, specialist], id_col)
+    out = settle(assemble(sound, template, trigger, line, fallback, scope, base, specialist, id_col=id_col, value=value, **how), "output")
+    enforce_output(validate_output(out, template, id_col, value))
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide.functions.clock import micros, seconds_between, whole
-from eventide.functions.expr import lenient_double, mapped, missing_flag, null_tokens, strict_minute
+from eventide.functions.expr import lenient_double, mapped, missing_flag, null_tokens, or_fail, strict_minute
 from eventide.functions.quantiles import LINEAR, with_quantiles
 from eventide.operators.asof import asof_attach, latest_per_instant
 from eventide.operators.contracts import require_columns
@@ -27,6 +27,7 @@ CEILING_COVER = ("BKN", "OVC", "VV")
 PATTERNS = {"wx_rain": "RA|DZ", "wx_snow": "SN|SG", "wx_freezing_precip": "FZRA|FZDZ|PL|IC",
             "wx_fog_mist": "FG|BR", "wx_thunder": "TS"}
 KM_PER_MILE = 1.609344
+AGE_LIMIT = 180.0
 WEATHER = (
     "wx_age_minutes", "wx_missing", "wx_temp_c", "wx_dewpoint_c", "wx_dewpoint_depression_c", "wx_below_3c",
     "wx_freezing", "wx_wind_knots", "wx_gust_knots", "wx_wind_sin", "wx_wind_cos", "wx_visibility_km",
@@ -57,7 +58,7 @@ def feed_check(raw: DataFrame, stations: Sequence[str], start: str, end: str,
 
     ``sequence`` names a column that holds the row order of the source, if there is one.
     """
-    require_columns(raw, ["station", "valid"], "feed")
+    require_columns(raw, FIELDS, "feed")
     at = strict_minute("valid")
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     # A station list is a fixed, short declaration.
@@ -75,14 +76,31 @@ def feed_check(raw: DataFrame, stations: Sequence[str], start: str, end: str,
 
 
 def _order_violations(raw: DataFrame, sequence: str, at: Column, width: int = 1_000_000) -> DataFrame:
-    """Rows earlier than the row before them, compared inside sequence buckets and across their edges."""
-    rows = raw.select(F.col(sequence).alias("_s"), at.alias("_t"), whole(sequence, width).alias("_b"))
-    edges = rows.groupBy("_b").agg(F.max_by("_t", "_s").alias("_last"))
-    before = edges.select("_b", F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_b")).alias("_carry"))
-    inside = Window.partitionBy("_b").orderBy("_s")
-    late = rows.join(before, "_b").select(
-        (F.col("_t") < F.coalesce(F.lag("_t").over(inside), F.col("_carry"))).alias("late"))
-    return late.agg(F.count_if("late").alias("violations")).select(F.lit("not_sorted").alias("check"), "violations")
+    """Rows earlier than the readable row before them.
+
+    A stretch of the sequence is summed up by its first time, its last time and its violations, and
+    neighbouring stretches are folded into one, ``_FAN`` at a time. No window sees more than that.
+    """
+    rows = raw.select(F.col(sequence).cast("long").alias("_s"), at.alias("_first")).filter("_first is not null and _s is not null")
+    rows = rows.select(whole("_s", width).alias("_b"), "_s", "_first", F.col("_first").alias("_last"), F.lit(0).cast("long").alias("_bad"))
+    folded = _fold(rows, ["_s", "_first"])
+    for _ in range(_LEVELS):
+        folded = _fold(folded.select(whole("_b", _FAN).alias("_b"), F.col("_b").alias("_s"), "_first", "_last", "_bad"), ["_s"])
+    return folded.agg(F.coalesce(F.sum("_bad"), F.lit(0)).alias("violations")).select(F.lit("not_sorted").alias("check"), "violations")
+
+
+# Stretches folded at a time; so many levels bring any 64-bit sequence down to one stretch.
+_FAN, _LEVELS = 10_000, 4
+
+
+def _fold(stretches: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One (first, last, violations) per ``_b`` from the stretches in it."""
+    before = F.lag("_last").over(Window.partitionBy("_b").orderBy(*order))
+    seam = (F.col("_first") < before).alias("_seam")
+    place = F.struct(*order)
+    return stretches.select("*", seam).groupBy("_b").agg(
+        F.min_by("_first", place).alias("_first"), F.max_by("_last", place).alias("_last"),
+        (F.sum("_bad") + F.count_if("_seam")).alias("_bad"))
 
 
 def observation_features() -> list[Column]:
@@ -103,11 +121,16 @@ def observation_features() -> list[Column]:
 
 
 def attach_weather(rows: DataFrame, observations: DataFrame, entity: str = "entity", at: str = "move_us") -> DataFrame:
-    """Add the nineteen weather columns of the latest observation no older than three hours."""
+    """Add the nineteen weather columns of the latest observation no older than three hours.
+
+    The job fails at a row without an entity, or if an observation from the future or an older one was attached.
+    """
     obs = observations.select(F.col("station").alias(entity), "valid_us", *observation_features())
     joined = asof_attach(rows, obs, [entity], at, "valid_us")
     age = seconds_between(at, "valid_us") / 60.0
-    return joined.select(*rows.columns, age.alias("wx_age_minutes"), missing_flag("valid_us").alias("wx_missing"),
+    mapped_rows = or_fail(F.col(entity).isNotNull(), "a row has no entity to look up observations by")
+    in_time = or_fail(age.isNull() | age.between(0, AGE_LIMIT), "a future or stale observation was attached")
+    return joined.filter(mapped_rows & in_time).select(*rows.columns, age.alias("wx_age_minutes"), missing_flag("valid_us").alias("wx_missing"),
                          *WEATHER[2:])
 
 
@@ -119,7 +142,7 @@ def match_audit(attached: DataFrame, entity: str = "entity") -> DataFrame:
     return with_quantiles(flat, attached, [entity], "wx_age_minutes", {"median_age": (0.5, LINEAR)})
 
 
-def enforce_age(attached: DataFrame, limit_minutes: float = 180.0) -> None:
+def enforce_age(attached: DataFrame, limit_minutes: float = AGE_LIMIT) -> None:
     """Fail if any match lies in the future or is older than the tolerance."""
     bad = (F.col("wx_age_minutes") < 0) | (F.col("wx_age_minutes") > limit_minutes)
     if attached.filter(bad).limit(1).count():

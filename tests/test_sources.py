@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventide.operators.audit import (cardinalities, counts_by, integrity, leakage_probe, null_profile, schema_difference, target_summary, usable_columns)
 from eventide.plans.features import FEATURES, attach_by_id, build_coded, build_features, coverage, queue_checks
 from eventide.plans.settle import settle, shared_dir
-from eventide.sources.files import checksums, content_manifest, inventory, portable_rewrite, scan, schema_groups, write_checked, write_parquet
+from eventide.sources.files import checksums, content_manifest, inventory, file_schemas, portable_rewrite, scan, schema_groups, write_checked, write_parquet
 from eventide.sources.movements import load_movements
 from eventide.sources.observations import FIELDS, attach_weather, clean_observations, enforce_age, feed_check, match_audit, read_observations
 
@@ -68,6 +68,10 @@ def test_file_level_operators(spark, tmp_path):
     inv = inventory(spark, str(tmp_path)).collect()
     assert sorted(r["rows"] for r in inv) == [2, 3] and all(r["bytes"] > 0 for r in inv)
     assert schema_groups(spark, paths).first()["tables"] == 2
+    odd = tmp_path / "odd names" / "nothing%20here"
+    spark.range(0).selectExpr("id as n", "timestamp_ntz'2025-01-01' as t").coalesce(1).write.parquet(str(odd))
+    found = {(r["rows"], r["schema"]) for r in file_schemas(spark, [str(odd), *paths]).collect()}
+    assert {r for r, _ in found} == {0, 2, 3} and (0, "struct<n:bigint,t:timestamp_ntz>") in found and len({s for _, s in found}) == 2
     back = portable_rewrite(spark, paths, str(tmp_path / "out"))
     assert back.count() == 5 and back.select("period").distinct().count() == 2
     a = content_manifest(spark, paths[0], ["MVT_ID_mvt", "STAND_mvt"]).first()
