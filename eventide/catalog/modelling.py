@@ -18,7 +18,7 @@ from eventide.operators.overlay import apply_overlay, fit_overlay
 from eventide.operators.selection import CONFIGS, choose_config, compare_configs
 from eventide.plans.evaluation import split_frames
 from eventide.plans.features import build_features
-from eventide.plans.modelling import CODED, model_features, run_split, training_frames
+from eventide.plans.modelling import CODED, final_fit, model_features, run_split, training_frames
 from eventide.plans.settle import settle
 
 NUMERIC = ("implied_duration", "offblock_missing", "move_minus_sched", "move_minus_last", "move_minus_filed", "move_minus_initial",
@@ -33,14 +33,17 @@ def _n_finite():
     return F.count(F.when(finite("pred"), 1)).alias("n_finite")
 
 
-def _frames(spark, sf, split="composition"):
-    """Rows of a split on the scaled calendar: the period stands for the month."""
+def _features(spark, sf):
+    """The feature table on the scaled calendar, where the period stands for the month, and its category codes."""
     m = moves(spark, sf)
     features = build_features(m, keep=["period", "pday"])
     features = features.withColumn("month", F.col("period")).withColumn("day", F.col("pday"))
     features = settle(features, "features")
-    codes = settle(code_dimension([features], CODED), "codes")
-    return training_frames(features, codes, split, CAL)
+    return features, settle(code_dimension([features], CODED), "codes")
+
+
+def _frames(spark, sf, split="composition"):
+    return training_frames(*_features(spark, sf), split, CAL)
 
 
 def _global(frames, params=PARAMS):
@@ -134,6 +137,16 @@ def statistics(spark, sf):
     return rounded(out, "os_entity", "os_stand", "os_kind")
 
 
+@query("gat6_final_fit", f"with {DEPS} select month, count(*) as n, count(*) as n_finite, true as same_trees from deps where month > 10 group by month")
+def final_model(spark, sf):
+    """Gate the model on October, persist the verdict, and fit on all months up to then only if it passed; predict the rest."""
+    features, codes = _features(spark, sf)
+    gated, scored = _global(training_frames(features, codes, "october", CAL))[2]
+    verdict = settle(scored.agg(rmse("control", "duration_s").alias("base_raw"), rmse("pred", "duration_s").alias("cand_raw")), "verdict")
+    final, out = final_fit(verdict, features.filter("month <= 10"), features.filter("month > 10"), codes, gated, PARAMS)
+    return out.groupBy("month").agg(F.count("*").alias("n"), _n_finite(), F.lit(final.trees == gated.trees).alias("same_trees"))
+
+
 @query("mod6_feature_importance")
 def importance(spark, sf):
     model, _ = _global(_frames(spark, sf))[2]

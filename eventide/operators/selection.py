@@ -30,7 +30,7 @@ def select_members(df: DataFrame, segment: str, base: str, cand: str, truth: str
     point = arms.groupBy(segment).agg(
         F.count("*").alias("n"), F.sqrt(F.avg("_b")).alias("base_rmse"), F.sqrt(F.avg("_c")).alias("cand_rmse"),
         largest_row_share(F.col("_b") - F.col("_c")).alias("largest_share"))
-    boot = paired_bootstrap(arms, id_col, {"rate": ("_b", "_c")}, [segment], replicates)
+    boot = paired_bootstrap(arms, id_col, {"rate": ("_b", "_c")}, [segment], replicates, many_groups=True)
     gain = F.col("base_rmse") - F.col("cand_rmse")
     return (
         point.join(boot.select(segment, F.col("win_rate")), segment).withColumn("gain", gain)

@@ -2,12 +2,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.operators.backoff import control_prediction, fit_backoff
+from eventide.operators.contracts import contracted
 from eventide.operators.encoding import DEFAULT_SPECS, encode_split
+from eventide.operators.gates import require_better
 from eventide.operators.models import FittedModel, TreeParams, feature_set, fit_trees
 from eventide.operators.splits import Calendar, split_roles
 from eventide.plans.settle import settle
@@ -27,13 +30,17 @@ def training_frames(features: DataFrame, codes: DataFrame, split: str, cal: Cale
     fit, (inner, test) = encode_split(parts["fit"], [parts["inner"], parts["test"]], block)
     out = {}
     for role, df in (("fit", fit), ("inner", inner), ("test", test)):
-        for c in CODED:
-            values = codes.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
-            df = df.join(values, c, "left")
-        out[role] = settle(df, role)
+        out[role] = settle(_coded(df, codes), role)
     return out
 
 
+def _coded(df: DataFrame, codes: DataFrame) -> DataFrame:
+    for c in CODED:
+        values = codes.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        df = df.join(values, c, "left")
+    return df
+
+
 def model_features(numeric: Sequence[str], drop: Sequence[str] = (), add: Sequence[Sequence[str]] = (),
                    available: Sequence[str] | None = None) -> tuple[list[str], list[str]]:
     """(all feature names, the categorical ones)."""
@@ -49,4 +56,19 @@ def run_split(frames: dict[str, DataFrame], features: Sequence[str], categorical
     """
     model = fit_trees(frames["fit"], features, categorical, target, params, frames["inner"], learner)
     test = control_prediction(frames["test"], settle(fit_backoff(frames["fit"], target=target), "medians"), name="control")
-    return model, settle(test.join(model.predict(frames["test"]), "id"), "predictions")
+    both = test.join(model.predict(frames["test"]), "id")
+    return model, settle(contracted(both, ["pred", "control"]), "predictions")
+
+
+def final_fit(verdict: DataFrame, labelled: DataFrame, ranking: DataFrame, codes: DataFrame, gated: FittedModel,
+              params: TreeParams = TreeParams(), learner: str = "boosted", target: str = "duration_s", block: str = "month") -> tuple[FittedModel, DataFrame]:
+    """A model of all labelled rows and its persisted predictions of ``ranking``.
+
+    Refused unless the persisted ``verdict`` says that the gated model is better than its control. No
+    rows are held back any more, so the number of trees is the one that the gated model kept.
+    """
+    require_better(verdict)
+    train, (rank,) = encode_split(labelled, [ranking], block)
+    train, rank = settle(_coded(train, codes), "train"), settle(_coded(rank, codes), "ranking")
+    model = fit_trees(train, gated.features, gated.categorical, target, replace(params, rounds=gated.trees), learner=learner)
+    return model, settle(contracted(rank.join(model.predict(rank), "id"), ["pred"], what="final predictions"), "predictions")

@@ -94,6 +94,24 @@ def test_poisson_draws(spark):
     assert edge[0]["w"] == 0 and edge[1]["w"] == len(steps)
 
 
+def test_bootstrap_of_many_groups(spark):
+    """A third of the rows lie in one group, the others in 700; however rows are dealt out, each group gets the same sums."""
+    n, reps = 3000, 12
+    df = spark.range(n).selectExpr("id", "if(id % 3 = 0, null, if(id % 50 = 1, 'x', 'g' || id % 701)) as g", "id % 2 as h", "if(id % 5 = 0, null, id * 1D) as v").repartition(7)
+    sums = [{(r["g"], r["h"], r["rep"]): (r["drawn"], r["v"]) for r in replicate_sums(df, "id", ["v"], reps, ["g", "h"], many).collect()} for many in (False, True)]
+    assert sums[0] == sums[1] and len({k[:2] for k in sums[0]}) > 1000
+    steps = [int(s, 16) for s in poisson_steps()]
+    want = {}
+    for i in range(n):
+        g = None if i % 3 == 0 else "x" if i % 50 == 1 else f"g{i % 701}"
+        for rep in range(reps):
+            w = sum(int(hashlib.md5(f"{i}-{rep // 4}".encode()).hexdigest()[8 * (rep % 4):8 * (rep % 4) + 8], 16) >= s for s in steps)
+            d, t = want.get((g, i % 2, rep), (0, 0.0))
+            want[(g, i % 2, rep)] = (d + w, t + (0.0 if i % 5 == 0 else w * i))
+    assert sums[0] == {k: x for k, x in want.items() if x[0]}
+    assert replicate_sums(df.limit(0), "id", ["v"], reps, ["g"], True).count() == 0
+
+
 def test_bootstrap_agrees_with_resampling(spark):
     rng = np.random.default_rng(1)
     y = rng.gamma(2, 300, 500)
