@@ -63,6 +63,22 @@ def test_shared_codes_over_both_tables(spark, tmp_path):
     assert train.columns == m.columns
 
 
+def test_a_folder_of_parts_is_one_table(spark, tmp_path):
+    root = tmp_path / "odd %20 names"
+    spark.range(10).repartition(3).write.parquet(str(root / "a.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(root / "deep" / "b.parquet"))
+    (part,) = (root / "deep" / "b.parquet").glob("*.parquet")
+    (root / "c + d.parquet").write_bytes(part.read_bytes())
+    want = {("a.parquet", 10), ("b.parquet", 4), ("c + d.parquet", 4)}
+    found = inventory(spark, str(root)).collect()
+    assert len(found) == 3 and {(r["file"], r["rows"]) for r in found} == want
+    found = file_schemas(spark, str(root)).collect()
+    assert len(found) == 3 and {(r["file"], r["rows"]) for r in found} == want
+    assert [r["tables"] for r in schema_groups(spark, str(root)).collect()] == [3]
+    spark.range(2).selectExpr("id as other").coalesce(1).write.mode("append").parquet(str(root / "a.parquet"))
+    assert sorted((r["file"], r["rows"]) for r in file_schemas(spark, str(root / "a.parquet")).collect()) == [("a.parquet", 2), ("a.parquet", 10)]
+
+
 def test_file_level_operators(spark, tmp_path):
     paths = write_months(spark, tmp_path)
     inv = inventory(spark, str(tmp_path)).collect()
