@@ -61,17 +61,18 @@ def category_sizes(df: DataFrame, categorical: Sequence[str]) -> dict[str, int]:
     return {c: row[c] + 2 for c in categorical}
 
 
-def model_rows(df: DataFrame, features: Sequence[str], sizes: Mapping[str, int], keep: Sequence[str], ordered: Sequence[str] = ()) -> DataFrame:
+def model_rows(df: DataFrame, features: Sequence[str], sizes: Mapping[str, int], keep: Sequence[str], ordered: Sequence[str] = (),
+               missing: float = float("nan")) -> DataFrame:
     """Doubles. Declared categories, and only these, are nominal or, where ``ordered``, stand for themselves by their statistic.
 
-    Category 0 is unknown: null, or a code that the fit rows lack. Other nulls become NaN, which gets a bin of its own, so that
-    splits can route missing values apart.
+    Category 0 is unknown: null, or a code that the fit rows lack. Other nulls become ``missing``: NaN, which gets a bin of its own, so that
+    splits can route missing values apart, or a sentinel for learners that take finite values only.
     """
     def column(c: str):
         if c in ordered:
             return F.col(f"os_{c}").alias(c)
         if c not in sizes:
-            return F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+            return F.coalesce(F.col(c).cast("double"), F.lit(missing)).alias(c)
         known = (F.col(c) >= 0) & (F.col(c) < sizes[c] - 1)
         nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c]}}
         return F.when(known, F.col(c).cast("double") + 1).otherwise(F.lit(0.0)).alias(c, metadata=nominal)

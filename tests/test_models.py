@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventide.operators.metrics import rmse
-from eventide.operators.models import (TreeParams, capacity_grid, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, predict_specialists,
+from eventide.operators.models import (TreeParams, capacity_grid, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, model_rows, predict_specialists,
                                        prepare_fit)
 from eventide.operators.ordered import apply_statistics, fit_statistics, ordered_statistics
 
@@ -39,6 +39,14 @@ def test_boosted_fit_learns_and_keeps_missing_apart(spark, rows, tmp_path):
     assert again.predict(rows).join(m.predict(rows, name="p0"), "id").filter("pred <> p0").count() == 0
 
 
+def test_missing_values_of_a_feature_vector(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 3.0, 0), (3, float("nan"), 7)], "id long, x double, code int")
+    vector = lambda **how: {r["id"]: (r["x"], r["code"]) for r in model_rows(df, ["x", "code"], {"code": 2}, ["id"], **how).collect()}
+    sentinel = vector(missing=-1e9)
+    assert sentinel[1] == (-1e9, 0.0) and sentinel[2] == (3.0, 1.0)
+    assert repr(vector()[1]) == "(nan, 0.0)"
+
+
 def test_patience_keeps_the_best_round(spark, rows):
     fit, inner = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0").withColumn("duration_s", F.col("duration_s") + (F.hash("id") % 150))
     how = dict(depth=3, min_rows=2, step=0.4)
