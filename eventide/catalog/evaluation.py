@@ -237,11 +237,11 @@ _STABLE = """count(e) as triggered, max(e) as worst_abs, round(100 * avg(case wh
 _ERRS = "select entity, month, abs(move_minus_sched - duration_s)::double as e from deps where"
 
 
-@query("ovl5_stability_by_month", f"""with {DEPS}, t as ({_ERRS} {IN_SCOPE}), m as (select cast(unnest(range(1, 13)) as int) as month)
+@query("ovl5_stability_by_month", f"""with {DEPS}, t as ({_ERRS} {ANYWHERE.format(t=3600)}), m as (select cast(unnest(range(1, 13)) as int) as month)
 select m.month, {_STABLE} from m left join t on t.month = m.month group by m.month""")
 def stable_months(spark, sf):
-    """All twelve months, within the scope; those without a trigger with 0 rows."""
-    return rounded(stability(departures(spark, sf), TRIGGER, "month", MONTHS), "within_60s")
+    """All twelve months over every entity; those without a trigger with 0 rows."""
+    return rounded(stability(departures(spark, sf), WIDE, "month", MONTHS), "within_60s")
 
 
 @query("ovl5_stability_by_entity", f"with {DEPS}, t as ({_ERRS} {ANYWHERE.format(t=3600)}) select entity, {_STABLE} from t group by entity having count(*) >= 3")

@@ -2,8 +2,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from eventide.catalog.adapter import SCOPE, departures
 from tools.compare import connect, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -27,6 +29,14 @@ def test_query_equals_sql(spark, name):
     assert got == rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+def test_monthly_stability_takes_every_entity(spark):
+    late = departures(spark, SF).filter("offblock_missing = 1 and move_minus_sched > 3600")
+    assert late.filter(~F.col("entity").isin(*SCOPE)).count() > 0
+    got = entry.queries()["ovl5_stability_by_month"](spark, SF).collect()
+    assert sorted(r["month"] for r in got) == list(range(1, 13)) and sum(r["triggered"] for r in got) == late.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 def test_flagship(spark):
     df = entry.entry(spark)
