@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 REPLICATES = 2000
 _DRAWS = 4  # an md5 holds four draws of eight hex digits
+_BLOCK = 250_000  # counts a task holds at a time: about 10 MB with their digests
 
 
 def poisson_steps() -> list[str]:
@@ -59,7 +60,7 @@ def replicate_sums(df: DataFrame, id_col: str, values: Sequence[str], replicates
     suffixes = [str(g).encode() for g in range(-(-replicates // _DRAWS))]
     edges = [int(e, 16) for e in poisson_steps()]
     names = [*by, "rep", "drawn", *values]
-    block = max(1, 4_000_000 // replicates)
+    block = max(1, _BLOCK // replicates)
 
     # This function uses nothing of this package, so tasks need not import it.
     def run(batches):
