@@ -18,7 +18,7 @@ from eventide.operators.overlay import apply_overlay, fit_overlay
 from eventide.operators.selection import CONFIGS, choose_config, compare_configs
 from eventide.plans.evaluation import split_frames
 from eventide.plans.features import build_features
-from eventide.plans.modelling import CODED, final_fit, model_features, run_split, training_frames
+from eventide.plans.modelling import CODED, final_fit, model_features, model_inputs, run_split, training_frames
 from eventide.plans.settle import settle
 
 NUMERIC = ("implied_duration", "offblock_missing", "move_minus_sched", "move_minus_last", "move_minus_filed", "move_minus_initial",
@@ -38,7 +38,7 @@ def _features(spark, sf):
     m = moves(spark, sf)
     features = build_features(m, keep=["period", "pday"])
     features = features.withColumn("month", F.col("period")).withColumn("day", F.col("pday"))
-    features = settle(features, "features")
+    features = settle(features.select("month", "day", *model_inputs(NUMERIC)), "features")
     return features, settle(code_dimension([features], CODED), "codes")
 
 

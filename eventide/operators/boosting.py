@@ -58,7 +58,7 @@ def boost(matrix: DataFrame, rounds: int, patience: int | None, step: float, dep
         return Boosted(learner.setMaxIter(rounds).fit(train), [], False)
     if inner.isEmpty():
         raise ValueError("no inner rows to stop on")
-    tried = min(rounds, 3 * patience)
+    tried = min(rounds, 2 * patience)
     while True:
         fitted = learner.setMaxIter(tried).fit(train)
         errors = [e ** 0.5 for e in fitted.evaluateEachIteration(inner, "squared")]

@@ -203,15 +203,16 @@ def fit_trees(fit: DataFrame, features: Sequence[str], categorical: Sequence[str
 
 def fit_specialists(fit: DataFrame, segment: str, scope: Sequence, features: Sequence[str],
                     categorical: Sequence[str], inner: DataFrame | None = None, **how) -> dict:
-    """One distributed fit per named segment; the scope is a short declared list."""
-    out = {}
-    for s in scope:
+    """One distributed fit per named segment, side by side; the scope is a short declared list."""
+    def one(s) -> FittedModel:
         local = fit.filter(F.col(segment) == F.lit(s))
         held = inner.filter(F.col(segment) == F.lit(s)) if inner is not None else None
         if not local.limit(1).count():
             raise ValueError(f"segment {s!r} has no fit rows")
-        out[s] = fit_trees(local, features, categorical, inner=held, **how)
-    return out
+        return fit_trees(local, features, categorical, inner=held, **how)
+
+    with ThreadPoolExecutor(max(1, len(scope))) as pool:
+        return dict(zip(scope, pool.map(one, scope)))
 
 
 def predict_specialists(models: Mapping, df: DataFrame, segment: str, id_col: str = "id",

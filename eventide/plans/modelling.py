@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.operators.backoff import control_prediction, fit_backoff
+from eventide.operators.backoff import LEVELS, control_prediction, fit_backoff
 from eventide.operators.contracts import contracted
 from eventide.operators.encoding import DEFAULT_SPECS, encode_split
 from eventide.operators.gates import require_better
@@ -21,17 +22,16 @@ ENCODED = tuple(c for s in DEFAULT_SPECS for c in s.outputs)
 
 
 def training_frames(features: DataFrame, codes: DataFrame, split: str, cal: Calendar, block: str = "month") -> dict[str, DataFrame]:
-    """fit, inner and test rows with encodings and codes, each written once.
+    """fit, inner and test rows with encodings and codes, each written once, side by side.
 
     Every learner passes over its rows many times; reading a written table keeps the feature
     plan from running again for each pass or after the loss of an executor.
     """
     parts = {r: features.filter(m) for r, m in split_roles(split, cal).items()}
     fit, (inner, test) = encode_split(parts["fit"], [parts["inner"], parts["test"]], block)
-    out = {}
-    for role, df in (("fit", fit), ("inner", inner), ("test", test)):
-        out[role] = settle(_coded(df, codes), role)
-    return out
+    roles = {"fit": fit, "inner": inner, "test": test}
+    with ThreadPoolExecutor(len(roles)) as pool:
+        return dict(zip(roles, pool.map(lambda role: settle(_coded(roles[role], codes), role), roles)))
 
 
 def _coded(df: DataFrame, codes: DataFrame) -> DataFrame:
@@ -48,6 +48,12 @@ def model_features(numeric: Sequence[str], drop: Sequence[str] = (), add: Sequen
     return feature_set([*codes, *numeric, *ENCODED], add, drop, available), codes
 
 
+def model_inputs(numeric: Sequence[str]) -> list[str]:
+    """Columns of the feature table that codes, encodings, the control and the model read."""
+    keys = [c for spec in DEFAULT_SPECS for c in spec.keys] + [c for level in LEVELS for c in level]
+    return list(dict.fromkeys(["id", "duration_s", *CODED, *numeric, *keys]))
+
+
 def run_split(frames: dict[str, DataFrame], features: Sequence[str], categorical: Sequence[str],
               params: TreeParams = TreeParams(), learner: str = "boosted", target: str = "duration_s") -> tuple[FittedModel, DataFrame]:
     """Fit on fit, stop on inner, predict test; the control is fitted on the same rows.

@@ -3,12 +3,14 @@ import hashlib
 import random
 
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from eventide.operators.metrics import rmse
 from eventide.operators.models import (TreeParams, capacity_grid, category_sizes, feature_set, fit_specialists, fit_subpopulation, fit_trees, load_model, model_rows, predict_specialists,
                                        prepare_fit)
 from eventide.operators.ordered import apply_statistics, fit_statistics, ordered_statistics
+from eventide.plans.modelling import model_features, model_inputs
 
 QUICK = TreeParams(rounds=8, depth=3, min_rows=2, step=0.4)
 
@@ -64,6 +66,21 @@ def test_patience_keeps_the_best_round(spark, rows):
         fit_trees(fit, ["x"], [], params=QUICK, inner=inner.limit(0))
 
 
+def test_first_stage_is_no_longer_than_twice_the_wait(spark, rows, monkeypatch):
+    tried, set_rounds = [], GBTRegressor.setMaxIter
+    monkeypatch.setattr(GBTRegressor, "setMaxIter", lambda self, n: tried.append(n) or set_rounds(self, n))
+    m = fit_trees(rows.filter("id % 4 <> 0"), ["x", "code"], ["code"], params=TreeParams(patience=5, depth=2, min_rows=2, step=1.0),
+                  inner=rows.filter("id % 4 = 0").withColumn("duration_s", 1000 - F.col("duration_s")))
+    assert m.stopped and m.trees <= 5 and tried == [10]
+
+
+def test_inputs_of_the_models_cover_what_is_read():
+    names, categorical = model_features(["planned_length"])
+    inputs = model_inputs(["planned_length"])
+    assert len(inputs) == len(set(inputs)) and {"id", "duration_s", "planned_length", "entity", "stand", "dest", "operator", "weekday"} <= set(inputs)
+    assert {c.removesuffix("_code") for c in categorical} <= set(inputs) and "dep_next_15" not in inputs
+
+
 def test_inner_rows_are_never_trained_on(spark, rows):
     inner = rows.withColumn("duration_s", F.lit(10_000))
     m = fit_trees(rows, ["x", "code"], ["code"], params=TreeParams(rounds=30, patience=5, depth=3, min_rows=2, step=0.4), inner=inner)
