@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.bpe_merges import NEVER, Memo, SuffixTokens, Vocabulary
-from eventide.llm.common import blank_text, ship
+from eventide.llm.common import blank_text, parts_of, ship
+
+MOST_CHARACTERS = 500_000  # of the texts whose tokens a task holds at a time
 
 
 class Automaton:
-    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, most_pieces: int = 200_000):
         self.vocabulary = vocabulary
         self.most_pieces = most_pieces
         self._compile()
@@ -104,7 +106,7 @@ class Automaton:
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, then ids array<int>: the tokens of each whole text (null: empty, no tokens). Other columns are left out.
 
-    One narrow pass, no shuffle: rows stay in their scan partition and a task holds one document's ids at a time.
+    One narrow pass, no shuffle: rows stay in their scan partition and a task holds the ids of about ``MOST_CHARACTERS``.
     """
     def run(row: Automaton, t: str):
         return np.frombuffer(row.encode(t), dtype="<u4").astype(np.int32)
@@ -147,9 +149,10 @@ def _over_texts(docs: DataFrame, vocabulary: str, text: str, keep, outputs, each
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = shared.value
         for b in batches:
-            rows = [each(a, t.as_py()) for t in b.column(len(keep))]
-            made = [pa.array([r[k] for r in rows], o[1]) for k, o in enumerate(outputs)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *made], names)
+            for part in parts_of(b, len(keep), MOST_CHARACTERS):
+                rows = [each(a, t.as_py()) for t in part.column(len(keep))]
+                made = [pa.array([r[k] for r in rows], o[1]) for k, o in enumerate(outputs)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *made], names)
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{o[0]} {o[2]}" for o in outputs)])
     return docs.select(*keep, blank_text(text).alias("_text")).mapInArrow(run, schema)

@@ -99,16 +99,23 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Results per key, emptied when full: bounded memory, the same answers."""
+    """Results per key in two halves: when one is full, it takes the place of the older one. Bounded memory, the same answers.
+
+    Keys that are asked for again come back from the older half, so frequent ones are made once.
+    """
 
     def __init__(self, make, most: int = 250_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, max(1, most // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.make(key)
+        out = self.older.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 

@@ -176,3 +176,26 @@ def test_every_training_window_is_trained_on_once(spark):
     t = Counting(lm.start_weights(np.full(lm.CLASSES, 1 / lm.CLASSES), np.ones((lm.CLASSES + 1, lm.CLASSES))), 0.02)
     lm._learn((pa.RecordBatch.from_arrays([pa.array(raw[i:i + 9])], ["_text"]) for i in range(0, 80, 9)), RANKS, classes, t, 0, room=20)
     assert t.scored == tokens
+
+
+def test_parts_hold_a_bounded_number_of_characters():
+    import pyarrow as pa
+
+    from eventide.llm.common import parts_of
+
+    texts = ["ab", None, "", "cdefgh", "i", "jk", "l"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
+    parts = [p.column(1).to_pylist() for p in parts_of(batch, 1, 3)]
+    assert parts == [["ab", None, ""], ["cdefgh"], ["i", "jk"], ["l"]]
+    assert not list(parts_of(batch.slice(0, 0), 1, 3))
+
+
+def test_a_full_memo_keeps_what_is_asked_for_again():
+    from eventide.llm.bpe_merges import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or k % 2 == 0, 10)
+    for k in range(100):
+        assert memo[0] is True and memo[k] is (k % 2 == 0)
+        assert len(memo) + len(memo.older) <= 10
+    assert made == list(range(100))
