@@ -107,9 +107,10 @@ def folds_sql(source: str) -> str:
 def _fold_report(df):
     """RMSE of the global, the entity and the hierarchical median for each fold, in one pass."""
     keys = ["month", *KEYS, "duration_s"]
-    counted = with_folds(settle(df.groupBy(*keys).agg(F.count("*").alias("w")), "counts"))
-    train, test = counted.filter("role = 'train'"), counted.filter("role = 'test'")
-    groups = settle(fit_backoff(train, by=["fold"], weight="w", min_support=1), "medians")
+    counted = settle(df.groupBy(*keys).agg(F.count("*").alias("w")), "counts")
+    test = with_folds(counted).filter("role = 'test'")
+    shares = {label: f"if(month in ({', '.join(map(str, months))}), w, 0L)" for label, months, _ in FOLDS}
+    groups = settle(fit_backoff(counted, folds=("fold", shares), min_support=1), "medians")
     top, entity_level = len(LEVELS), LEVELS.index(("entity",))
     table = groups.filter((F.col("support") >= MIN_SUPPORT) | (F.col("level") == top))
     scored = predict_backoff(test, table, by=["fold"], name="hier")

@@ -27,6 +27,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
     group = F.struct(*keys) if keys else F.struct(F.lit(1))  # as a struct, a null key equals a null key
     hist = settle(df.filter(F.col(value).isNotNull()).groupBy(group.alias("_g"), F.col(value).alias("_v")).agg(
         F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")), "histogram")
+    return quantiles_of_counts(hist, keys, wanted, total, fits)
+
+
+def quantiles_of_counts(hist: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[float, str]], total: str | None = None,
+                        fits: int = FITS) -> DataFrame:
+    """The same from counts that are made already: (_g, _v, _n), one row per group (a struct of ``keys``) and value, ``_n`` over zero."""
     totals = hist.groupBy("_g").agg(F.sum("_n").alias("_total"))
     ranks = {name: _ranks(F.col("_total"), q, method) for name, (q, method) in wanted.items()}
     asked = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(side).alias("_side"), r[side].cast("long").alias("_rank"))

@@ -1,13 +1,14 @@
 """Hierarchical-median backoff: the most specific group with enough rows answers."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions.expr import clip
-from eventide.functions.quantiles import LINEAR, exact_quantiles
+from eventide.functions.quantiles import LINEAR, quantiles_of_counts
+from eventide.plans.settle import settle
 
 # Most specific first, the support a group needs, and the output range.
 LEVELS = (
@@ -43,18 +44,36 @@ def _at_levels(df: DataFrame, levels: Sequence[Sequence[str]], keep: Sequence[st
 
 
 def fit_backoff(train: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, target: str = "duration_s",
-                by: Sequence[str] = (), min_support: int = MIN_SUPPORT, weight: str | None = None) -> DataFrame:
+                by: Sequence[str] = (), min_support: int = MIN_SUPPORT, weight: str | None = None,
+                folds: tuple[str, Mapping[str, str]] | None = None) -> DataFrame:
     """(by, level, keys, median, support) for every group, plus the global median as last level.
 
-    Equal targets of a group are counted map-side, so coarse levels shuffle next to nothing. The medians of all levels are located
-    together, by ranks in ever narrower cells, so no group's distinct targets have to fit into a task.
-    ``weight`` names a count column when ``train`` is collapsed already.
+    One aggregation over grouping sets counts the equal targets of a group at every level, so coarse levels shuffle next to nothing. The
+    medians of all levels are located together, by ranks in ever narrower cells, so no group's distinct targets have to fit into a task.
+    ``weight`` names a count column when ``train`` is collapsed already. ``folds``, a column's name and ``label -> count column``, fits
+    one table per label, told apart by that column: a row that counts in several folds is counted once, not copied into each.
     """
     cols = level_columns(levels)
-    group = [*by, "level", *[f"k_{c}" for c in cols]]
+    name, counts = folds or (None, {None: weight or "1L"})
+    tallies = [f"_n{i}" for i in range(len(counts))]
     rows = train.filter(F.col(target).isNotNull()).selectExpr(
-        *by, *cols, f"{target} as _y", f"{weight or '1L'} as _n")
-    found = exact_quantiles(_at_levels(rows, [*levels, ()], [*by, "_y", "_n"]), group, "_y", {"median": (0.5, LINEAR)}, weight="_n", total="support")
+        *by, *cols, f"{target} as _y", *[f"{c} as {t}" for c, t in zip(counts.values(), tallies, strict=True)])
+    sets = {frozenset(level): i for i, level in reversed(list(enumerate([*levels, ()])))}
+    cells = rows.groupingSets([[*by, *sorted(level), "_y"] for level in sets], *by, *cols, "_y").agg(
+        F.grouping_id().alias("_gid"), *[F.sum(t).cast("long").alias(t) for t in tallies])
+    # grouping_id has a bit for each absent column; a null key drops its level
+    absent = {i: sum(1 << k for k, c in enumerate(reversed([*by, *cols, "_y"])) if c in cols and c not in level) for level, i in sets.items()}
+    known = " or ".join(f"(_gid = {absent[i]}{''.join(f' and {c} is not null' for c in sorted(level))})" for level, i in sets.items())
+    which = "case _gid " + " ".join(f"when {gid} then {i}" for i, gid in absent.items()) + " end"
+    hist = settle(cells.filter(known).selectExpr(*by, f"{which} as level", *[f"{c} as k_{c}" for c in cols], "_y as _v", *tallies), "histogram")
+    group = [*by, *([name] if name else []), "level", *[f"k_{c}" for c in cols]]
+    if name:
+        labels = ", ".join(f"'{label}', {t}" for label, t in zip(counts, tallies, strict=True))
+        hist = hist.selectExpr(*hist.columns, f"stack({len(counts)}, {labels}) as ({name}, _n)")
+    else:
+        hist = hist.withColumnRenamed("_n0", "_n")
+    hist = hist.filter("_n > 0").select(F.struct(*group).alias("_g"), "_v", "_n")
+    found = quantiles_of_counts(hist, group, {"median": (0.5, LINEAR)}, "support")
     return found.filter((F.col("support") >= min_support) | (F.col("level") == len(levels)))
 
 

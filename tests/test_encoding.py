@@ -1,12 +1,14 @@
 """Target encodings against a plain computation on random tables; backoff and codes."""
 import random
-from statistics import fmean
+from statistics import fmean, median
 
 import pytest
 
+from eventide.operators import backoff
 from eventide.operators.backoff import fit_backoff, predict_backoff
 from eventide.operators.codes import attach_codes, code_dimension, code_sizes
 from eventide.operators.encoding import CAP, SMOOTHING, Spec, cross_fit, encode_split, fit_maps, transform
+from eventide.plans.settle import settle
 
 PAIR, TRIPLE = Spec("e2", ("g", "h")), Spec("e3", ("g", "h", "k"))
 SPECS = (PAIR, TRIPLE)
@@ -88,6 +90,27 @@ def test_backoff_support_and_null_keys(spark):
     assert got == {1: mid(xs), 2: 1014.5, 3: mid(xs), 4: mid(ys), 5: mid(ys)}
 
 
+def test_backoff_counts_a_row_of_many_folds_once(spark, monkeypatch):
+    levels = (("a", "b"), ("a",))
+    rows = [(m % 7, ("x", "y", None)[m % 3], ("p", "q", None, "r")[m * m % 4], m * m % 11, 1 + m % 3) for m in range(400)]
+    train = spark.createDataFrame(rows, "month int, a string, b string, y int, w long")
+    made = []
+    monkeypatch.setattr(backoff, "settle", lambda df, label: made.append(settle(df, label)) or made[-1])
+    months = {"early": (0, 1, 2), "late": (2, 3, 4, 5, 6), "none": (9,)}
+    table = fit_backoff(train, levels, "y", min_support=1, folds=("fold", {f: f"if(month in {(*m, -1)}, w, 0L)" for f, m in months.items()}))
+    want = {}
+    for f, mine in months.items():
+        for m, a, b, y, w in rows:
+            for level, known in ((0, a is not None and b is not None), (1, a is not None), (2, True)):
+                if m in mine and known:
+                    want.setdefault((f, level, a if level < 2 else None, b if level < 1 else None), []).extend([y] * w)
+    got = {(r.fold, r.level, r.k_a, r.k_b): (r.median, r.support) for r in table.collect()}
+    assert got == {k: (median(v), len(v)) for k, v in want.items()}
+    values = {(level, a if level < 2 else None, b if level < 1 else None, y) for _, a, b, y, _ in rows
+              for level in range(3) if (level > 1 or a is not None) and (level > 0 or b is not None)}
+    assert made[0].count() == len(values)
+
+
 def test_codes_are_ranks_over_both_tables(spark):
     a = spark.createDataFrame([("b", "x1"), ("a", None), ("é", "x10")], "c string, d string")
     b = spark.createDataFrame([("c", "x2"), ("b", "x1")], "c string, d string")
