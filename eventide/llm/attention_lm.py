@@ -12,7 +12,8 @@ the bucket's documents in one co-group. Rows shuffled grow with documents and di
 """
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -30,6 +31,7 @@ CLASSES, DIMS, SINGLE = 96, 16, 48
 FREQUENT, REACH = 48, 4  # ids that tell classes apart, by standing at most so far from an id
 TRUST = 10.0  # training tokens that the class's own shares weigh against those after a given class
 END_WORD = b""  # no word is empty
+BLANK = re.compile(r"[^\S ]")
 
 
 @lru_cache(maxsize=2)
@@ -49,11 +51,34 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().split()  # on bytes: A-Z and the six ASCII blanks only
 
 
+@lru_cache(maxsize=2)
+def begins_word(path: str) -> np.ndarray:
+    """By id, whether its bytes begin with the space that stands before a word."""
+    enc, end = coder(path)
+    return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
+
+
 def code_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each word, flattened, and their number by word. The empty word stands for the end."""
+    """Ids of each word, flattened, and their number by word. The empty word stands for the end.
+
+    Words are joined and coded in one call: no piece of the pattern reaches past a word's end, but for words that hold blanks beyond
+    ASCII, which are coded alone. Only the first id of a word begins with a space.
+    """
     enc, end = coder(path)
-    ids = [enc.encode_ordinary(" " + w.decode()) if w else [end] for w in words]
-    return np.array([i for x in ids for i in x], dtype=np.int32), np.array([len(x) for x in ids], dtype=np.int64)
+    texts = [" " + w.decode() for w in words]
+    odd = {i: [end] for i, t in enumerate(texts) if len(t) == 1}
+    if BLANK.search("".join(texts)):
+        odd |= {i: enc.encode_ordinary(t) for i, t in enumerate(texts) if BLANK.search(t)}
+    ids = np.array(enc.encode_ordinary("".join(t for i, t in enumerate(texts) if i not in odd) if odd else "".join(texts)), dtype=np.int32)
+    sizes = np.diff(np.flatnonzero(begins_word(path)[ids]), append=len(ids)).astype(np.int64)
+    if not odd:
+        return ids, sizes
+    at = np.array(sorted(odd), dtype=np.int64)
+    before = at - np.arange(len(at))  # plain words that stand before
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = np.array([len(odd[i]) for i in at.tolist()], dtype=np.int64)
+    ids = np.insert(ids, np.repeat(ends[before], own), [x for i in at.tolist() for x in odd[i]])
+    return ids.astype(np.int32), np.insert(sizes, before, own)
 
 
 # --- the model -----------------------------------------------------------------------------------------------------------
@@ -90,46 +115,114 @@ def start_weights(class_shares: np.ndarray, follows: np.ndarray, seed: int = 5)
     return np.concatenate([p[n].ravel() for n in SHAPES]).astype(np.float32)
 
 
+class Attention:
+    """The layer with its projections as tables by class: what stands in a place is a class, so rows are looked up, not multiplied.
+
+    A last row, ``NOTHING``, stands for places with nothing there. A column more in queries and keys hides those, one more in values gives
+    the sums of the attention, and one more in the last layer adds the bias, so no pass over the scores is spent on them. Products go
+    window by window: of larger ones BLAS makes threads, which a task has no cores for and which cost thrice the CPU.
+    """
+
+    def __init__(self, flat: np.ndarray):
+        p = self.p = unpack(flat)
+        self.kind, self.scale = flat.dtype, flat.dtype.type(DIMS ** -0.5)
+        self.x = self._table(p["embed"])
+        self.q = self._table(p["embed"] @ p["q"] * self.scale, 1, 1)
+        self.k = self._table(p["embed"] @ p["k"], 0, -1e9)
+        self.v = self._table(p["embed"] @ p["v"], 1, 1)
+        self.near = (p["near"][np.maximum(BEFORE, 0)] + FUTURE)[OVERLAP:].astype(self.kind)
+        self.out = np.concatenate([p["out"], p["bias"][None]])
+
+    def _table(self, rows: np.ndarray, *more: float) -> np.ndarray:
+        """Rows by class, then nothing's; ``more``: a further column's value for the classes and for nothing."""
+        out = np.zeros((CLASSES + 2, DIMS + (len(more) > 0)), self.kind)
+        out[:-1, :DIMS] = rows
+        if more:
+            out[:-1, DIMS], out[-1, DIMS] = more
+        return out
+
+    def forward(self, seen: np.ndarray) -> None:
+        """Weights before they are divided by ``total``, what is read, and the last layer's input and logits less each row's largest."""
+        self.c = np.where(seen < 0, NOTHING, seen)
+        last = self.c[:, OVERLAP:]
+        self.qs, self.ks, self.vs = self.q.take(last, axis=0), self.k.take(self.c, axis=0), self.v.take(self.c, axis=0)
+        w = self.w = self.qs @ self.ks.transpose(0, 2, 1)
+        w += self.near
+        w -= w.max(axis=2, keepdims=True)
+        np.exp(w, out=w)
+        np.putmask(w, w < FAINT, 0)
+        read = w @ self.vs
+        self.total = read[..., DIMS:]
+        self.read = read[..., :DIMS] / self.total
+        u = self.read + self.x.take(last, axis=0)
+        self.h = np.ones((*u.shape[:2], DIMS + 1), self.kind)
+        np.maximum(u, 0, out=self.h[..., :DIMS])
+        self.z = (self.h @ self.out).reshape(-1, CLASSES)
+        self.z -= self.z.max(axis=1, keepdims=True)
+
+    def log_probs(self, goals: np.ndarray) -> np.ndarray:
+        """Of the goals (-1: any number); the logits become shares before they are divided by ``mass``."""
+        own = self.z[np.arange(len(self.z)), np.maximum(goals, 0)]
+        np.exp(self.z, out=self.z)
+        self.mass = (self.z.reshape(-1, STEP, CLASSES) @ ONES.astype(self.kind)).ravel()
+        return own - np.log(self.mass)
+
+
+NOTHING = CLASSES + 1
+FAINT = 1e-20  # beside a weight of one no sum of single precision shows it, and products of such weights are slow
+ONES = np.ones((CLASSES, 1), np.float32)
+
+
+def by_class(c: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows by class."""
+    out = np.zeros((CLASSES + 2, rows.shape[1]), rows.dtype)
+    order = np.argsort(c, kind="stable")
+    held = c[order]
+    begins = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    out[held[begins]] = np.add.reduceat(rows.take(order, axis=0), begins, axis=0)
+    return out
+
+
 def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
     """Loss and gradient over windows. seen: classes read (-1: nothing there); target: next class (-1: not scored)."""
-    p = unpack(flat)
-    there = seen >= 0
-    c = np.where(there, seen, 0)
-    x = p["embed"][c]
-    last, goals = x[:, OVERLAP:], target[:, OVERLAP:]
-    q, k, v = last @ p["q"], x @ p["k"], x @ p["v"]
-    s = q @ k.transpose(0, 2, 1) / np.float32(DIMS ** 0.5)
-    s += (p["near"][np.maximum(BEFORE, 0)] + FUTURE)[OVERLAP:]
-    s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-    w = np.exp(s - s.max(axis=2, keepdims=True))
-    w /= w.sum(axis=2, keepdims=True)
-    u = last + w @ v
-    h = np.maximum(u, 0)
-    z = h @ p["out"] + p["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    e = np.exp(z)
-    total = e.sum(axis=2, keepdims=True)
-    b, t = np.nonzero(goals >= 0)
-    goal = goals[b, t]
-    loss = float((np.log(total[b, t, 0]) - z[b, t, goal]).mean())
-    e /= total
-    e[goals < 0] = 0
-    e[b, t, goal] -= 1
-    e /= np.float32(len(b))
-    g = {"out": np.tensordot(h, e, ((0, 1), (0, 1))), "bias": e.sum(axis=(0, 1))}
-    du = (e @ p["out"].T) * (u > 0)
-    dv = w.transpose(0, 2, 1) @ du
-    dw = du @ v.transpose(0, 2, 1)
-    ds = w * (dw - (dw * w).sum(axis=2, keepdims=True))
+    m = Attention(flat)
+    p, n = m.p, len(seen)
+    m.forward(seen)
+    goals = target[:, OVERLAP:].ravel()
+    scored = np.flatnonzero(goals >= 0)
+    one = m.kind.type(1) / m.kind.type(len(scored))
+    loss = -float(m.log_probs(goals)[scored].mean())
+    each = np.zeros(len(goals), m.kind)
+    each[scored] = one / m.mass[scored]
+    e = m.z
+    e *= each[:, None]
+    e[scored, goals[scored]] -= one
+    e = e.reshape(n, STEP, CLASSES)
+    last = (m.h.transpose(0, 2, 1) @ e).sum(axis=0)
+    g = {"out": last[:DIMS], "bias": last[DIMS]}
+    du = e @ p["out"].T
+    du *= m.h[..., :DIMS] > 0
+    # of a weight's share: what its value adds, less what all values add on average
+    back = np.empty((n, STEP, DIMS + 1), m.kind)
+    np.divide(du, m.total, out=back[..., :DIMS])
+    np.einsum("btd,btd->bt", back[..., :DIMS], m.read, out=back[..., DIMS])
+    back[..., DIMS] *= -1
+    both = np.empty((n, WIDTH, 2 * DIMS), m.kind)
+    both[..., DIMS:] = m.w.transpose(0, 2, 1) @ back[..., :DIMS]
+    ds = back @ m.vs.transpose(0, 2, 1)
+    ds *= m.w
     g["near"] = np.bincount(np.maximum(BEFORE, 0)[OVERLAP:].ravel(), ds.sum(axis=0).ravel(), WIDTH)
-    ds /= np.float32(DIMS ** 0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = (np.tensordot(y, d, ((0, 1), (0, 1))) for y, d in ((last, dq), (x, dk), (x, dv)))
-    dx = dk @ p["k"].T + dv @ p["v"].T
-    dx[:, OVERLAP:] += du + dq @ p["q"].T
-    at = c[there]
-    g["embed"] = np.stack([np.bincount(at, column, CLASSES + 1) for column in dx[there].T], axis=1)
-    return loss, np.concatenate([g[n].ravel() for n in SHAPES]).astype(np.float32)
+    both[..., :DIMS] = ds.transpose(0, 2, 1) @ m.qs[..., :DIMS]
+    own = np.empty((n, STEP, 2 * DIMS), m.kind)
+    own[..., :DIMS] = ds @ m.ks[..., :DIMS]
+    own[..., DIMS:] = du
+    c = m.c.astype(np.int16)
+    both = by_class(c.ravel(), both.reshape(-1, 2 * DIMS))[:CLASSES + 1]
+    own = by_class(c[:, OVERLAP:].ravel(), own.reshape(-1, 2 * DIMS))[:CLASSES + 1]
+    dq, dk, dv = own[:, :DIMS] * m.scale, both[:, :DIMS], both[:, DIMS:]
+    g["q"], g["k"], g["v"] = (p["embed"].T @ d for d in (dq, dk, dv))
+    g["embed"] = own[:, DIMS:] + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    return loss, np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
 class Trainer:
@@ -172,38 +265,18 @@ def windows(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return seen, target, start[:, 0] + number * STEP
 
 
-def class_log_probs(flat: np.ndarray, classes: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
-    """Log probability of every token's class, each scored once. No projections: a class's query, key and value are table rows."""
-    p = unpack(flat.astype(np.float32))
-    q, k, v = (p["embed"] @ p["q"])[:, :] / np.float32(DIMS ** 0.5), p["embed"] @ p["k"], p["embed"] @ p["v"]
-    near = (p["near"][np.maximum(BEFORE, 0)] + FUTURE)[OVERLAP:]
+def class_log_probs(flat: np.ndarray, classes: np.ndarray, sizes: np.ndarray, batch: int = 64) -> np.ndarray:
+    """Log probability of every token's class, each scored once."""
+    m = Attention(flat.astype(np.float32))
     seen, target, first = windows(classes, sizes)
     out = np.zeros(len(classes), dtype=np.float64)
     steps = np.arange(STEP)
     for at in range(0, len(seen), batch):
-        part = seen[at:at + batch]
-        there = part >= 0
-        c = np.where(there, part, 0)
-        last = c[:, OVERLAP:]
-        s = q[last] @ k[c].transpose(0, 2, 1)
-        s += near
-        s += np.where(there, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        h = s @ v[c]
-        h /= s.sum(axis=2, keepdims=True)
-        h += p["embed"][last]
-        np.maximum(h, 0, out=h)
-        z = h.reshape(-1, DIMS) @ p["out"]
-        z += p["bias"]
+        m.forward(seen[at:at + batch])
         goal = target[at:at + batch, OVERLAP:].ravel()
         scored = goal >= 0
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), np.maximum(goal, 0)]
-        np.exp(z, out=z)
-        value = own - np.log(z.sum(axis=1))
         where = (first[at:at + batch, None] + steps).ravel()
-        out[where[scored]] = value[scored]
+        out[where[scored]] = m.log_probs(goal)[scored]
     return out
 
 
@@ -299,7 +372,8 @@ def _id_counts(words: DataFrame, path: str, classes: np.ndarray | None = None) -
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, room: int = 500_000, most_words: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of the texts in the batches' first column, end to end, and their number by text; about ``room`` words at a time."""
-    place: dict[bytes, int] = {}
+    place: defaultdict[bytes, int] = defaultdict()
+    place.default_factory = place.__len__  # a new word's number
     flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
     held: list[np.ndarray] = []
 
@@ -320,7 +394,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, room: int = 500_000, mo
     words = 0
     for b in batches:
         for t in b.column(0):
-            x = np.array([place.setdefault(w, len(place)) for w in (*words_of(t.as_py()), END_WORD)], dtype=np.int64)
+            x = np.array([*map(place.__getitem__, words_of(t.as_py())), place[END_WORD]], dtype=np.int64)
             held.append(x)
             words += len(x)
             if words > room:

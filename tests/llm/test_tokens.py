@@ -100,6 +100,44 @@ def test_attention_gradient_and_windows():
     assert lm.gradient(trained, seen, target)[0] < loss
 
 
+def test_words_are_coded_in_one_call_as_each_alone(monkeypatch):
+    enc, end = lm.coder(RANKS)
+    r = random.Random(1)
+    parts = ["a", "b", "é", "'", "'s", "1", "23", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "-", "!!", "日", "😀"]
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return enc.encode_ordinary(text)
+
+    monkeypatch.setattr(lm, "coder", lambda path: (Counted(), end))
+    lm.begins_word.cache_clear()
+    monkeypatch.setattr(Counted, "decode_single_token_bytes", lambda self, i: enc.decode_single_token_bytes(i), raising=False)
+    for letters in (parts, [p for p in parts if not p.isspace()]):
+        words = ["".join(r.choice(letters) for _ in range(r.randint(0, 5))) for _ in range(2_000)]
+        calls.clear()
+        ids, sizes = lm.code_words(RANKS, [w.encode() for w in words])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [enc.encode_ordinary(" " + w) if w else [end] for w in words]
+        assert len(calls) == 1 + sum(any(c.isspace() for c in w) for w in words)
+    empty = lm.code_words(RANKS, [])
+    assert len(empty[0]) == len(empty[1]) == 0
+
+
+def test_sharp_attention_leaves_nothing_too_small_to_multiply():
+    rng = np.random.default_rng(8)
+    sizes = np.array([70, 1, 33])
+    classes = rng.integers(0, lm.CLASSES, sizes.sum())
+    flat = rng.normal(0, 2.5, sum(int(np.prod(s)) for s in lm.SHAPES.values())).astype(np.float32)
+    seen, target, _ = lm.windows(classes, sizes)
+    m = lm.Attention(flat)
+    m.forward(seen)
+    assert (m.w[m.w > 0] >= 1e-20).all() and (m.total >= 1).all() and (m.w == 0).any()
+    loss, g = lm.gradient(flat, seen, target)
+    assert math.isfinite(loss) and np.isfinite(g).all()
+    assert abs(lm.class_log_probs(flat, classes, sizes).mean() + loss) < 1e-3 * loss
+
+
 def test_id_shares_sum_to_one():
     rng = np.random.default_rng(1)
     classes, counts = rng.integers(0, lm.CLASSES, 500), rng.integers(0, 50, 500).astype(float)
