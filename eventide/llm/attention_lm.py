@@ -120,7 +120,7 @@ class Attention:
 
     A last row, ``NOTHING``, stands for places with nothing there. A column more in queries and keys hides those, one more in values gives
     the sums of the attention, and one more in the last layer adds the bias, so no pass over the scores is spent on them. Products go
-    window by window: of larger ones BLAS makes threads, which a task has no cores for and which cost thrice the CPU.
+    window by window: of larger ones BLAS may make threads, which a task has no cores for.
     """
 
     def __init__(self, flat: np.ndarray):
