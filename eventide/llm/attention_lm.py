@@ -7,8 +7,9 @@ and trained in numpy: Spark tasks run mini-batches over their share of the train
 round by round; every training document is in one round. Scoring uses windows that overlap by ``OVERLAP`` tokens, so each token is scored once, with at least that much
 of what stands before it (if there is that much), in batches of masked attention.
 
-Counts of words are looked up by buckets of documents: a bucket's distinct words meet the corpus counts in one join, and meet
-the bucket's documents in one co-group. Rows shuffled grow with documents and distinct words per bucket, not with tokens.
+Texts are read and coded once: a bucket of documents settles the ids of its texts, the places of their words among the bucket's distinct
+words, and those words. All later passes read ids. Counts of words are looked up by buckets: distinct words meet the corpus
+counts in one join, and a bucket's documents in one co-group. Rows shuffled grow with documents and distinct words per bucket.
 """
 from __future__ import annotations
 
@@ -20,6 +21,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +56,9 @@ def words_of(raw: bytes) -> list[bytes]:
 
 @lru_cache(maxsize=2)
 def begins_word(path: str) -> np.ndarray:
-    """By id, whether its bytes begin with the space that stands before a word."""
+    """By id, whether its bytes begin with the space that stands before a word; true for the end."""
     enc, end = coder(path)
-    return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)])
+    return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)] + [True])
 
 
 def code_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,17 +87,15 @@ def code_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # --- the model -----------------------------------------------------------------------------------------------------------
 
 SHAPES = {"embed": (CLASSES + 1, DIMS), "q": (DIMS, DIMS), "k": (DIMS, DIMS), "v": (DIMS, DIMS), "near": (WIDTH,), "out": (DIMS, CLASSES), "bias": (CLASSES,)}
-BEFORE = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
+BEFORE = np.arange(OVERLAP, WIDTH)[None, :] - np.arange(WIDTH)[:, None]  # by place read, then by place scored
+AGO = np.maximum(BEFORE, 0)
+SEEN = (BEFORE >= 0).astype(np.float32)
 FUTURE = np.where(BEFORE < 0, np.float32(-1e9), np.float32(0))
+ENDS = np.cumsum([int(np.prod(shape)) for shape in SHAPES.values()]).tolist()
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        size = int(np.prod(shape))
-        out[name] = flat[at:at + size].reshape(shape)
-        at += size
-    return out
+    return {name: flat[start:end].reshape(shape) for (name, shape), start, end in zip(SHAPES.items(), [0, *ENDS], ENDS, strict=False)}
 
 
 def start_weights(class_shares: np.ndarray, follows: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -120,17 +121,19 @@ class Attention:
 
     A last row, ``NOTHING``, stands for places with nothing there. A column more in queries and keys hides those, one more in values gives
     the sums of the attention, and one more in the last layer adds the bias, so no pass over the scores is spent on them. Products go
-    window by window: of larger ones BLAS may make threads, which a task has no cores for.
+    window by window: larger ones start BLAS threads wherever ``OMP_NUM_THREADS`` is not 1, as Spark sets it for its workers.
+    Scores stand by place read, then by place scored, so that a window's largest are found along whole rows. ``held`` keeps
+    the large arrays from batch to batch.
     """
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, held: dict | None = None):
         p = self.p = unpack(flat)
-        self.kind, self.scale = flat.dtype, flat.dtype.type(DIMS ** -0.5)
+        self.held, self.kind, self.scale = {} if held is None else held, flat.dtype, flat.dtype.type(DIMS ** -0.5)
         self.x = self._table(p["embed"])
         self.q = self._table(p["embed"] @ p["q"] * self.scale, 1, 1)
         self.k = self._table(p["embed"] @ p["k"], 0, -1e9)
         self.v = self._table(p["embed"] @ p["v"], 1, 1)
-        self.near = (p["near"][np.maximum(BEFORE, 0)] + FUTURE)[OVERLAP:].astype(self.kind)
+        self.near = p["near"][AGO] + FUTURE
         self.out = np.concatenate([p["out"], p["bias"][None]])
 
     def _table(self, rows: np.ndarray, *more: float) -> np.ndarray:
@@ -141,87 +144,112 @@ class Attention:
             out[:-1, DIMS], out[-1, DIMS] = more
         return out
 
+    def room(self, name: str, n: int, *shape: int) -> np.ndarray:
+        """An array for ``n`` windows with what it held before in it."""
+        got = self.held.get((name, self.kind))
+        if got is None or len(got) < n:
+            got = self.held[name, self.kind] = np.empty((n, *shape), self.kind)
+        return got[:n]
+
+    def rows(self, name: str, table: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return table.take(c, axis=0, out=self.room(name, len(c), c.shape[1], table.shape[1]), mode="clip")
+
+    @property
+    def total(self) -> np.ndarray:
+        return 1 / self.share[..., :1]
+
     def forward(self, seen: np.ndarray) -> None:
-        """Weights before they are divided by ``total``, what is read, and the last layer's input and logits less each row's largest."""
-        self.c = np.where(seen < 0, NOTHING, seen)
+        """Weights before they are divided by their total, what is read, the last layer's input and its logits."""
+        n = len(seen)
+        self.c = np.where(seen < 0, NOTHING, seen).astype(np.intp)
         last = self.c[:, OVERLAP:]
-        self.qs, self.ks, self.vs = self.q.take(last, axis=0), self.k.take(self.c, axis=0), self.v.take(self.c, axis=0)
-        w = self.w = self.qs @ self.ks.transpose(0, 2, 1)
+        self.qs, self.ks, self.vs = self.rows("q", self.q, last), self.rows("k", self.k, self.c), self.rows("v", self.v, self.c)
+        w = self.w = np.matmul(self.ks, self.qs.transpose(0, 2, 1), out=self.room("w", n, WIDTH, STEP))
         w += self.near
-        w -= w.max(axis=2, keepdims=True)
+        most = w
+        while most.shape[1] % 2 == 0:
+            half = most.shape[1] // 2
+            most = np.maximum(most[:, :half], most[:, half:], out=self.room(f"most {half}", n, half, STEP))
+        w -= most.max(axis=1, keepdims=True)
+        np.maximum(w, FAINT, out=w)
         np.exp(w, out=w)
-        np.putmask(w, w < FAINT, 0)
-        read = w @ self.vs
-        self.total = read[..., DIMS:]
-        self.read = read[..., :DIMS] / self.total
-        u = self.read + self.x.take(last, axis=0)
-        self.h = np.ones((*u.shape[:2], DIMS + 1), self.kind)
-        np.maximum(u, 0, out=self.h[..., :DIMS])
-        self.z = (self.h @ self.out).reshape(-1, CLASSES)
-        self.z -= self.z.max(axis=1, keepdims=True)
+        w *= SEEN
+        read = np.matmul(w.transpose(0, 2, 1), self.vs, out=self.room("read", n, STEP, DIMS + 1))
+        self.share = along(1 / read[..., DIMS], DIMS)  # of the total
+        self.read = np.multiply(read[..., :DIMS], self.share, out=self.room("mean", n, STEP, DIMS))
+        self.u = self.rows("u", self.x, last)
+        self.u += self.read
+        self.h = self.room("h", n, STEP, DIMS + 1)
+        self.h[..., DIMS] = 1
+        np.maximum(self.u, 0, out=self.h[..., :DIMS])
+        self.z = np.matmul(self.h, self.out, out=self.room("z", n, STEP, CLASSES)).reshape(-1, CLASSES)
+        if not -WIDE < self.z.min() <= self.z.max() < WIDE:
+            self.z -= self.z.max(axis=1, keepdims=True)
 
     def log_probs(self, goals: np.ndarray) -> np.ndarray:
         """Of the goals (-1: any number); the logits become shares before they are divided by ``mass``."""
         own = self.z[np.arange(len(self.z)), np.maximum(goals, 0)]
         np.exp(self.z, out=self.z)
-        self.mass = (self.z.reshape(-1, STEP, CLASSES) @ ONES.astype(self.kind)).ravel()
+        self.mass = self.z @ ONES.astype(self.kind)
         return own - np.log(self.mass)
 
 
 NOTHING = CLASSES + 1
-FAINT = 1e-20  # beside a weight of one no sum of single precision shows it, and products of such weights are slow
-ONES = np.ones((CLASSES, 1), np.float32)
+FAINT = -46  # beside a weight of one no sum of single precision shows one of this logarithm; products of much smaller ones are slow
+WIDE = 60  # single precision holds the exponentials of numbers up to this, and their sums
+ONES = np.ones(CLASSES, np.float32)
 
 
-def by_class(c: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def along(x: np.ndarray, n: int) -> np.ndarray:
+    """Each number ``n`` times, in a last axis: arrays of one shape are multiplied far faster than a short axis by one number at a time."""
+    return np.repeat(x, n).reshape(*x.shape, n)
+
+
+def by_class(c: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
     """Sums of the rows by class."""
-    out = np.zeros((CLASSES + 2, rows.shape[1]), rows.dtype)
+    c = c.ravel()
     order = np.argsort(c, kind="stable")
     held = c[order]
     begins = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    out[held[begins]] = np.add.reduceat(rows.take(order, axis=0), begins, axis=0)
-    return out
+    out = [np.zeros((CLASSES + 2, r.shape[-1]), r.dtype) for r in rows]
+    for total, r in zip(out, rows, strict=True):
+        total[held[begins]] = np.add.reduceat(r.reshape(len(c), -1).take(order, axis=0), begins, axis=0)
+    return [total[:CLASSES + 1, :DIMS] for total in out]
 
 
-def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray]:
+def gradient(flat: np.ndarray, seen: np.ndarray, target: np.ndarray, held: dict | None = None) -> tuple[float, np.ndarray]:
     """Loss and gradient over windows. seen: classes read (-1: nothing there); target: next class (-1: not scored)."""
-    m = Attention(flat)
+    m = Attention(flat, held)
     p, n = m.p, len(seen)
     m.forward(seen)
     goals = target[:, OVERLAP:].ravel()
-    scored = np.flatnonzero(goals >= 0)
-    one = m.kind.type(1) / m.kind.type(len(scored))
+    scored = goals >= 0
+    one = m.kind.type(1) / m.kind.type(np.count_nonzero(scored))
     loss = -float(m.log_probs(goals)[scored].mean())
-    each = np.zeros(len(goals), m.kind)
-    each[scored] = one / m.mass[scored]
-    e = m.z
-    e *= each[:, None]
-    e[scored, goals[scored]] -= one
-    e = e.reshape(n, STEP, CLASSES)
-    last = (m.h.transpose(0, 2, 1) @ e).sum(axis=0)
+    each = along(np.where(scored, one / m.mass, m.kind.type(0)).reshape(n, STEP), DIMS + 1)
+    m.z[np.arange(len(m.z)), np.maximum(goals, 0)] -= m.mass  # of a place that is not scored: any, it weighs nothing
+    e = m.z.reshape(n, STEP, CLASSES)
+    du = np.matmul(e, p["out"].T, out=m.room("du", n, STEP, DIMS))
+    du *= each[..., :DIMS]
+    du *= m.u > 0
+    each *= m.h
+    last = (each.transpose(0, 2, 1) @ e).sum(axis=0)
     g = {"out": last[:DIMS], "bias": last[DIMS]}
-    du = e @ p["out"].T
-    du *= m.h[..., :DIMS] > 0
     # of a weight's share: what its value adds, less what all values add on average
-    back = np.empty((n, STEP, DIMS + 1), m.kind)
-    np.divide(du, m.total, out=back[..., :DIMS])
-    np.einsum("btd,btd->bt", back[..., :DIMS], m.read, out=back[..., DIMS])
-    back[..., DIMS] *= -1
-    both = np.empty((n, WIDTH, 2 * DIMS), m.kind)
-    both[..., DIMS:] = m.w.transpose(0, 2, 1) @ back[..., :DIMS]
-    ds = back @ m.vs.transpose(0, 2, 1)
+    back = m.room("back", n, STEP, DIMS + 1)
+    np.multiply(du, m.share, out=back[..., :DIMS])
+    np.negative(np.einsum("btd,btd->bt", back[..., :DIMS], m.read), out=back[..., DIMS])
+    dv = np.matmul(m.w, back, out=m.room("dv", n, WIDTH, DIMS + 1))
+    ds = np.matmul(m.vs, back.transpose(0, 2, 1), out=m.room("ds", n, WIDTH, STEP))
     ds *= m.w
-    g["near"] = np.bincount(np.maximum(BEFORE, 0)[OVERLAP:].ravel(), ds.sum(axis=0).ravel(), WIDTH)
-    both[..., :DIMS] = ds.transpose(0, 2, 1) @ m.qs[..., :DIMS]
-    own = np.empty((n, STEP, 2 * DIMS), m.kind)
-    own[..., :DIMS] = ds @ m.ks[..., :DIMS]
-    own[..., DIMS:] = du
+    g["near"] = np.bincount(AGO.ravel(), ds.sum(axis=0).ravel(), WIDTH)
+    dk = np.matmul(ds, m.qs, out=m.room("dk", n, WIDTH, DIMS + 1))
+    dq = np.matmul(ds.transpose(0, 2, 1), m.ks, out=m.room("dq", n, STEP, DIMS + 1))
     c = m.c.astype(np.int16)
-    both = by_class(c.ravel(), both.reshape(-1, 2 * DIMS))[:CLASSES + 1]
-    own = by_class(c[:, OVERLAP:].ravel(), own.reshape(-1, 2 * DIMS))[:CLASSES + 1]
-    dq, dk, dv = own[:, :DIMS] * m.scale, both[:, :DIMS], both[:, DIMS:]
+    (dx, dq), (dk, dv) = by_class(c[:, OVERLAP:], du, dq), by_class(c, dk, dv)
+    dq = dq * m.scale
     g["q"], g["k"], g["v"] = (p["embed"].T @ d for d in (dq, dk, dv))
-    g["embed"] = own[:, DIMS:] + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+    g["embed"] = dx + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     return loss, np.concatenate([g[k].ravel() for k in SHAPES]).astype(np.float32)
 
 
@@ -230,11 +258,11 @@ class Trainer:
 
     def __init__(self, flat: np.ndarray, rate: float, batch: int = 64):
         self.flat, self.rate, self.batch = flat.copy(), rate, batch
-        self.first, self.second, self.steps, self.seen = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+        self.first, self.second, self.steps, self.seen, self.held = np.zeros_like(flat), np.zeros_like(flat), 0, 0, {}
 
     def over(self, seen: np.ndarray, target: np.ndarray) -> None:
         for at in range(0, len(seen), self.batch):
-            _, g = gradient(self.flat, seen[at:at + self.batch], target[at:at + self.batch])
+            _, g = gradient(self.flat, seen[at:at + self.batch], target[at:at + self.batch], self.held)
             self.steps += 1
             self.first += 0.1 * (g - self.first)
             self.second += 0.01 * (g * g - self.second)
@@ -255,14 +283,19 @@ def windows(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     each = -(-sizes // STEP)
     starts = np.cumsum(sizes) - sizes
     number = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    place = (number * STEP - OVERLAP)[:, None] + np.arange(WIDTH)
-    size, start = np.repeat(sizes, each)[:, None], np.repeat(starts, each)[:, None]
-    inside = (place >= 0) & (place < size)
-    flat = np.where(inside, start + place, 0)
-    target = np.where(inside, classes[flat], -1)
-    seen = np.where(inside, np.where(place == 0, CLASSES, classes[np.maximum(flat - 1, 0)]), -1)
+    # every text after OVERLAP empty places and before as many as its last window has left
+    wide = OVERLAP + each * STEP
+    begins = np.cumsum(wide) - wide
+    at = np.arange(len(classes)) + np.repeat(begins + OVERLAP - starts, sizes)
+    laid = np.full((2, wide.sum() + 1), -1, dtype=np.int16)
+    laid[0, at + 1] = classes
+    laid[0, (begins + OVERLAP + sizes)[sizes > 0]] = -1
+    laid[0, (begins + OVERLAP)[sizes > 0]] = CLASSES
+    laid[1, at] = classes
+    first = np.repeat(begins, each) + number * STEP
+    seen, target = (np.lib.stride_tricks.sliding_window_view(x, WIDTH)[first] for x in laid)
     target[:, :OVERLAP] = -1
-    return seen, target, start[:, 0] + number * STEP
+    return seen, target, np.repeat(starts, each) + number * STEP
 
 
 def class_log_probs(flat: np.ndarray, classes: np.ndarray, sizes: np.ndarray, batch: int = 64) -> np.ndarray:
@@ -310,12 +343,16 @@ def frequent_ids(counts: np.ndarray) -> np.ndarray:
 
 def add_company(total: np.ndarray, ids: np.ndarray, sizes: np.ndarray, column: np.ndarray) -> None:
     """Adds to ``total`` (by id, then frequent id) the pairs of an id and a frequent one at most REACH apart in one text."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    for d in range(1, REACH + 1):
-        same = text[d:] == text[:-d]
-        for x, y in ((ids[d:], ids[:-d]), (ids[:-d], ids[d:])):
-            hit = same & (column[y] >= 0)
-            np.add.at(total, x[hit] * np.int64(FREQUENT) + column[y[hit]], 1)
+    laid = np.full(len(ids) + REACH * (len(sizes) + 1), -1, dtype=np.int32)  # REACH empty places around each text
+    laid[np.arange(len(ids)) + np.repeat(REACH * np.arange(1, len(sizes) + 1), sizes)] = ids
+    held = np.where(laid < 0, -1, column.astype(np.int32)[laid])
+    places = np.flatnonzero(held >= 0)
+    near = held[places]
+    for d in range(-REACH, REACH + 1):
+        if d:
+            other = laid[places + d]
+            at = other * np.int64(FREQUENT) + near
+            np.add.at(total, at[other >= 0], 1)
 
 
 def add_follows(total: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> None:
@@ -328,50 +365,80 @@ def add_follows(total: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> No
 
 # --- Spark ---------------------------------------------------------------------------------------------------------------
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, word, n): training occurrences of each distinct word of a bucket (0: only elsewhere), the end included."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[int, Counter] = {}
-            for bucket, train, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = words_of(t.as_py())
-                c = found.setdefault(bucket, Counter())
-                if train:
-                    c.update(words)
-                    c[END_WORD] += 1
-                else:
-                    for w in words:
-                        c.setdefault(w, 0)
-                    c.setdefault(END_WORD, 0)
-            for bucket, c in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(c), pa.int64()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())],
-                                                 ["bucket", "word", "n"])
-
-    return docs.select("bucket", "train", "_text").mapInArrow(run, "bucket long, word binary, n long").groupBy("bucket", "word").agg(F.sum("n").alias("n"))
-
-
-def _id_counts(words: DataFrame, path: str, classes: np.ndarray | None = None) -> np.ndarray:
-    """Training occurrences of each id; with ``classes``, by the class before it in its word (CLASSES: it begins the word)."""
-    ids_in_all = coder(path)[1] + 1
-    sent = words.sparkSession.sparkContext.broadcast(classes)
+def _id_kind(path: str) -> type:
+    return np.uint16 if coder(path)[1] < 1 << 16 else np.uint32
+
+
+def _packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value per text with its part of ``x``."""
+    ends = np.concatenate([[0], np.cumsum(sizes) * x.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _parts(column: pa.Array, kind: type, room: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, numbers end to end and how many by row, of packed rows that have about ``room`` numbers."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64) // kind().itemsize
+    data = np.frombuffer(column.buffers()[2] or b"", kind)
+    row = 0
+    while row < len(column):
+        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + room, "right")) - 1)
+        yield row, data[ends[row]:ends[stop]], np.diff(ends[row:stop + 1])
+        row = stop
+
+
+def _code(docs: DataFrame, path: str, bucket_rows: int, bucket_words: int = 1_500_000) -> DataFrame:
+    """_id, train, mix of ``docs`` with ids and places (of the words among the bucket's words), packed; a bucket's first row has its words
+    and how often each stands in training documents (0: only elsewhere), the end included."""
+    names = ["bucket", "_id", "train", "mix", "ids", "places", "words", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ids_in_all * (1 if sent.value is None else CLASSES + 1), dtype=np.int64)
+        bucket, kind = TaskContext.get().partitionId() << 32, _id_kind(path)
         for b in batches:
-            ids, sizes = code_words(path, b.column(0).to_pylist())
-            at = ids if sent.value is None else before_in_word(ids, sizes, sent.value) * ids_in_all + ids
-            np.add.at(total, at, np.repeat(b.column(1).to_numpy(), sizes))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-    rows = words.filter("c > 0").select("word", "c").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # by vocabulary
-    out = np.zeros(ids_in_all * (1 if classes is None else CLASSES + 1))
-    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
-    return out if classes is None else out.reshape(CLASSES + 1, ids_in_all)
+            texts, train = b.column(3), b.column(1).to_numpy(zero_copy_only=False)
+            row = 0
+            while row < b.num_rows:
+                place: defaultdict[bytes, int] = defaultdict()
+                place.default_factory = place.__len__  # a new word's number
+                held: list[np.ndarray] = []
+                first, room, end = row, bucket_words, place[END_WORD]
+                while row < b.num_rows and room > 0 and row - first < bucket_rows:
+                    words = words_of(texts[row].as_py())
+                    words.append(END_WORD)
+                    held.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)))
+                    room -= len(words)
+                    row += 1
+                known = list(place)
+                flat, sizes = code_words(path, known)
+                starts = np.cumsum(sizes) - sizes
+                lengths = np.array([len(x) for x in held], dtype=np.int64)
+                every = np.concatenate(held)
+                counts = np.bincount(every[np.repeat(train[first:row], lengths)], minlength=len(known))
+                packed, at = [], 0
+                for piece in np.split(every, np.cumsum(lengths)[np.searchsorted(np.cumsum(lengths), np.arange(200_000, len(every), 200_000))]):
+                    n = sizes[piece]
+                    ends = np.cumsum(n)
+                    packed.append((flat[np.repeat(starts[piece] - (ends - n), n) + np.arange(n.sum())].astype(kind), ends))
+                own = np.concatenate([x for x, _ in packed])
+                id_ends = np.cumsum(sizes[every])[np.cumsum(lengths) - 1]
+                more = [None] * (row - first - 1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(row - first, bucket)), *(b.column(k).slice(first, row - first) for k in range(3)), _packed(own, np.diff(id_ends, prepend=0)),
+                    _packed(every, lengths), pa.array([known, *more], pa.list_(pa.binary())), pa.array([counts, *more], pa.list_(pa.int64()))], names)
+                bucket += 1
+
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.select("_id", "train", "mix", "_text").mapInArrow(
+        run, f"bucket long, _id {kind}, train boolean, mix long, ids binary, places binary, words array<binary>, counts array<bigint>")
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """The texts' ids, or the texts where they are not coded yet."""
+    return docs.select("ids" if "ids" in docs.columns else "_text")
 
 
 def _coded(batches: Iterator[pa.RecordBatch], path: str, room: int = 500_000, most_words: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of the texts in the batches' first column, end to end, and their number by text; about ``room`` words at a time."""
+    """Ids of the texts in the batches' first column (``ids``: packed already), end to end, and their number by text; about ``room`` words or ids at a time."""
     place: defaultdict[bytes, int] = defaultdict()
     place.default_factory = place.__len__  # a new word's number
     flat, sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -393,6 +460,9 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, room: int = 500_000, mo
 
     words = 0
     for b in batches:
+        if b.schema.names[0] == "ids":
+            yield from ((x.astype(np.int32), n) for _, x, n in _parts(b.column(0), _id_kind(path), room))
+            continue
         for t in b.column(0):
             x = np.array([*map(place.__getitem__, words_of(t.as_py())), place[END_WORD]], dtype=np.int64)
             held.append(x)
@@ -416,12 +486,30 @@ def _sums(docs: DataFrame, path: str, cells: int, add) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    rows = docs.select("_text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # by cells
+    rows = _own(docs).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # by cells
     out = np.zeros(cells)
     out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out
 
 
+def _id_counts(docs: DataFrame, path: str) -> np.ndarray:
+    """Occurrences of each id in all ``docs``."""
+    def add(total, ids, sizes):
+        total += np.bincount(ids, minlength=len(total))
+
+    return _sums(docs, path, coder(path)[1] + 1, add)
+
+
+def _after(docs: DataFrame, path: str, classes: np.ndarray) -> np.ndarray:
+    """Occurrences of each id by the class before it in its word (CLASSES: it begins the word), in all ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def add(total, ids, sizes):
+        np.add.at(total, before_in_word(path, ids, sent.value) * len(sent.value) + ids, 1)
+
+    return _sums(docs, path, (CLASSES + 1) * len(classes), add).reshape(CLASSES + 1, -1)
+
+
 def _company(docs: DataFrame, path: str, by_id: np.ndarray) -> np.ndarray:
     """How often each id stands near each frequent id, in all ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_ids(by_id))
@@ -434,10 +522,11 @@ def _follows(docs: DataFrame, path: str, classes: np.ndarray) -> np.ndarray:
     return _sums(docs, path, (CLASSES + 1) * CLASSES, lambda total, ids, sizes: add_follows(total, sent.value[ids], sizes)).reshape(-1, CLASSES)
 
 
-def before_in_word(ids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def before_in_word(path: str, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Class before each id of whole words in its word; CLASSES where a word begins."""
     out = np.empty(len(ids), dtype=np.int64)
     out[1:] = classes[ids[:-1]]
-    out[np.cumsum(sizes) - sizes] = CLASSES
+    out[begins_word(path)[ids]] = CLASSES
     return out
 
 
@@ -492,7 +581,7 @@ def _train(docs: DataFrame, path: str, classes: np.ndarray, flat: np.ndarray, ro
                 own = t.flat.astype(np.float64) * t.seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own), pa.array(np.full(len(own), t.seen))], ["i", "w", "n"])
 
-        got = _round(docs, n, rounds, share).select("_text").mapInArrow(run, "i long, w double, n long").groupBy("i").agg(
+        got = _own(_round(docs, n, rounds, share)).mapInArrow(run, "i long, w double, n long").groupBy("i").agg(
             (F.sum("w") / F.sum("n")).alias("w")).collect()  # one row per weight
         new = flat.copy()
         for r in got:
@@ -510,60 +599,47 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
     """
     spark = docs.sparkSession
     ship(spark)
-    size = max(1, bucket_rows).bit_length() - 1
-    rows = settle(docs.select(F.col(doc_id).alias("_id"), F.coalesce(train, F.lit(False)).alias("train"), blank_text(text).cast("binary").alias("_text"),
-                              F.pmod(F.xxhash64(F.col(doc_id), blank_text(text), F.lit(seed)), F.lit(1 << 40)).alias("mix"), F.shiftright(F.monotonically_increasing_id(), size).alias("bucket")), "lm-documents")
-    words = settle(_word_counts(rows), "lm-words")
+    rows = settle(_code(docs.select(
+        F.col(doc_id).alias("_id"), F.coalesce(train, F.lit(False)).alias("train"),
+        F.pmod(F.xxhash64(F.col(doc_id), blank_text(text), F.lit(seed)), F.lit(1 << 40)).alias("mix"), blank_text(text).cast("binary").alias("_text")), ranks, bucket_rows), "lm-documents")
+    words = rows.filter("words is not null").select("bucket", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select(
+        "bucket", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     counts = settle(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    by_id = _id_counts(counts, ranks)
     learned = rows.filter("train")
+    by_id = _id_counts(learned, ranks)
     classes = make_classes(_company(learned, ranks, by_id), by_id)
     mass = np.bincount(classes, by_id + 0.5, CLASSES)
-    within = log_shares(by_id, _id_counts(counts, ranks, classes), classes)
+    within = log_shares(by_id, _after(learned, ranks, classes), classes)
     flat = _train(learned, ranks, classes, start_weights(mass / mass.sum(), _follows(learned, ranks, classes)), rounds, share)
     model = spark.sparkContext.broadcast((flat, classes, within))
     log_all = float(np.log10(total + distinct + 1))
 
-    def run(key, texts, known):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, classes, within = model.value
-        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        c = known.column("c").to_numpy()
-        base = np.log10(c + 1.0) - log_all
-        ids, sizes = code_words(ranks, list(place))
-        static = within[before_in_word(ids, sizes, classes), ids].astype(np.float64)
-        starts = np.cumsum(sizes) - sizes
-        end = place[END_WORD]
+        for b in batches:
+            for row, x, sizes in _parts(b.column(4), _id_kind(ranks), 400_000):
+                ids = x.astype(np.int32)
+                logs = class_log_probs(flat, classes[ids], sizes)
+                logs += within[before_in_word(ranks, ids, classes), ids]
+                own = np.add.reduceat(logs, np.cumsum(sizes) - sizes) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, len(sizes)) for k in range(4)), pa.array(own)], ["bucket", "_id", "train", "places", "score"])
+
+    def base(key, texts, known):
+        c = np.empty(known.num_rows, dtype=np.int64)
+        c[known.column("place").to_numpy()] = known.column("c").to_numpy()
+        each = np.log10(c + 1.0) - log_all
         made = []
-        held: list[np.ndarray] = []
-
-        def flush():
-            lengths = np.array([int(sizes[x].sum()) for x in held], dtype=np.int64)
-            every = np.concatenate(held)
-            n = sizes[every]
-            at = np.repeat(starts[every] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            logs = class_log_probs(flat, classes[ids[at]], lengths) + static[at]
-            scores.extend((np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10)).tolist())
-            held.clear()
-
-        scores: list[float] = []
-        room = 0
-        for t in texts.column("_text"):
-            x = np.array([*map(place.__getitem__, words_of(t.as_py())), end], dtype=np.int64)
-            made.append((len(x), int((c[x] > 0).sum()), float(base[x].sum())))
-            held.append(x)
-            room += len(x)
-            if room > 100_000:
-                flush()
-                room = 0
-        if held:
-            flush()
-        return pa.table({doc_id: texts.column("_id"), "held_out": pa.array([not x for x in texts.column("train").to_pylist()], pa.bool_()),
-                         "n_tokens": pa.array([m[0] for m in made], pa.int64()), "n_known": pa.array([m[1] for m in made], pa.int64()),
-                         "train_tokens": pa.array([total] * len(made), pa.int64()), "base_score": pa.array([m[2] for m in made], pa.float64()),
-                         "score": pa.array(scores, pa.float64())})
-
-    known = words.select("bucket", "word").join(counts, "word").select("bucket", "word", "c")
+        for chunk in texts.column("places").chunks:
+            for _, x, sizes in _parts(chunk, np.int32, 1_000_000):
+                at = np.cumsum(sizes) - sizes
+                made.append((sizes, np.add.reduceat((c[x] > 0).astype(np.int64), at), np.add.reduceat(each[x], at)))
+        n, n_known, base_score = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({doc_id: texts.column("_id"), "held_out": pc.invert(texts.column("train")), "n_tokens": pa.array(n), "n_known": pa.array(n_known),
+                         "train_tokens": pa.array(np.full(len(n), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": texts.column("score")})
+
+    known = words.select("bucket", "place", "word").join(counts, "word").select("bucket", "place", "c")
     kind = docs.schema[doc_id].dataType.simpleString()
-    return rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
-        run, f"`{doc_id}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = rows.select("bucket", "_id", "train", "places", "ids").mapInArrow(score, f"bucket long, _id {kind}, train boolean, places binary, score double")
+    return scored.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+        base, f"`{doc_id}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

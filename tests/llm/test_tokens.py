@@ -216,6 +216,30 @@ def test_every_training_window_is_trained_on_once(spark):
     assert t.scored == tokens
 
 
+def test_texts_are_coded_once_into_buckets_bounded_by_words(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["alpha", "Beta", "gamma's", "éa", "zeta", "日本", "a\u00a0b"]
+    rows = [(i, i % 3 != 1, i, " ".join(r.choice(words) for _ in range(r.choice([0, 3, 40, 700])))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, m, x.encode()) for i, t, m, x in rows], "_id long, train boolean, mix long, _text binary").coalesce(2)
+    got = lm._code(df, RANKS, bucket_rows=16, bucket_words=1_000).collect()
+    heads = {x.bucket: x for x in got if x.words is not None}
+    texts = {i: [*x.encode().lower().split(), b""] for i, _, _, x in rows}
+    assert sorted(x._id for x in got) == sorted(texts) and {x.bucket for x in got} == set(heads)
+    for x in got:
+        held = [bytes(w) for w in heads[x.bucket].words]
+        assert [held[k] for k in np.frombuffer(x.places, np.int32)] == texts[x._id]
+        assert np.frombuffer(x.ids, lm._id_kind(RANKS)).tolist() == lm.code_words(RANKS, texts[x._id])[0].tolist()
+    for bucket, head in heads.items():
+        own = [x._id for x in got if x.bucket == bucket]
+        assert len(own) <= 16 and sum(len(texts[i]) for i in own[:-1]) < 1_000
+        want = Counter(w for x in got if x.bucket == bucket and x.train for w in texts[x._id])
+        assert [want[bytes(w)] for w in head.words] == list(head.counts)
+    reads = []
+    monkeypatch.setattr(lm, "_code", lambda docs, *a, f=lm._code, **b: reads.append(docs) or f(docs, *a, **b))
+    scored = lm.score_documents(df.select("_id", F.col("_text").cast("string").alias("text")), RANKS, F.col("_id") % 3 != 1, doc_id="_id", bucket_rows=16)
+    assert len(reads) == 1 and "_text" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_parts_hold_a_bounded_number_of_characters():
     import pyarrow as pa
 
