@@ -8,8 +8,8 @@ round by round; every training document is in one round. Scoring uses windows th
 of what stands before it (if there is that much), in batches of masked attention.
 
 Texts are read and coded once: a bucket of documents settles the ids of its texts, the places of their words among the bucket's distinct
-words, and those words. All later passes read ids. Counts of words are looked up by buckets: distinct words meet the corpus
-counts in one join, and a bucket's documents in one co-group. Rows shuffled grow with documents and distinct words per bucket.
+words, and those words. All later passes read ids. Counts of words are looked up by buckets: a bucket's distinct words are counted over
+all buckets in one window, and meet the bucket's documents in one co-group. Rows shuffled grow with documents and distinct words per bucket.
 """
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.llm.common import blank_text, settle, ship
@@ -387,9 +387,26 @@ def _parts(column: pa.Array, kind: type, room: int) -> Iterator[tuple[int, np.nd
         row = stop
 
 
+def _steps(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each row's numbers from small to large, each less the one before it in the row: they take half the room when packed."""
+    rows = np.repeat(np.arange(len(sizes)) << 32, sizes)
+    x = np.sort(rows + x) - rows
+    out = np.diff(x, prepend=0)
+    first = np.cumsum(sizes) - sizes
+    out[first] = x[first]
+    return out.astype(np.int32)
+
+
+def _numbers(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ``_steps``; every row has some."""
+    x = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    return x - np.repeat(x[first] - steps[first], sizes)
+
+
 def _code(docs: DataFrame, path: str, bucket_rows: int, bucket_words: int = 1_500_000) -> DataFrame:
-    """_id, train, mix of ``docs`` with ids and places (of the words among the bucket's words), packed; a bucket's first row has its words
-    and how often each stands in training documents (0: only elsewhere), the end included."""
+    """_id, train, mix of ``docs`` with ids and places (of the words among the bucket's words: from small to large, each less the one before),
+    packed; a bucket's first row has its words and how often each stands in training documents (0: only elsewhere), the end included."""
     names = ["bucket", "_id", "train", "mix", "ids", "places", "words", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +441,7 @@ def _code(docs: DataFrame, path: str, bucket_rows: int, bucket_words: int = 1_50
                 more = [None] * (row - first - 1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(row - first, bucket)), *(b.column(k).slice(first, row - first) for k in range(3)), _packed(own, np.diff(id_ends, prepend=0)),
-                    _packed(every, lengths), pa.array([known, *more], pa.list_(pa.binary())), pa.array([counts, *more], pa.list_(pa.int64()))], names)
+                    _packed(_steps(every, lengths), lengths), pa.array([known, *more], pa.list_(pa.binary())), pa.array([counts, *more], pa.list_(pa.int64()))], names)
                 bucket += 1
 
     kind = docs.schema["_id"].dataType.simpleString()
@@ -604,8 +621,9 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
         F.pmod(F.xxhash64(F.col(doc_id), blank_text(text), F.lit(seed)), F.lit(1 << 40)).alias("mix"), blank_text(text).cast("binary").alias("_text")), ranks, bucket_rows), "lm-documents")
     words = rows.filter("words is not null").select("bucket", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select(
         "bucket", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    counts = settle(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    total, distinct = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    same = Window.partitionBy("word")
+    known = settle(words.select("bucket", "place", "n", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("bucket")) == 1).alias("first")), "lm-counts")
+    total, distinct = known.filter("c > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
     learned = rows.filter("train")
     by_id = _id_counts(learned, ranks)
     classes = make_classes(_company(learned, ranks, by_id), by_id)
@@ -632,14 +650,14 @@ def score_documents(docs: DataFrame, ranks: str, train: Column, doc_id: str = "d
         made = []
         for chunk in texts.column("places").chunks:
             for _, x, sizes in _parts(chunk, np.int32, 1_000_000):
+                x = _numbers(x, sizes)
                 at = np.cumsum(sizes) - sizes
                 made.append((sizes, np.add.reduceat((c[x] > 0).astype(np.int64), at), np.add.reduceat(each[x], at)))
         n, n_known, base_score = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({doc_id: texts.column("_id"), "held_out": pc.invert(texts.column("train")), "n_tokens": pa.array(n), "n_known": pa.array(n_known),
                          "train_tokens": pa.array(np.full(len(n), total, dtype=np.int64)), "base_score": pa.array(base_score), "score": texts.column("score")})
 
-    known = words.select("bucket", "place", "word").join(counts, "word").select("bucket", "place", "c")
     kind = docs.schema[doc_id].dataType.simpleString()
     scored = rows.select("bucket", "_id", "train", "places", "ids").mapInArrow(score, f"bucket long, _id {kind}, train boolean, places binary, score double")
-    return scored.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(
+    return scored.groupBy("bucket").cogroup(known.select("bucket", "place", "c").groupBy("bucket")).applyInArrow(
         base, f"`{doc_id}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
